@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import decontam, neardup, toxicity
+from tallysieve.llm import decontam, licenses, media, neardup, packing, secrets, toxicity
 from tallysieve.llm.textkit import read_table
 
 
@@ -29,13 +29,41 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents"))
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id",
+        *(of_kind(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex", "novel")),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_columns": op1_media_columns,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_decontamination": op4_decontamination,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_packing": op6_packing,
+    "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
 
