@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import decontam, licenses, media, neardup, packing, secrets, toxicity
-from tallysieve.llm.textkit import read_table
+from tallysieve.llm import decontam, licenses, lmscore, media, neardup, packing, quality, secrets, toxicity, urlrules
+from tallysieve.llm.textkit import id_crc, read_table
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +53,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels"), quality.graded()))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read_table(spark, sf_dir, "documents"), F.pmod(id_crc(), F.lit(7)) == 2)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read_table(spark, sf_dir, "documents"))
 
@@ -59,10 +72,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_url_filter": op2_url_filter,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
+    "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
