@@ -8,15 +8,17 @@ equal registers of two texts estimates their probability Jaccard; with equal
 weights that is the Jaccard similarity.
 
 Registers are cut into bands; texts that agree on a whole band are candidates, and
-each candidate pair is verified on its whole shingles.  A pair is a link if its
-probability Jaccard or its plain Jaccard is at least the asked similarity.
+each candidate pair is verified on all its shingles: a pair is a link if the Jaccard
+similarity of its shingle sets is at least the one asked for.
 
 Copies are collapsed before banding, so the banding sees each text once.  Buckets of
 up to ``PAIRS_UP_TO`` texts pair all their members; in a larger bucket every member
-is paired with the bucket's first, and then, as long as a bucket still holds
-several components, by the shingles that are rarest within those buckets: two
-texts of similarity s share at least one of their (1 - s) share of rarest shingles,
-so no link between unlinked components is lost.
+is paired with the one that meets the most texts over all bands, as a rule the
+original of the bucket's copies.  Members of buckets that then still hold several
+components go through an exact search: texts of similarity s share one of their
+rarest shingles (a 1 - s share of them), and the place of the first shared one bounds
+the similarity, so pairs are made only between components and only where s can be
+reached.  No link of a bucket is lost.
 
 Defined results: null counts as the empty text; texts without words are linked only
 to equal texts; texts of fewer than five words have one shingle of all their words;
@@ -86,12 +88,11 @@ def band_keys(winners: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """(probability Jaccard, Jaccard) of two weighted sets, each as (sorted ids, weights)."""
+def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Probability Jaccard of two weighted sets, each as (sorted ids, weights): what registers estimate."""
     ids, at, here = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
     if not len(ids):
-        return 0.0, 0.0
-    plain = len(ids) / (len(x[0]) + len(y[0]) - len(ids))
+        return 0.0
     xs, ys = x[1][at], y[1][here]
     only_x, only_y = x[1].sum() - xs.sum(), y[1].sum() - ys.sum()
     order = np.argsort(ys / xs, kind="stable")
@@ -100,7 +101,13 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     last = np.searchsorted(ratio, ratio, side="right")
     below = np.append(0, np.cumsum(xs))[last] + only_x
     above = ys.sum() - np.append(0, np.cumsum(ys))[last] + only_y
-    return float((1 / (below / xs + above / ys)).sum()), plain
+    return float((1 / (below / xs + above / ys)).sum())
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct ids."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -127,25 +134,27 @@ def candidates(keys: DataFrame, up_to: int = PAIRS_UP_TO) -> tuple[DataFrame, Da
     """Pairs (a < b) of nodes, and the members of buckets beyond ``up_to`` as (key, node)."""
     by_key = Window.partitionBy("key")
     placed = keys.select("node", F.explode("keys").alias("key"))
-    placed = placed.select("node", "key", F.count("*").over(by_key).alias("n"), F.min("node").over(by_key).alias("pivot")).where("n > 1")
+    placed = placed.select("node", "key", F.count("*").over(by_key).alias("n")).where("n > 1")
     placed = saved(placed)
     small = placed.where(F.col("n") <= up_to).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     i = F.posexplode("m").alias("i", "a")
     small = small.select(i, "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
     large = placed.where(F.col("n") > up_to)
-    star = large.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    weight = placed.groupBy("node").agg(F.sum("n").alias("met"))
+    hub = large.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("met", "node")).alias("hub"))
+    star = large.join(hub, "key").where("node != hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     return small.union(star).distinct(), large.select("key", "node")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough; ``texts`` is (node, text), unique by node."""
 
-    def weigh(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    def shingled(column: pa.Array) -> list[np.ndarray]:
         out = []
         for a, b, words in word_chunks(column):
-            s, d, w = weighted(*shingle_hashes(words.hashes(), words.counts, SHINGLE))
+            s, d, _ = weighted(*shingle_hashes(words.hashes(), words.counts, SHINGLE))
             cut = np.searchsorted(d, np.arange(b - a + 1))
-            out += [(s[i:j], w[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            out += [s[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +162,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 left = batch.column("text_a").dictionary_encode()
-                seen = weigh(left.dictionary)
-                right = weigh(batch.column("text_b"))
-                keep = [max(probability_jaccard(seen[k], y)) >= similarity - 1e-12 for k, y in zip(left.indices.to_pylist(), right, strict=True)]
+                seen, right = shingled(left.dictionary), shingled(batch.column("text_b"))
+                keep = [jaccard(seen[k], y) >= similarity for k, y in zip(left.indices.to_pylist(), right, strict=True)]
                 kept = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
@@ -182,18 +190,22 @@ def rare_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, similari
 
     each = saved(nodes.join(texts, "node").select("node", "comp", "text").mapInArrow(run, "node long, comp long, shingle long"))
     df = each.groupBy("shingle").agg(F.count("*").alias("df"), (F.min("comp") != F.max("comp")).alias("mixed"))
-    ranked = each.join(df, "shingle").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))).withColumn("size", F.count("*").over(Window.partitionBy("node")))
-    # A pair with probability Jaccard s may have a plain Jaccard a little below s: the prefix has a margin.
-    prefix = ranked.where(F.col("mixed") & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * (similarity - 0.1)) + 1)).select("shingle", "node", "comp")
-    left, right = (prefix.select("shingle", F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in "ab")
-    return left.join(right, "shingle").where("a < b AND comp_a != comp_b").select("a", "b").distinct()
+    of_node = Window.partitionBy("node")
+    ranked = each.join(df, "shingle").withColumn("rank", F.row_number().over(of_node.orderBy("df", "shingle"))).withColumn("size", F.count("*").over(of_node))
+    prefix = ranked.where(F.col("mixed") & (F.col("rank") <= F.col("size") - F.ceil(F.col("size") * similarity) + 1)).select("shingle", "node", "comp", "rank", "size")
+    left, right = (prefix.select("shingle", *(F.col(n).alias(f"{n}_{s}") for n in ("node", "comp", "rank", "size"))) for s in "ab")
+    # No more than what stands from the first shared shingle on is shared.
+    most = F.least(F.expr("size_a - rank_a"), F.expr("size_b - rank_b")) + 1
+    able = most * (1 + similarity) >= F.expr("size_a + size_b") * similarity - 1e-9
+    met = left.join(right, (left["shingle"] == right["shingle"]) & F.expr("node_a < node_b AND comp_a != comp_b") & able)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, node, class_node, class_id (smallest id of the class), class_size and n_links of every row.
 
-    ``n_links`` counts the verified links of the row's text to other texts; in
-    buckets of more than ``PAIRS_UP_TO`` texts only links to the first count.
+    ``n_links`` counts the verified links of the row's text to other texts; within a
+    class, members of buckets of more than ``PAIRS_UP_TO`` texts are not all compared.
     """
     rows_of = saved(sketch(docs, bands, rows))
     texts_of = rows_of.groupBy("node").agg(F.first("keys").alias("keys"))
