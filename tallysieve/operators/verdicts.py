@@ -146,11 +146,10 @@ def first_allowed(c: Column, pattern: str, allowed: Callable[[Column, Column], C
     return F.aggregate(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), start, fold)["found"]
 
 
-def insider_gate(title: Column, description: Column, company: Column, profile: Profile = Profile()) -> tuple[Column, Column]:
-    """(label, quote) of the first sign that a posting is only for a closed group; both null if open."""
+def insider_gate(title: Column, description: Column, company: Column, profile: Profile = Profile()) -> Column:
+    """A struct of label and quote of the first sign that a posting is only for a closed group; null if open."""
     facts = F.struct(flat_markup(title).alias("t"), flat_markup(F.concat(text(title), F.lit(" . "), text(description))).alias("body"))
-    found = let(facts, lambda x: _gate_of(x["t"], x["body"], company, profile))
-    return found["label"], found["quote"]
+    return let(facts, lambda x: _gate_of(x["t"], x["body"], company, profile))
 
 
 def _gate_of(t: Column, body: Column, company: Column, profile: Profile) -> Column:
@@ -216,10 +215,8 @@ def foreign_place(location: Column) -> Column:
 def corrected(postings: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """``postings`` with tier, reason, salary and hard_ineligible after all rules."""
     c = F.col
-    label, quote = insider_gate(c("title"), c("description"), c("company"), profile)
     found = F.struct(
-        label.alias("__gate"),
-        quote.alias("__quote"),
+        insider_gate(c("title"), c("description"), c("company"), profile).alias("__insider"),
         is_full_time_only(c("description")).alias("__full"),
         restricted_school(c("title"), c("description"), profile).alias("__school"),
         is_graduate_only(c("description")).alias("__degree"),
@@ -230,10 +227,10 @@ def corrected(postings: DataFrame, profile: Profile = Profile()) -> DataFrame:
     facts = postings.select("*", F.inline(F.array(found)))
     judged = c("tier").isin("APPLY", "APPLY_CAVEAT", "INELIGIBLE")
     open_ = c("tier").isin("APPLY", "APPLY_CAVEAT")
-    gate = c("__gate").isNotNull() & judged
+    gate = c("__insider").isNotNull() & judged
     # The first rule that rejects an open verdict ends the rejections: later ones need an open verdict.
     rejected = (
-        F.when(open_ & gate, F.concat(F.lit("Overridden: this posting is restricted to a group the candidate is not in ("), c("__gate"), F.lit(') — "'), F.left(F.trim(c("__quote")), F.lit(QUOTE)), F.lit('".')))
+        F.when(open_ & gate, F.concat(F.lit("Overridden: this posting is restricted to a group the candidate is not in ("), c("__insider.label"), F.lit(') — "'), F.left(F.trim(c("__insider.quote")), F.lit(QUOTE)), F.lit('".')))
         .when(open_ & c("__full"), F.lit("Overridden: description explicitly states this is a full-time/permanent position, with no internship/co-op language anywhere in the posting."))
         .when(open_ & c("__school").isNotNull(), F.concat(F.lit("Overridden: this co-op is restricted to students currently enrolled at "), c("__school"), F.lit(f", not {profile.school}.")))
         .when(open_ & c("__degree"), F.lit(f"Overridden: description requires current enrollment in a graduate-level (MS/PhD) program, with no bachelor's/undergraduate alternative mentioned — candidate is a {profile.degree} student."))

@@ -201,8 +201,8 @@ def non_us_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def insider_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = synth.postings(spark, sf_dir).groupBy("title", "description", "company").agg(F.count("*").alias("n"))
-    label, quote = verdicts.insider_gate(F.col("title"), F.col("description"), F.col("company"))
-    return rows.select(label.alias("label"), quote.alias("quote"), "n").groupBy("label", "quote").agg(F.sum("n").alias("n"))
+    gate = verdicts.insider_gate(F.col("title"), F.col("description"), F.col("company"))
+    return rows.select(gate.alias("g"), "n").groupBy(F.col("g.label").alias("label"), F.col("g.quote").alias("quote")).agg(F.sum("n").alias("n"))
 
 
 @query
