@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, context: int = CONTEXT, tokens: Column | None = None
     n = (token_count(text_or_empty()) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long")
     counted = docs.select("doc_id", n.alias("n_tokens"))
     cut = counted.select("doc_id", "n_tokens", F.explode_outer(F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), F.expr(f"(n_tokens - 1) div {context}")))).alias("piece"))
-    return cut.select("doc_id", "n_tokens", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context).cast("long"), F.col("n_tokens") - F.col("piece") * context).alias("length"))
+    return cut.select("doc_id", "n_tokens", "piece", (F.col("piece") * context).alias("start"), F.when(F.col("piece").isNotNull(), F.least(F.lit(context).cast("long"), F.col("n_tokens") - F.col("piece") * context)).alias("length"))
 
 
 def pack(docs: DataFrame, *, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET, tokens: Column | None = None) -> DataFrame:
