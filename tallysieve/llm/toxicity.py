@@ -124,7 +124,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay."""
     model = fit(docs, labels)
     features, weights, bias = model.features, model.weights, model.bias
-    bar = float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    bar, names = float(np.log(THRESHOLD / (1 - THRESHOLD))), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +134,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 cells = np.unique(rows * max(1, len(features)) + cols)
                 z[a:b] += screened.linear(cells // max(1, len(features)), cells % max(1, len(features)), weights, b - a)
             kept = batch.filter(pa.array(z < bar))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=docs.columns)
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
     return docs.select("*", text_or_empty().alias("__text__")).mapInArrow(run, docs.schema)

@@ -220,9 +220,10 @@ def test_stored_index_finds_the_same_phrases(spark):
 
 
 def test_proximity(spark):
-    item = "alpha bravo charlie delta " + prose(10)
-    near = decontam.decontaminate(docs(spark, "alpha x bravo y charlie z delta", "alpha " + prose(200) + " bravo charlie delta"), spark.createDataFrame([("i", item)], "item_id string, text string"), (4, 20))
-    assert [len(r.near_items) for r in near.orderBy("doc_id").collect()][0] in (0, 1)
+    items = [("i", "alpha bravo charlie delta the the"), ("j", "the of and"), ("k", "the of and")]
+    texts = ["alpha x bravo y charlie z delta", "alpha " + prose(200) + " bravo charlie delta", "delta the charlie bravo alpha", "alpha bravo charlie", None]
+    near = decontam.decontaminate(docs(spark, *texts), spark.createDataFrame(items, "item_id string, text string"), (4, 20))
+    assert [list(r.near_items) for r in near.orderBy("doc_id").collect()] == [["i"], [], ["i"], [], []]
 
 
 # 5: secrets -------------------------------------------------------------------------------------------------------
