@@ -143,7 +143,8 @@ def first_allowed(c: Column, pattern: str, allowed: Callable[[Column, Column], C
         found = F.coalesce(acc["found"], F.when(allowed(x["hit"], F.right(before, F.lit(PERK_LOOK_BACK))), x["hit"]))
         return F.struct(F.right(F.concat(before, x["hit"]), F.lit(2 * PERK_LOOK_BACK)).alias("before"), found.alias("found"))
 
-    return F.aggregate(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), start, fold)["found"]
+    # Few texts match at all; the rest need one look.
+    return F.when(c.rlike(pattern), F.aggregate(F.arrays_zip(pieces.alias("piece"), hits.alias("hit")), start, fold)["found"])
 
 
 def insider_gate(title: Column, description: Column, company: Column, profile: Profile = Profile()) -> Column:
@@ -177,7 +178,7 @@ def _gate_of(t: Column, body: Column, company: Column, profile: Profile) -> Colu
     ]
     rules += [(label, hit(body, p)) for label, p in TEXT_GATES]
     rules += [
-        (GROUP_LABELS["prior"], F.when(same_employer, hit(body, PRIOR_INTERNSHIP))),
+        (GROUP_LABELS["prior"], F.when(body.rlike(PRIOR_INTERNSHIP) & same_employer, hit(body, PRIOR_INTERNSHIP))),
         (GROUP_LABELS["veteran"], F.when(t.rlike(VETERAN_TITLE), hit(body, VETERAN_TEXT))),
         (GROUP_LABELS["military"], hit(body, MILITARY)),
         (GROUP_LABELS["region"], first_allowed(body, REGION, is_abroad)),
