@@ -18,6 +18,7 @@ from tallysieve.llm.textkit import Words, mix64, shingle_hashes, text_or_empty,
 
 SAMPLE_ROWS = 20_000
 _GRAIN = 1 << 30
+_SLICES = 16
 
 #: Character classes: each ASCII sign for itself, letters by case, digits, blanks, the rest.
 _CLASS = np.full(256, 63, dtype=np.int64)
@@ -118,17 +119,19 @@ def sample(docs: DataFrame, labels: DataFrame, value: Column, trains: Column, ro
                 names=["y", "m1", "m2", "f", "swapped"],
             )
 
-    got = chosen.mapInArrow(gather, "y double, m1 long, m2 long, f binary, swapped binary").collect()
-    got.sort(key=lambda r: (r.m1, r.m2, r.y, bytes(r.f)))
+    got = chosen.mapInArrow(gather, "y double, m1 long, m2 long, f binary, swapped binary").toArrow()
+    y, m1, m2 = (got.column(n).to_numpy() for n in ("y", "m1", "m2"))
+    plain, swapped = got.column("f"), got.column("swapped")
+    view = lambda value: np.frombuffer(value.as_buffer(), dtype=np.uint64)
     seen: set[tuple[int, int]] = set()
     ys, feats, others = [], [], []
-    for r in got:
-        if (1, r.m1) in seen or (2, r.m2) in seen:
+    for k in np.lexsort((y, m2, m1)).tolist():
+        if (1, m1[k]) in seen or (2, m2[k]) in seen:
             continue
-        seen |= {(1, r.m1), (2, r.m2)}
-        ys.append(r.y)
-        feats.append(np.frombuffer(r.f, dtype=np.uint64))
-        others.append(feats[-1] if r.swapped is None else np.frombuffer(r.swapped, dtype=np.uint64))
+        seen |= {(1, m1[k]), (2, m2[k])}
+        ys.append(y[k])
+        feats.append(view(plain[k]))
+        others.append(view(swapped[k]) if swapped[k].is_valid else feats[-1])
     return {"y": np.array(ys), "x": feats, "swapped": others}
 
 
@@ -149,16 +152,19 @@ def screen(feats: list[np.ndarray], y: np.ndarray, least: int = 3) -> np.ndarray
     """
     if not feats or len(set(y.tolist())) < 2:
         return np.empty(0, dtype=np.uint64)
+    rows = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
     flat = np.concatenate(feats)
-    ids, inverse = np.unique(flat, return_inverse=True)
-    sizes = np.array([len(f) for f in feats])
-    df = np.bincount(inverse, minlength=len(ids))
-    up = np.bincount(inverse, weights=np.repeat(y, sizes), minlength=len(ids))
+    tested = []
+    for part in range(_SLICES):  # the counts of a slice of the features at a time
+        at = np.flatnonzero(flat & np.uint64(_SLICES - 1) == part)
+        ids, inverse, df = np.unique(flat[at], return_inverse=True, return_counts=True)
+        up = np.bincount(inverse, weights=y[rows[at]], minlength=len(ids))
+        often = df >= least
+        tested.append((ids[often], df[often], up[often]))
+    ids, df, up = (np.concatenate(x) for x in zip(*tested, strict=True))
     p, n = y.mean(), len(y)
-    sd = np.sqrt(np.maximum(df * (1 - df / (n + 1)) * p * (1 - p), 1e-9))
-    z = (up - df * p) / sd
-    bar = np.sqrt(2 * np.log(max(2, int((df >= least).sum()))))
-    return ids[(df >= least) & (np.abs(z) > bar)]
+    z = (up - df * p) / np.sqrt(np.maximum(df * (1 - df / (n + 1)) * p * (1 - p), 1e-9))
+    return np.sort(ids[np.abs(z) > np.sqrt(2 * np.log(max(2, len(ids))))])
 
 
 def matrix(feats: list[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
