@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallysieve.functions.text import or_null, plain_words, stripped, text
+from tallysieve.functions.text import let, or_null, plain_words, stripped, text
 
 #: Query keys that don't change the target.
 TRACKING = (
@@ -48,16 +48,19 @@ def display_href(url: Column, apply_url: Column) -> Column:
 def canonical_target(row_id: Column, href: Column) -> Column:
     """One key for all urls of the same application: requisition of a known platform, else the cleaned url."""
     u = split_url(href)
-    host = F.regexp_replace(u.host, r"^www\.", "")
-    bare = F.regexp_replace(u.path, "/+$", "")
-    path = F.when(bare == "", "/").otherwise(bare)
+    path = let(F.regexp_replace(u.path, "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
+    facts = F.struct(F.regexp_replace(u.host, r"^www\.", "").alias("host"), path.alias("path"), u.query.alias("query"))
+    return let(facts, lambda x: _target_key(row_id, x["host"], x["path"], x["query"]))
+
+
+def _target_key(row_id: Column, host: Column, path: Column, query: Column) -> Column:
     one = lambda p, k=1: or_null(F.regexp_extract(path, p, k))
     tenant = F.regexp_replace(F.substring_index(host, ".", 1), "[^a-z0-9]", "")
     req = F.regexp_replace(F.regexp_replace(F.lower(one(r"(?i)_((?:JR|R)[-_]?[A-Z0-9-]+)$")), "^jr-", "jr"), "^r-", "r")
     req = F.regexp_replace(req, r"^((?:jr|r)\d{4,})-\d+$", "$1")
     uuid = "[0-9a-f]{8}-[0-9a-f-]{27,}"
     board = one(r"(?i)/([^/]+)/jobs/(\d+)")
-    board_query = or_null(F.regexp_extract(u.query, r"(?:^|&)gh_jid=([^&]+)", 1))
+    board_query = or_null(F.regexp_extract(query, r"(?:^|&)gh_jid=([^&]+)", 1))
     rules = (
         (host.endswith("linkedin.com"), F.concat(F.lit("linkedin:"), one(r"(?i)/jobs/view/(?:.*?-)?(\d{7,})(?:/|$)"))),
         (host.endswith(".myworkdayjobs.com"), F.concat(F.lit("workday:"), tenant, F.lit(":"), req)),
@@ -69,7 +72,7 @@ def canonical_target(row_id: Column, href: Column) -> Column:
         (host.contains("icims.com"), F.concat(F.lit("icims:"), F.substring_index(host, ".", 1), F.lit(":"), one(r"(?i)/jobs/(\d+)(?:/|$)"))),
     )
     known = F.coalesce(*(F.when(at, key) for at, key in rules))
-    keys = F.filter(F.split(text(u.query), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING) & ~F.lower(p).startswith("utm_"))
+    keys = F.filter(F.split(text(query), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING) & ~F.lower(p).startswith("utm_"))
     # A parameter without a value is written with an empty one.
     pairs = F.array_sort(F.transform(keys, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
     cleaned = F.concat(F.lit("url:"), host, F.lower(path), F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))

@@ -152,6 +152,9 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings from the orders of ``sf_dir``."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     keys = orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "o_orderdate AS day")
+    cores = spark.sparkContext.defaultParallelism
+    if keys.rdd.getNumPartitions() < cores:  # a small file is one split, however much work its rows make
+        keys = keys.repartition(cores, "k")
     rows = keys.selectExpr(*_split(select_list(Dialect(True))), "'' AS reason")
     digits = "CAST(4000000000 + seq % 9973 AS STRING)"
     sourced = rows.selectExpr(*_split(_SOURCED.format(digits=digits, sha="left(sha1(url), 16)")))
