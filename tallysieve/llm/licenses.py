@@ -5,7 +5,9 @@ the highest inverse document frequency over the whole corpus look up their
 postings; each hit votes for a template and a relative position, and the position
 with the most distinct words aligns the file with the template.  The label holds if
 enough template words stand at their aligned places and the template's mandatory
-phrases occur there.
+phrases occur there.  Each template's key word, the rarest of its mandatory phrases,
+always votes too, so a file of many licences loses none; a file without a key word
+can't hold a mandatory phrase and is passed over.
 
 Three short phrases give the base labels; the method's labels come on top.
 
@@ -91,14 +93,20 @@ def places(h: np.ndarray, doc: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     return at[doc[at] == doc[at + len(phrase) - 1]]
 
 
-def aligned(own: np.ndarray, at: np.ndarray, idf: dict[int, float], index: Index) -> list[tuple[str, float]]:
+def key_words(index: Index, idf: dict[int, float]) -> set[int]:
+    """The rarest word of each template's mandatory phrases."""
+    return {min((int(h) for p in required for h in p), key=lambda h: (-idf.get(h, 0.0), h)) for required in index.required}
+
+
+def aligned(own: np.ndarray, at: np.ndarray, idf: dict[int, float], index: Index, keys: set[int]) -> list[tuple[str, float]]:
     """(label, share of template words in place) of the templates that a file holds.
 
-    ``own`` is the file's word hashes, ``at`` the places of its licence words.
+    ``own`` is the file's word hashes, ``at`` the places of its licence words; the
+    file's rarest ones vote, and those of ``keys`` that it has.
     """
     found = own[at].tolist()
     rare = sorted(set(found), key=lambda h: (-idf.get(h, 0.0), h))[:RARE_WORDS]
-    chosen = set(rare)
+    chosen = set(rare) | keys
     votes: dict[tuple[int, int], set[int]] = {}
     for i, h in zip(at.tolist(), found, strict=True):
         if h in chosen:
@@ -161,8 +169,8 @@ def scan(docs: DataFrame) -> DataFrame:
     index = Index()
     total, df = document_frequency(docs, index)
     idf = {h: float(np.log((total + 1) / (n + 1))) for h, n in df.items()}
-    # Texts whose licence words are all common hold no template: each has a mandatory phrase with a rare word.
-    rare = np.array([idf[int(h)] >= 1.0 for h in index.vocabulary])
+    keys = key_words(index, idf)
+    is_key = np.array([int(h) in keys for h in index.vocabulary])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,13 +187,13 @@ def scan(docs: DataFrame) -> DataFrame:
                         base[d].add(label)
                         starts[d].append(i - int(begin[d]))
                 doc, word, at = _licence_words(words, h, index.vocabulary)
-                telling = set(doc[rare[word]].tolist())
+                telling = set(doc[is_key[word]].tolist())
                 cut = np.searchsorted(doc, np.arange(docs_n + 1))
                 for d in range(docs_n):
                     found: list[tuple[str, float]] = []
                     if d in telling:
                         lo = int(begin[d])
-                        found = aligned(h[lo : lo + int(words.counts[d])], at[cut[d] : cut[d + 1]] - lo, idf, index)
+                        found = aligned(h[lo : lo + int(words.counts[d])], at[cut[d] : cut[d + 1]] - lo, idf, index, keys)
                     score = max([0.5 if base[d] else 0.0, *(s for _, s in found)])
                     row = (len(starts[d]), min(starts[d], default=None), max(starts[d], default=None), ",".join(sorted(base[d])), ",".join(sorted(base[d] | {x for x, _ in found})), score, int(words.counts[d]))
                     for column, x in zip(out, row, strict=True):
