@@ -72,7 +72,7 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
-    """Incompressible candidates in sensitive context that no base span touches."""
+    """Incompressible candidates in sensitive context that touch no base span and no earlier candidate found."""
     if not any(word in low for word in _SENSITIVE):
         return []
     out, seen = [], set()
@@ -85,7 +85,7 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> lis
                 continue
             seen.add(i)
             j = i + len(re.match(r"[A-Za-z0-9+/_=-]+", text[i:])[0]) if j == word.end() + _REACH + 512 else j
-            if not any(c.isdigit() for c in text[i:j]) or any(a < j and i < b for a, b, _ in taken):
+            if not any(c.isdigit() for c in text[i:j]) or any(s[0] < j and i < s[1] for s in (*taken, *out)):
                 continue
             around = (text[max(0, i - _BEFORE) : i] + "\n" + text[j : j + _AFTER]).encode("utf-8", "replace")
             found = novelty(text[i:j].encode(), around)
