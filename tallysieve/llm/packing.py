@@ -7,6 +7,7 @@ Inside each bucket, pieces form batches of as many rows as the token budget allo
 
 Rows are numbered within hash shards of a bucket and moved by the shards' offsets,
 so no task gets a whole bucket, and only the last batch of a bucket is not full.
+Rows of one id are told apart by their token counts, so results do not depend on order.
 
 Defined results: a text without tokens (null, empty, blank) gives one row with piece,
 bucket and batch null; repeated rows are packed each; other columns are ignored; an
@@ -82,9 +83,9 @@ def pack(docs: DataFrame, *, context: int = CONTEXT, buckets: int = BUCKETS, bud
         bucket = F.when(inside, F.lit(bound).cast("long")).otherwise(bucket)
         shards = F.when(inside, F.lit(-(-size // SHARD_ROWS))).otherwise(shards)
         rows = F.when(inside, F.lit(max(1, budget // bound))).otherwise(rows)
-    placed = cut.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), shards)).withColumn("rows", rows)
+    placed = cut.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), shards)).withColumn("rows", rows)
     full = placed.where("length > 0")
-    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece")
+    order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")
     numbered = full.withColumn("k", F.row_number().over(order) - 1)
     counts = full.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = counts.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("before"))
