@@ -192,14 +192,15 @@ def hits(text, items):
             for i in range(len(own) - size + 1):
                 if own[i : i + size] == w[k : k + size]:
                     hit |= set(range(i, i + size))
-                    found.add(str(name))
+                    if name is not None:
+                        found.add(str(name))
     return len(own), len(hit), sorted(found)
 
 
 @pytest.mark.parametrize("block_words", [10**6, 40])
 def test_decontamination_matches_brute_force(spark, block_words):
-    items = [(1, prose(30)), (2, "short item"), (3, None), (10, prose(13)), (10, prose(14)), (11, "a a a"), (12, "")]
-    texts = [prose(50) + " " + (items[0][1] or ""), "SHORT  item, short item", None, "", prose(600) + " " + " ".join(words(items[3][1])), "a a a a a", prose(20), " ".join(items[0][1].split()[:13]), "short", "item short item"]
+    items = [(1, prose(30)), (2, "short item"), (3, None), (10, prose(13)), (10, prose(14)), (11, "a a a"), (12, ""), (None, prose(15))]
+    texts = [prose(9) + " " + items[7][1], prose(50) + " " + (items[0][1] or ""), "SHORT  item, short item", None, "", prose(600) + " " + " ".join(words(items[3][1])), "a a a a a", prose(20), " ".join(items[0][1].split()[:13]), "short", "item short item"]
     bench = spark.createDataFrame([(n, t, "x") for n, t in items], "item_id long, text string, node string")
     rows = decontam.decontaminate(docs(spark, *texts), bench, block_words=block_words).collect()
     kept = {r.doc_id for r in decontam.drop_contaminated(docs(spark, *texts), bench).collect()}
@@ -241,6 +242,12 @@ def test_base_spans(spark):
         assert [s.kind for s in r.found if s.kind == "novel"] == (["novel"] if r.doc_id == 9 else [])
 
 
+def test_novel_spans_do_not_overlap(spark):
+    text = prose(30) + " secret_key_9fQ2xL7vTz4KpW8nRb3YhC6m " + prose(30)
+    found = [s for s in secrets.scan(docs(spark, text)).first().found if s.kind == "novel"]
+    assert len(found) == 1 and "9fQ2xL7vTz4KpW8nRb3YhC6m" in text[found[0].start : found[0].end]
+
+
 def test_novelty_tells_keys_from_names():
     around = b"client configuration parameter session identifier"
     assert secrets.novelty(b"9fQ2xL7vTz4KpW8nRb3YhC6m", around) > 1.5 * secrets.novelty(b"client_session_parameter", around)
@@ -403,5 +410,14 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_licenses_that_every_text_holds(spark):
+    every = [text for _, text, _ in licenses.TEMPLATES]
+    labels = ",".join(sorted({label for label, _, _ in licenses.TEMPLATES} | {label for _, label in licenses.BASE}))
+    rows = licenses.scan(docs(spark, *(f" {prose(5)} ".join(every) for _ in range(3)))).collect()
+    assert [r.labels for r in rows] == [labels] * 3
+    rows = licenses.scan(docs(spark, *(prose(5) + " " + every[0] + " " + prose(5) for _ in range(5)))).collect()
+    assert {r.labels for r in rows} == {"mit,mit-notice"}
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
