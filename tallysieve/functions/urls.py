@@ -111,5 +111,6 @@ def apply_platform(url: Column) -> Column:
         .when(host.contains("ashbyhq.com"), "ashby")
         .when(host.contains("myworkdayjobs.com"), "workday")
         .when(host.contains("icims.com"), "icims")
+        .when(host.contains("careers.ibm.com"), "ibm")
         .when(at("avature.net"), "avature")
     )

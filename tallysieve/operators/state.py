@@ -130,6 +130,11 @@ def alert_due(last_alert: Column, now: Column, kind: Column, hours: int = 6) ->
     return kind.isin("billing", "auth") & (last.isNull() | (now - last >= F.expr(f"INTERVAL {hours} HOURS")))
 
 
+def recovery_due(last_alert: Column, promoted: Column) -> Column:
+    """Whether an end of an outage is announced: rows got through and the outage had been announced."""
+    return (F.coalesce(promoted, F.lit(0)) > 0) & (F.coalesce(last_alert, F.lit("")) != "")
+
+
 def run_allowed(runs: DataFrame, source: str, now: Column, stale_minutes: int = 20) -> DataFrame:
     """One row: whether a run of ``source`` may start, as no unfinished run of it is fresh."""
     active = runs.where((F.col("source") == source) & F.col("finished_at").isNull() & (F.col("started_at") > now - F.expr(f"INTERVAL {stale_minutes} MINUTES")))

@@ -7,7 +7,7 @@ is written out as an alternative.
 from __future__ import annotations
 
 from tallysieve import synth
-from tallysieve.functions import locations, salary, text, titles
+from tallysieve.functions import forms, locations, salary, text, titles
 from tallysieve.operators import gates, verdicts
 from tallysieve.operators import views as reader
 
@@ -449,3 +449,73 @@ define(
     KEYED,
     *_FACTS,
 )
+
+
+def listed(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(map(q, values)) + "]"
+
+
+def picked(values: tuple[str, ...], index: str = "seq") -> str:
+    return f"({listed(values)})[CAST({index} % {len(values)} + 1 AS INT)]"
+
+
+def fold(c: str) -> str:
+    return f"lower(trim({sub(c, r'\s+', ' ')}))"
+
+
+_LABEL = "trim(label)"
+_ASKED = f"CASE WHEN {_LABEL} = '' OR {has(_LABEL, '(?i)' + forms.UNROUTED)} THEN NULL " + " ".join(f"WHEN {has(_LABEL, '(?i)' + p)} THEN {q(field)}" for p, field in forms.FIELD_RULES) + " END"
+_VALUE = "CASE asked " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in synth.PROFILE.items()) + " END"
+define(
+    "form_routing",
+    f"SELECT label, asked, {_VALUE} AS value, {has(fold('label'), '(?i)' + forms.UNCHOSEN)} AS unchosen, n FROM asked",
+    f"labels AS (SELECT {picked(synth.FORM_LABELS)} AS label, count(*) AS n FROM postings GROUP BY ALL)",
+    f"asked AS (SELECT *, {_ASKED} AS asked FROM labels)",
+)
+define(
+    "form_options",
+    f"SELECT form, value, CASE WHEN count(DISTINCT option) = 1 THEN min(option) END AS option, (SELECT max_by(k, length(k)) FROM (SELECT unnest({listed(synth.ANSWER_KEYS)}) AS k) WHERE starts_with({fold('value')}, k)) AS best "
+    f"FROM wanted LEFT JOIN names ON {fold('value')} = name GROUP BY form, value",
+    f"wanted AS (SELECT seq AS form, {picked(synth.ANSWERS)} AS value FROM postings)",
+    f"options AS (SELECT option, {fold('option')} AS n FROM (SELECT unnest({listed(synth.OPTIONS)}) AS option))",
+    "names AS (SELECT option, n AS name FROM options UNION SELECT option, trim(string_split(n, '.')[1]) FROM options UNION SELECT option, trim(string_split(n, '.')[1]) || '.' FROM options WHERE contains(n, '.') UNION SELECT option, trim(string_split(string_split(n, ',')[1], '.')[1]) FROM options)",
+)
+SQL["form_fields"] = """
+    WITH v AS (SELECT *, event_id * 7919 % 997 AS a, event_id // 8 AS form, event_id % 8 AS pos, user_id % 2 = 0 AS radio FROM events),
+    e AS (SELECT form, pos, radio, CASE WHEN radio OR a % 5 = 0 THEN event_type WHEN a % 5 = 1 THEN '37-' || pos || '-2' ELSE (a % 7) || '-' || pos END AS key FROM v),
+    k AS (SELECT * FROM e WHERE NOT starts_with(key, '37-') AND NOT starts_with(key, '6-'))
+    SELECT form, key, CAST(NULL AS VARCHAR) AS kind, pos AS first_pos, CAST(1 AS INT) AS n_members FROM k WHERE NOT radio
+    UNION ALL SELECT form, key, 'radio', min(pos), CAST(count(*) AS INT) FROM k WHERE radio GROUP BY form, key"""
+SQL["profile_fields"] = """
+    SELECT *, CAST(3 + (c_custkey % 3 <> 2)::INT * 2 + (us_citizen IS NOT NULL)::INT + 1 AS INT) AS n_values,
+    concat_ws('|', CASE WHEN c_custkey % 4 = 0 THEN 'personal.address.city' END, CASE WHEN c_custkey % 6 = 0 THEN 'skills[1]' END) AS gaps
+    FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Alexis' ELSE 'Al' END AS first_name, c_name AS last_name, CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'No' END AS resides_in_us,
+    CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'Yes' ELSE 'No' END END AS us_citizen FROM customer)"""
+define(
+    "avatar_letters",
+    f"SELECT company, upper(coalesce(nullif(left(trim({sub(sub('company', r'[\x{10000}-\x{10FFFF}]'), r'^[^A-Za-z0-9_À-￿]+')}), 1), ''), '?')) AS letter, n FROM named",
+    f"named AS (SELECT {picked(synth.SIGNS)} || company AS company, count(*) AS n FROM postings WHERE company IS NOT NULL GROUP BY ALL)",
+)
+SQL["search_pages"] = """
+    WITH v AS (SELECT *, event_id * 7919 % 997 AS a FROM events),
+    p AS (SELECT event_id // 8 AS search, event_id % 8 AS page, a, CASE WHEN a % 11 = 0 THEN CASE WHEN a % 2 = 0 THEN 10 ELSE 0 END WHEN user_id % 7 = 0 THEN 6 ELSE 10 END AS n FROM v),
+    j AS (SELECT *, CASE WHEN a % 50 = 0 THEN 'rate_limited' WHEN a % 50 = 1 THEN 'error' WHEN n = 0 THEN 'empty' WHEN CASE WHEN a % 9 = 0 THEN 10 ELSE 3 END >= n THEN 'known' WHEN n < 10 THEN 'short' END AS stopped FROM p)
+    SELECT search, page, stopped FROM j WHERE NOT EXISTS (SELECT 1 FROM j AS b WHERE b.search = j.search AND b.page < j.page AND b.stopped IS NOT NULL)"""
+_HOST = f"lower(regexp_extract(apply_url, {q('^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)')}, 1))"
+_ROUTE = f"CASE WHEN {filled('apply_url')} = '' THEN NULL " + " ".join(f"WHEN contains({_HOST}, '{d}') THEN '{n}'" for d, n in (("greenhouse.io", "greenhouse"), ("lever.co", "lever"), ("ashbyhq.com", "ashby"), ("myworkdayjobs.com", "workday"), ("icims.com", "icims"))) + " ELSE 'generic' END"
+_JOB = "'^[A-Za-z]+://([^/?#]+)/+(.*?)/job/([^?#]*?)/*(?:[?#]|$)'"
+define(
+    "detail_requests",
+    f"""SELECT apply_url, route, coalesce(CASE route
+    WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || {first('apply_url', r'greenhouse\.io/([^/]+)/jobs/(\d+)', 1)} || '/jobs/' || {first('apply_url', r'greenhouse\.io/([^/]+)/jobs/(\d+)', 2)}
+    WHEN 'lever' THEN 'https://api.lever.co/v0/postings/' || {first('apply_url', r'lever\.co/([^/]+)/([0-9a-fA-F-]{36})', 1)} || '/' || {first('apply_url', r'lever\.co/([^/]+)/([0-9a-fA-F-]{36})', 2)}
+    WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || {first('apply_url', r'ashbyhq\.com/([^/]+)/[0-9a-fA-F-]{36}', 1)}
+    WHEN 'workday' THEN CASE WHEN site <> '' THEN concat_ws('|', base || site || '/job/' || path, base || {first('site', '^[a-zA-Z]{2}(?:-[a-zA-Z]{2})?/(.+)$', 1)} || '/job/' || path) END
+    WHEN 'icims' THEN apply_url || CASE WHEN contains(apply_url, '?') THEN '&' ELSE '?' END || 'in_iframe=1'
+    WHEN 'generic' THEN apply_url END, '') AS requests, n FROM (SELECT *, 'https://' || host || '/wday/cxs/' || string_split(host, '.')[1] || '/' AS base FROM routed)""",
+    f"routed AS (SELECT apply_url, count(*) AS n, {_ROUTE} AS route, lower(regexp_extract(apply_url, {_JOB}, 1)) AS host, regexp_extract(apply_url, {_JOB}, 2) AS site, regexp_extract(apply_url, {_JOB}, 3) AS path FROM postings GROUP BY apply_url)",
+)
+define(
+    "detail_text",
+    "SELECT seq, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'][CAST(seq % 5 + 1 AS INT)] AS route, CASE WHEN seq % 5 = 1 THEN nullif(left(description, 12000), '') WHEN seq % 5 < 4 THEN 'Role ' || seq WHEN seq % 2 = 0 THEN repeat('Role ' || seq, 60) END AS description FROM postings",
+)

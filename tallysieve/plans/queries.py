@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallysieve import synth
-from tallysieve.functions import locations, salary, text, times, titles, urls
-from tallysieve.operators import dedup, gates, resolve, state, verdicts, views
-from tallysieve.sources import boards, lists, pages
+from tallysieve.functions import forms, locations, salary, text, times, titles, urls
+from tallysieve.operators import dedup, gates, paging, resolve, state, verdicts, views
+from tallysieve.operators.forms import chosen_options, logical_fields
+from tallysieve.sources import boards, details, lists, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,3 +445,98 @@ def maintenance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyed(spark, sf_dir)
     stale = F.when(F.col("seq") % 10 == 0, None).otherwise(F.col("norm_key"))
     return change_log(rows.withColumn("norm_key", stale)).groupBy("job", "field").agg(F.count("*").alias("n"))
+
+
+@query
+def form_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a made-up profile answers to made-up form labels."""
+    label = F.element_at(F.array(*map(F.lit, synth.FORM_LABELS)), (F.col("seq") % len(synth.FORM_LABELS) + 1).cast("int"))
+    profile = F.create_map(*(F.lit(x) for pair in synth.PROFILE.items() for x in pair))
+    counted = synth.postings(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+    return counted.select("label", forms.field_of(F.col("label")).alias("asked"), forms.answer(F.col("label"), profile)["value"].alias("value"), forms.is_unchosen(F.col("label")).alias("unchosen"), "n")
+
+
+@query
+def form_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which option, if any, an answer chooses, and the answer's best key in a list."""
+    rows = synth.postings(spark, sf_dir).select(F.col("seq").alias("form"), F.lit("k").alias("key"), F.element_at(F.array(*map(F.lit, synth.ANSWERS)), (F.col("seq") % len(synth.ANSWERS) + 1).cast("int")).alias("value"))
+    options = rows.select("form", "key", F.explode(F.array(*map(F.lit, synth.OPTIONS))).alias("option"))
+    found = chosen_options(rows, options)
+    return found.select("form", "value", "option", forms.best_key(F.col("value"), F.array(*map(F.lit, synth.ANSWER_KEYS))).alias("best"))
+
+
+@query
+def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of forms made from events, eight to a form: radio buttons collapse, repeated cells and optional keys go."""
+    event, a = F.col("event_id"), F.col("event_id") * 7919 % 997
+    item = (event % 8).cast("string")
+    key = F.when(a % 5 == 0, "").when(a % 5 == 1, F.concat(F.lit("37-"), item, F.lit("-2"))).otherwise(F.concat((a % 7).cast("string"), F.lit("-"), item))
+    kind = F.when(F.col("user_id") % 2 == 0, "radio").otherwise("text")
+    elements = table(spark, sf_dir, "events").select(F.expr("event_id div 8").alias("form"), (event % 8).alias("pos"), key.alias("id"), F.col("event_type").alias("name"), kind.alias("type"))
+    fields = logical_fields(elements, "^6-")
+    return fields.select("form", "key", "kind", F.get("members", F.lit(0)).alias("first_pos"), F.size("members").alias("n_members"))
+
+
+@query
+def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and gaps of profiles made from customers."""
+    c = F.col("c_custkey")
+    address = F.struct(F.when(c % 4 == 0, forms.TO_FILL).otherwise("Austin").alias("city"), F.when(c % 3 == 0, "United States").when(c % 3 == 1, "Canada").alias("country"))
+    person = F.struct(F.when(c % 5 == 0, "").otherwise("Al").alias("preferred_first_name"), F.lit("Alexis").alias("legal_first_name"), F.col("c_name").alias("last_name"), address.alias("address"))
+    work = F.struct(F.when(c % 2 == 0, c % 4 == 0).alias("us_citizen"))
+    profile = F.to_json(F.struct(person.alias("personal"), work.alias("work_authorization"), F.array(F.lit("sql"), F.when(c % 6 == 0, forms.TO_FILL).otherwise("spark")).alias("skills")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", profile.alias("profile"))
+    rows = rows.select("c_custkey", forms.profile_values(F.col("profile")).alias("v"), forms.unfilled(F.col("profile")).alias("gaps"))
+    return rows.select("c_custkey", *(F.element_at("v", F.lit(n)).alias(n) for n in ("first_name", "last_name", "resides_in_us", "us_citizen")), F.size("v").alias("n_values"), F.array_join("gaps", "|").alias("gaps"))
+
+
+@query
+def avatar_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Initials of companies, some behind signs."""
+    sign = F.element_at(F.array(*map(F.lit, synth.SIGNS)), (F.col("seq") % len(synth.SIGNS) + 1).cast("int"))
+    rows = synth.postings(spark, sf_dir).select(F.concat(sign, "company").alias("company"))
+    return rows.groupBy("company").agg(F.count("*").alias("n")).select("company", forms.avatar_letter(F.col("company")).alias("letter"), "n")
+
+
+@query
+def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages of searches made from events are read, and why each search ends."""
+    a, user = F.col("event_id") * 7919 % 997, F.col("user_id")
+    error = F.when(a % 50 == 0, "rate_limited").when(a % 50 == 1, "http")
+    first = F.when(a % 11 == 0, 0).when(user % 7 == 0, 6).otherwise(10)
+    again = F.when(first == 0, F.when(a % 2 == 0, 10).otherwise(0))
+    stored = F.when(a % 9 == 0, 10).otherwise(3)
+    rows = table(spark, sf_dir, "events").select(F.expr("event_id div 8").alias("search"), (F.col("event_id") % 8).alias("page"), error.alias("error"), first.alias("n_listings"), again.alias("n_retry"), stored.alias("n_stored"))
+    return paging.pages_read(rows).select("search", "page", "stopped")
+
+
+@query
+def detail_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the descriptions behind application links."""
+    counted = synth.postings(spark, sf_dir).groupBy("apply_url").agg(F.count("*").alias("n"))
+    return counted.select("apply_url", details.route(F.col("apply_url")).alias("route"), F.array_join(details.requests(F.col("apply_url")), "|").alias("requests"), "n")
+
+
+@query
+def detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions from answers of five platforms, made from postings."""
+    seq = F.col("seq").cast("string")
+    uuid = F.concat(F.lpad(seq, 8, "0"), F.lit("-0000-0000-0000-000000000000"))
+    role, kind = F.concat(F.lit("Role "), seq), F.col("seq") % 5
+    url = (
+        F.when(kind == 0, F.concat(F.lit("https://job-boards.greenhouse.io/acme/jobs/"), seq))
+        .when(kind == 1, F.concat(F.lit("https://jobs.lever.co/acme/"), uuid, F.lit("/apply")))
+        .when(kind == 2, F.concat(F.lit("https://jobs.ashbyhq.com/acme/"), uuid))
+        .when(kind == 3, F.concat(F.lit("https://acme.wd1.myworkdayjobs.com/en-US/Careers/job/Austin/"), seq))
+        .otherwise(F.concat(F.lit("https://careers-acme.icims.com/jobs/"), seq, F.lit("/job")))
+    )
+    other = F.struct(F.lit("x").alias("id"), F.lit("other").alias("descriptionPlain"))
+    payload = (
+        F.when(kind == 0, F.to_json(F.struct(F.concat(F.lit("&lt;p&gt;"), role, F.lit("&lt;/p&gt;")).alias("content"))))
+        .when(kind == 1, F.to_json(F.struct(F.col("description").alias("descriptionPlain"))))
+        .when(kind == 2, F.to_json(F.struct(F.array(other, F.struct(uuid.alias("id"), role.alias("descriptionPlain"))).alias("jobs"))))
+        .when(kind == 3, F.to_json(F.struct(F.struct(F.concat(F.lit("<p>"), role, F.lit("</p>")).alias("jobDescription")).alias("jobPostingInfo"))))
+        .otherwise(F.concat(F.lit("<body><div>menu</div><div class='iCIMS_JobContent x'>"), F.repeat(role, F.when(F.col("seq") % 2 == 0, F.lit(60)).otherwise(F.lit(2))), F.lit("</div></body>")))
+    )
+    landed = synth.postings(spark, sf_dir).select("seq", url.alias("url"), payload.alias("payload"))
+    return landed.select("seq", details.route(F.col("url")).alias("route"), details.description(F.col("url"), F.col("payload")).alias("description"))

@@ -191,3 +191,20 @@ def postings_sql() -> str:
         "picked AS (SELECT " + select_list(Dialect(False)) + ", '' AS reason FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS day FROM orders)), "
         "postings AS (SELECT " + _SOURCED.format(digits=digits, sha="left(sha1(url), 16)") + " FROM picked)"
     )
+
+
+#: Made-up forms: labels, a profile, answers, options and the keys that answers are looked up by.
+FORM_LABELS = (
+    "Preferred First Name", "Legal first name", "First name", "Middle name", "Surname", "E-mail", "Mobile phone number", "Address line 1", "Address line 2", "City",
+    "State / Province", "Postal code", "Do you reside in the United States?", "Country", "LinkedIn URL", "What best describes your level of experience with GitHub?",
+    "GitHub profile", "Personal website", "University", "Degree", "Field of study", "When do you graduate?", "Will you need sponsorship?", "Are you a U.S. citizen?",
+    "Desired salary", "Available start date", "Are you willing to relocate?", "Gender", "Veteran status", "Why us?", "  ", "-- Select --", "Please choose an option", "Selected Employer", "N/A",
+)
+PROFILE = {
+    "first_name": "Al", "last_name": "Reed", "email": "al@example.org", "phone": "555 0100", "address_street": "1 Main St", "address_city": "Austin", "address_zip": "78701",
+    "resides_in_us": "Yes", "linkedin_url": "https://example.org/al", "school": "Example University", "degree": "BSc", "requires_sponsorship": "No", "willing_to_relocate": "Yes",
+}
+OPTIONS = ("Yes, I am willing to relocate.", "No", "Extensive Experience. I need little help.", "Limited Experience. I need help.", "Canada", "United States", "United States Minor Outlying Islands", "Other. First kind", "Other. Second kind")
+ANSWERS = ("yes", " NO ", "extensive  experience", "Limited experience.", "United States", "United", "other", "no, i do not have one", "not sure")
+ANSWER_KEYS = ("no", "not", "yes", "united states", "no, i do")
+SIGNS = ("", "\U0001f525 ", "(", "  - ", "\u014c", "\U0001f525")
