@@ -3,9 +3,9 @@
 Corpus counts cover every training document.  The commonest words form the
 network's vocabulary, in classes by frequency rank; all others share one entry and
 are told apart by their corpus counts.  The network (a GRU) is trained in numpy by
-truncated backpropagation: each input partition trains a copy on a fixed share of
-its documents, state carried across windows, and the copies are averaged by the
-tokens that they saw.  Scoring reads each document from its first token to its last
+truncated backpropagation: each input partition trains a copy on all its training
+documents, state carried across windows, and the copies are averaged by the tokens
+that they saw.  Scoring reads each document from its first token to its last
 with the state carried through; the output is factored into class and word.
 
 A word's count is looked up in two ways: words with at least one in ``2 ** 21`` of
@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import id_crc, saved, text_or_empty, word_chunks
+from tallysieve.llm.textkit import saved, text_or_empty, word_chunks
 
 HIDDEN, CLASSES, PER_CLASS = 16, 32, 32
 WINDOW, STREAMS = 20, 32
-TRAIN_SHARE = 16
 FREQUENT_SHARE = 1 << 21
 SCORE_TOKENS = 1 << 17
 _SUMMERS = 16
@@ -100,43 +99,61 @@ class Network:
 
     def train_window(self, words: np.ndarray, mask: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """The state after a window (time x streams) and the gradients of its mean negative log probability."""
-        kept, states = [], []
-        for t in range(len(words)):
-            h, cache = self.step(before if t == 0 else words[t - 1], h)
-            kept.append(cache)
-            states.append(h)
-        seen = max(1.0, mask.sum())
-        hs, target = np.concatenate(states), words.ravel()
-        weight = (mask.ravel() / seen).astype(np.float32)[:, None]
-        kind, place = target // PER_CLASS, target % PER_CLASS
-        rows = np.arange(len(target))
+        steps, size = len(words), HIDDEN
+        read = np.concatenate([before[None], words[:-1]])
+        x, uzr = self.x[read], np.concatenate([self.uz, self.ur], axis=1)
+        was, gates, new, states = (np.empty((steps, len(h), k), dtype=h.dtype) for k in (size, 2 * size, size, size))
+        for t in range(steps):
+            was[t] = h
+            gates[t] = g = _gate(x[t, :, : 2 * size] + h @ uzr)
+            new[t] = n = np.tanh(x[t, :, 2 * size :] + (g[:, size:] * h) @ self.un)
+            states[t] = h = n + g[:, :size] * (h - n)
+        z, r = gates[:, :, :size], gates[:, :, size:]
+        # The output: rows sorted by class, so that each class's are a slice.
+        order = np.argsort(words.ravel() // PER_CLASS, kind="stable")
+        target, weight = words.ravel()[order], (mask.ravel()[order] / max(1.0, mask.sum())).astype(np.float32)[:, None]
+        hs, kind, rows = states.reshape(-1, size)[order], target // PER_CLASS, np.arange(len(order))
         dc = _softmax(hs @ self.wc + self.bc)
         dc[rows, kind] -= 1
         dc *= weight
-        block = self.o[kind]
-        dw = _softmax(np.einsum("bh,bkh->bk", hs, block) + self.bo[kind])
-        dw[rows, place] -= 1
+        first = np.flatnonzero(np.diff(kind, prepend=-1))
+        slices = [(c, slice(i, j)) for c, i, j in zip(kind[first], first, np.append(first[1:], len(kind)), strict=True)]
+        dw, dh_out = self.bo[kind], dc @ self.wc.T
+        for c, own in slices:
+            dw[own] += hs[own] @ self.o[c].T
+        dw = _softmax(dw)
+        dw[rows, target % PER_CLASS] -= 1
         dw *= weight
-        dh_out = (dc @ self.wc.T + np.einsum("bk,bkh->bh", dw, block)).reshape(len(words), -1, HIDDEN)
         g = [np.zeros_like(p) for p in self.parameters()]
         gx, guz, gur, gun, gwc, gbc, go, gbo = g
         gwc += hs.T @ dc
         gbc += dc.sum(axis=0)
-        np.add.at(go, kind, dw[:, :, None] * hs[:, None, :])
-        np.add.at(gbo, kind, dw)
+        gbo[kind[first]] = np.add.reduceat(dw, first)
+        for c, own in slices:
+            go[c] = dw[own].T @ hs[own]
+            dh_out[own] += dw[own] @ self.o[c]
+        back = np.empty_like(dh_out)
+        back[order] = dh_out
+        back = back.reshape(states.shape)
+        # The states, from the last step to the first.
+        of_n, of_z, of_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), was * r * (1 - r)
+        dx, un, uzr = np.empty_like(x), self.un.T.copy(), uzr.T.copy()
         dh = np.zeros_like(h)
-        for t in range(len(words) - 1, -1, -1):
-            word, was, z, r, n = kept[t]
-            dh = dh + dh_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (was - n) * z * (1 - z)
-            inner = dn @ self.un.T
-            dr = inner * was * r * (1 - r)
-            gun += (r * was).T @ dn
-            guz += was.T @ dz
-            gur += was.T @ dr
-            np.add.at(gx, word, np.concatenate([dz, dr, dn], axis=1))
-            dh = dh * z + inner * r + dz @ self.uz.T + dr @ self.ur.T
+        for t in range(steps - 1, -1, -1):
+            dh = dh + back[t]
+            d = dx[t]
+            dn = d[:, 2 * size :] = dh * of_n[t]
+            inner = dn @ un
+            d[:, :size] = dh * of_z[t]
+            d[:, size : 2 * size] = inner * of_r[t]
+            dh = dh * z[t] + inner * r[t] + d[:, : 2 * size] @ uzr
+        flat, past = dx.reshape(-1, 3 * size), was.reshape(-1, size)
+        guz += past.T @ flat[:, :size]
+        gur += past.T @ flat[:, size : 2 * size]
+        gun += (r * was).reshape(-1, size).T @ flat[:, 2 * size :]
+        order = np.argsort(read.ravel(), kind="stable")
+        first = np.flatnonzero(np.diff(read.ravel()[order], prepend=-1))
+        gx[read.ravel()[order[first]]] = np.add.reduceat(flat[order], first)
         return h, g
 
 
@@ -270,8 +287,8 @@ def numbered(column: pa.Array, words: np.ndarray, number: np.ndarray) -> Iterato
         yield a, b, h, place, w.doc, flat, lengths
 
 
-def fit(docs: DataFrame, trains: Column, counts: Counts, share: int = TRAIN_SHARE) -> Network:
-    """Average of the networks that the partitions train on one in ``share`` of their training documents."""
+def fit(docs: DataFrame, trains: Column, counts: Counts) -> Network:
+    """Average of the networks that the partitions train on all their training documents."""
     number, freq = vocabulary(counts)
     words = counts.words
 
@@ -294,9 +311,8 @@ def fit(docs: DataFrame, trains: Column, counts: Counts, share: int = TRAIN_SHAR
                 n += seen
         yield pa.RecordBatch.from_arrays([pa.array([acc.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "seen"])
 
-    chosen = docs.where(trains & (F.pmod(F.xxhash64(id_crc(), F.lit(3)), F.lit(share)) == 0))
     kind = "weights binary, seen long"
-    sums = _tokens(chosen).select("text").mapInArrow(local, kind).repartition(_SUMMERS).mapInArrow(total, kind).collect()
+    sums = _tokens(docs.where(trains)).select("text").mapInArrow(local, kind).repartition(_SUMMERS).mapInArrow(total, kind).collect()
     n = sum(r.seen for r in sums)
     network = Network(freq)
     return network.unpack(sum(np.frombuffer(r.weights) for r in sums) / n) if n else network

@@ -392,6 +392,19 @@ def test_training_lowers_loss():
     assert lmscore.score_documents(net, np.concatenate(texts[:5]), np.array([40] * 5)).sum() > 0.5 * before
 
 
+def test_every_training_document_is_learned(spark):
+    texts = [prose(RNG.randint(0, 50)) for _ in range(40)]
+    for ids in (range(40), [7] * 40, [None] * 40):
+        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1)
+        _, counts = lmscore.corpus_counts(rows, F.lit(True))
+        found = lmscore.fit(rows, F.lit(True), counts)
+        number, freq = lmscore.vocabulary(counts)
+        parts = [np.split(flat.astype(np.int64), np.cumsum(n)[:-1]) for *_, flat, n in lmscore.numbered(rows.toArrow().column("text").combine_chunks(), counts.words, number)]
+        alone = lmscore.Network(freq)
+        assert lmscore.train(alone, iter(sum(parts, []))) == counts.tokens
+        assert np.allclose(found.packed(), alone.packed(), atol=1e-4)
+
+
 # 9: licenses ------------------------------------------------------------------------------------------------------
 
 
