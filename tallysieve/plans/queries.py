@@ -417,9 +417,9 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document openings as plain words, accents off."""
+    """Documents as plain words, accents off."""
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", text.plain(F.left("text", F.lit(200))).alias("plain"))
+    return rows.select("doc_id", text.plain(F.col("text")).alias("plain"))
 
 
 @query
