@@ -91,7 +91,7 @@ def dedup_dual_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which arrivals the store has, by which key."""
     rows = keyed(spark, sf_dir)
-    return dedup.known_candidates(rows.where("seq % 4 = 1"), stored_half(rows))
+    return dedup.known_candidates(rows.where("seq % 4 != 0"), stored_half(rows))
 
 
 @query
@@ -231,7 +231,7 @@ def tracker_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a made-up tracker against the store."""
     rows = keyed(spark, sf_dir)
     link = F.when(F.col("seq") % 3 == 0, F.concat(F.regexp_replace("url", "^https://", ""), F.lit("/"))).when(F.col("seq") % 3 == 1, "").otherwise("https://nowhere.example.net/x")
-    tracker = rows.where("seq % 50 = 7").select("company", F.col("title").alias("role"), link.alias("link"))
+    tracker = rows.select("company", F.col("title").alias("role"), link.alias("link"))
     return dedup.match_tracker(stored_half(rows), tracker).groupBy("method", "already_applied").agg(F.count("*").alias("n"), F.countDistinct("matched_id").alias("n_matched"))
 
 
@@ -376,7 +376,7 @@ def notification_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers and bodies of notices."""
     from tallysieve.operators.sinks import notices
 
-    return notices(synth.postings(spark, sf_dir).where("seq % 40 = 0").withColumn("suggested_resume", F.lit("General"))).select("id", "title_header", "body", "priority")
+    return notices(synth.postings(spark, sf_dir).withColumn("suggested_resume", F.lit("General"))).select("id", "title_header", "body", "priority")
 
 
 @query
@@ -425,7 +425,7 @@ def plain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def board_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board payloads made from postings, read back as listings."""
-    rows = synth.postings(spark, sf_dir).where("seq % 3 = 2")
+    rows = synth.postings(spark, sf_dir)
     board = F.element_at(F.array(F.lit("greenhouse"), F.lit("lever"), F.lit("ashby"), F.lit("smartrecruiters")), (F.col("seq") % 4 + 1).cast("int"))
     job = rows.select("company", board.alias("platform"), "seq", "title", "location", "url", "description", "found_s")
     greenhouse = F.to_json(F.struct(F.array(F.struct("title", F.struct(F.col("location").alias("name")).alias("location"), F.col("url").alias("absolute_url"), F.col("description").alias("content"), F.lit("2024-01-01").alias("updated_at"))).alias("jobs")))
