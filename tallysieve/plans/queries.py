@@ -261,14 +261,14 @@ def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows that company buckets bring together."""
-    return resolve.bucket_pairs(_featured(spark, sf_dir), 40)
+    return resolve.bucket_pairs(_featured(spark, sf_dir))
 
 
 @query
 def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bucket pairs whose metadata agree."""
     features = _featured(spark, sf_dir)
-    return resolve.matching(resolve.bucket_pairs(features, 40), features)
+    return resolve.matching(resolve.bucket_pairs(features), features)
 
 
 @query

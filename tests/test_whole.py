@@ -4,14 +4,17 @@ import os
 
 import pytest
 
+from tallysieve import synth
 from tallysieve.plans.oracle import SQL
 from tallysieve.plans.queries import QUERIES
 from tests.test_queries import SF, duck, plain  # noqa: F401
 
 #: What the SQL of each query cuts, and the same without the cut.
 CUTS = {
+    "blocked_pairs": [("BETWEEN 2 AND 40", "BETWEEN 2 AND 60")],
     "board_listings": [(" WHERE seq % 3 = 2", "")],
     "candidate_dedup": [("b.seq % 4 = 1", "b.seq % 4 <> 0")],
+    "matched_pairs": [("BETWEEN 2 AND 40", "BETWEEN 2 AND 60")],
     "notification_text": [("seq % 40 = 0 AND ", "")],
     "plain_names": [("left(text, 200)", "text")],
     "tracker_match": [(" WHERE seq % 50 = 7", "")],
@@ -29,3 +32,11 @@ def test_whole_job(spark, duck, name):  # noqa: F811
     columns = [d[0] for d in found.description]
     ours = sorted(tuple(map(plain, row)) for row in df.select(*columns).collect())
     assert ours == sorted(tuple(map(plain, row)) for row in found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["blocked_pairs", "matched_pairs"])
+def test_buckets_of_60_rows_make_pairs(spark, name, monkeypatch):
+    rows = [(i, "Acme Rockets", "Data Engineer Intern", "Austin, TX", f"https://acme.example/{i}", None, False, str(i)) for i in range(60)]
+    made = spark.createDataFrame(rows, "seq long, company string, title string, location string, url string, apply_url string, is_easy_apply boolean, id string")
+    monkeypatch.setattr(synth, "postings", lambda spark, sf_dir: made)
+    assert QUERIES[name](spark, SF).count() == 60 * 59 // 2
