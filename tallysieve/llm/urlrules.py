@@ -1,7 +1,7 @@
 """URL filters: list rules, and association rules that FP-growth mines from labels.
 
-A url becomes a set of tokens: its scheme, the suffixes of its host, its path's
-first segments without digits, file endings and query keys.  Spark's FP-growth
+A url becomes a set of tokens: its scheme, the suffixes of its host, all segments of
+its path with each run of digits as 0, file endings and query keys.  Spark's FP-growth
 finds token combinations that go with the label ``block``; rules below the support
 or confidence bounds, or no better than a part of theirs, are dropped.  The rest are
 indexed by their rarest token; a url looks its tokens up and a rule matches if the
@@ -26,7 +26,6 @@ from tallysieve.llm.textkit import saved
 LIST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BLOCKED = "=block"
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.6, 4
-SEGMENTS = 3
 BROADCAST_RULES = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,7 +63,8 @@ def tokens(p: Parts) -> Column:
     labels = F.filter(F.split(p.host, r"\."), lambda x: x != "")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")))
-    segments = F.transform(F.filter(F.slice(F.filter(F.split(F.translate(p.path, _UPPER, _LOWER), "/"), lambda x: x != ""), 1, SEGMENTS), lambda x: ~F.rlike(x, F.lit("[0-9]"))), lambda x: F.concat(F.lit("p:"), x))
+    segments = F.filter(F.split(F.regexp_replace(F.translate(p.path, _UPPER, _LOWER), "[0-9]+", "0"), "/"), lambda x: x != "")
+    segments = F.transform(segments, lambda x: F.concat(F.lit("p:"), x))
     ending = F.regexp_extract(p.path, r"\.([A-Za-z]{1,5})$", 1)
     keys = F.transform(F.filter(F.split(p.query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
     every = F.concat(F.array(F.concat(F.lit("s:"), p.scheme)), F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")), segments, F.array(F.concat(F.lit("e:"), ending)), keys)

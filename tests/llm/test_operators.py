@@ -117,6 +117,15 @@ def test_mined_rules_match_brute_force(spark):
     assert urlrules.judge(pages, labels.limit(0)).where("verdict = 'block'").isEmpty() and urlrules.judge(pages.limit(0), labels).isEmpty()
 
 
+@pytest.mark.parametrize("bad, good", [("/a/b/c/d/win", "/a/b/c/d/en"), ("/a/ads{k}", "/a/x{k}"), ("/a/b/c/{k}-win/y", "/a/b/c/{k}-en/y")])
+def test_rules_read_the_whole_path(spark, bad, good):
+    urls = [f"https://www.example.info{path.format(k=k)}/{k}" for k in range(40) for path in (bad, good)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = {r.page_id: r.verdict for r in urlrules.judge(pages, labels).collect()}
+    assert got == {i: "allow" if i % 2 else "block" for i in range(80)}
+
+
 # 3: near duplicates -----------------------------------------------------------------------------------------------
 
 
