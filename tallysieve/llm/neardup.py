@@ -18,7 +18,8 @@ original of the bucket's copies.  Members of buckets that then still hold severa
 components go through an exact search: texts of similarity s share one of their
 rarest shingles (a 1 - s share of them), and the place of the first shared one bounds
 the similarity, so pairs are made only between components and only where s can be
-reached.  No link of a bucket is lost.
+reached.  So classes are whole; the links of the components with such members are
+then counted by comparing all their texts, blocks of ``BLOCK`` against each other.
 
 Defined results: null counts as the empty text; texts without words are linked only
 to equal texts; texts of fewer than five words have one shingle of all their words;
@@ -42,6 +43,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
 PAIRS_UP_TO = 32
+BLOCK = 256
+_COLUMNS = 1 << 13
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,17 +149,19 @@ def candidates(keys: DataFrame, up_to: int = PAIRS_UP_TO) -> tuple[DataFrame, Da
     return small.union(star).distinct(), large.select("key", "node")
 
 
+def shingled(column: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text."""
+    out = []
+    for a, b, words in word_chunks(column):
+        s, d, _ = weighted(*shingle_hashes(words.hashes(), words.counts, SHINGLE))
+        cut = np.searchsorted(d, np.arange(b - a + 1))
+        out += [s[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar enough; ``texts`` is (node, text), unique by node."""
 
-    def shingled(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for a, b, words in word_chunks(column):
-            s, d, _ = weighted(*shingle_hashes(words.hashes(), words.counts, SHINGLE))
-            cut = np.searchsorted(d, np.arange(b - a + 1))
-            out += [s[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -201,11 +206,47 @@ def rare_pairs(members: DataFrame, texts: DataFrame, labels: DataFrame, similari
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """left x right: how many shingles two texts share, by products of incidence matrices of some columns at a time."""
+    join = lambda side: np.concatenate([*side, np.empty(0, dtype=np.uint64)])
+    common = np.intersect1d(join(left), join(right))
+    out = np.zeros((len(left), len(right)))
+    for at in range(0, len(common), _COLUMNS):
+        columns = common[at : at + _COLUMNS]
+        x, y = (np.array([np.isin(columns, own, assume_unique=True) for own in side], dtype=np.float32) for side in (left, right))
+        out += x @ y.T
+    return out
+
+
+def exact_links(members: DataFrame, texts: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(node, n_links) of all nodes of the components (node, comp) that have members of large buckets."""
+    big = members.select("node").join(labels, "node").select("comp").distinct()
+    nodes = labels.join(big, "comp", "left_semi")
+    sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
+    nodes = nodes.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts"))).join(texts, "node")
+    met = nodes.select("comp", "node", "own", "text", F.explode(F.expr("sequence(0L, parts - 1)")).alias("other"))
+    met = met.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
+
+    def count(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, own, sets = group.column("node").to_numpy(), group.column("own").to_numpy(), shingled(group.column("text").chunk(0))
+        sizes = np.array([len(x) for x in sets])
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        links = shared / np.maximum(1, sizes[left][:, None] + sizes[right] - shared) >= similarity
+        links &= node[left][:, None] != node[right]
+        ends = [(left, links.sum(axis=1))] + ([(right, links.sum(axis=0))] if i != j else [])
+        return pa.table({"node": np.concatenate([node[k] for k, _ in ends]), "n_links": np.concatenate([n for _, n in ends]).astype(np.int64)})
+
+    found = met.groupBy("comp", "i", "j").applyInArrow(count, "node long, n_links long")
+    return found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, node, class_node, class_id (smallest id of the class), class_size and n_links of every row.
 
-    ``n_links`` counts the verified links of the row's text to other texts; within a
-    class, members of buckets of more than ``PAIRS_UP_TO`` texts are not all compared.
+    ``n_links`` counts the links of the row's text to other texts.
     """
     rows_of = saved(sketch(docs, bands, rows))
     texts_of = rows_of.groupBy("node").agg(F.first("keys").alias("keys"))
@@ -216,13 +257,17 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     texts = saved(whole.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     links = saved(verified(pairs, texts, similarity))
     labels = components(links)
-    if not members.isEmpty():
+    large = not members.isEmpty()
+    if large:
         more = saved(verified(rare_pairs(members, texts, labels, similarity), texts, similarity))
         if not more.isEmpty():
             links = saved(links.union(more).distinct())
             labels = components(links)
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     counts = ends.groupBy("node").agg(F.count("*").alias("n_links"))
+    if large:
+        exact = saved(exact_links(members, texts, labels, similarity))
+        counts = counts.join(exact, "node", "left_anti").union(exact)
     found = labels.withColumnRenamed("comp", "class_node").join(counts, "node", "left")
     listed = rows_of.select("doc_id", "node").join(found, "node", "left")
     listed = listed.select("doc_id", "node", F.coalesce("class_node", "node").alias("class_node"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

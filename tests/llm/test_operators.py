@@ -171,6 +171,17 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_links_of_large_buckets_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    base = prose(300)
+    texts = [base, *(edited(base, RNG.randint(1, 6)) for _ in range(70)), *(prose(60) for _ in range(5)), base]
+    sets = [shingles(t) for t in texts]
+    near = lambda i, j: texts[i] != texts[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    got = {r.doc_id: r.n_links for r in neardup.near_duplicates(docs(spark, *texts)).collect()}
+    different = {t: i for i, t in enumerate(texts)}
+    assert got == {i: sum(near(i, j) for j in different.values()) for i in range(len(texts))} and got[0] >= 70
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     ids = rng.integers(1, 1 << 62, 300).astype(np.uint64)
