@@ -3,8 +3,9 @@
 Each Arrow batch of documents is a shard.  Its index holds, for every term that
 occurs in the benchmark, the sorted positions of the term in the shard; texts are
 set apart by gaps, so no phrase crosses from one to the next.  A phrase starts from
-the posting list of its rarest term in the shard, moved by the term's offset, and is
-intersected with the moved lists of its other terms from rare to common.  A
+the posting list of its rarest term in the shard, moved by the term's offset; its
+other terms, from rare to common, are looked up in the array of the shard's terms by
+position, which keeps what an intersection with their moved lists would.  A
 proximity match is a text in which the rarest terms of an item all lie within a
 span of words.
 

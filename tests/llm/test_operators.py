@@ -247,6 +247,29 @@ def test_proximity(spark):
     assert [list(r.near_items) for r in near.orderBy("doc_id").collect()] == [["i"], [], ["i"], [], []]
 
 
+def test_query_finds_proximity_like_brute_force(spark, tmp_path):
+    items = [(str(k), prose(RNG.randint(1, 12))) for k in range(40)]
+    texts = [prose(RNG.randint(0, 300)) for _ in range(60)]
+    for k in range(40):
+        own = words(items[k][1])
+        RNG.shuffle(own)
+        texts.append(prose(30) + " " + (" " + prose(RNG.randint(0, 12)) + " ").join(own) + " " + prose(30))
+    texts += [None, ""]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = Counter(w for _, t in items for w in set(words(t)))
+    code = lambda w: int(textkit.words_of(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w.encode())])).hashes()[0])
+    rarest = {n: sorted(set(words(t)), key=lambda w: (df[w], code(w)))[: decontam.NEAR_TERMS] for n, t in items}
+    reach, found = decontam.NEAR_SPAN // 2, 0
+    for r in queries.op4_decontamination(spark, str(tmp_path)).collect():
+        own = words(texts[r.doc_id])
+        near = lambda ts, own=own: any(own[i] == ts[0] and all(t in own[max(0, i - reach) : i + reach + 1] for t in ts[1:]) for i in range(len(own)))
+        want = sorted(n for n, ts in rarest.items() if near(ts))
+        found += len(want)
+        assert r.near_items == ",".join(want)
+    assert found >= 40
+
+
 # 5: secrets -------------------------------------------------------------------------------------------------------
 
 
