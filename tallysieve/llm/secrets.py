@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed zstandard compressor.
 
 Three patterns give the base spans.  The method adds spans of its own: a candidate
-is a token with digits that follows a sensitive word closely; its novelty is the
-number of bytes that it adds to a zstandard frame whose dictionary is a list of
+is a token with digits, dots within it included, that stands closely before or after
+a sensitive word; words of prose, which the dictionary lacks, add all their letters,
+so tokens without digits are not compared.  A candidate's novelty is the number of bytes that it adds to a zstandard frame whose dictionary is a list of
 common identifiers followed by the text around the candidate.  Code, names and
 prose compress against that dictionary; random key material does not.
 
@@ -13,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -31,7 +34,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 _SENSITIVE = (b"passw", b"secret", b"token", b"api", b"key", b"auth", b"credential", b"bearer", b"private", b"signature", b"cookie")
 _CONTEXT = re.compile("passw|secret|token|api|key|auth|credential|bearer|private|signature|cookie", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+_DIGIT = re.compile("[0-9]")
 _REACH, _BEFORE, _AFTER = 64, 2048, 512
 MIN_BYTES, MIN_SHARE = 12, 0.5
 
@@ -76,21 +80,21 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> lis
     if not any(word in low for word in _SENSITIVE):
         return []
     out, seen = [], set()
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    ends = [j for _, j in tokens]
     for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + _REACH + 512)):
-            i, j = m.span()
-            if i - word.end() > _REACH:
-                break
-            if i in seen:
-                continue
-            seen.add(i)
-            j = i + len(re.match(r"[A-Za-z0-9+/_=-]+", text[i:])[0]) if j == word.end() + _REACH + 512 else j
-            if not any(c.isdigit() for c in text[i:j]) or any(s[0] < j and i < s[1] for s in (*taken, *out)):
-                continue
-            around = (text[max(0, i - _BEFORE) : i] + "\n" + text[j : j + _AFTER]).encode("utf-8", "replace")
-            found = novelty(text[i:j].encode(), around)
-            if found >= MIN_BYTES and found >= MIN_SHARE * (j - i):
-                out.append((i, j, "novel", found))
+        for begin, end in itertools.takewhile(lambda t: t[0] <= word.end() + _REACH, itertools.islice(tokens, bisect.bisect_left(ends, word.start() - _REACH), None)):  # noqa: B023
+            for i, j in ((begin, min(end, word.start())), (max(begin, word.end()), end)):
+                # A candidate adds no more bytes than it has.
+                if j - i < MIN_BYTES or (i, j) in seen or not _DIGIT.search(text, i, j):
+                    continue
+                seen.add((i, j))
+                if any(s[0] < j and i < s[1] for s in (*taken, *out)):
+                    continue
+                around = (text[max(0, i - _BEFORE) : i] + "\n" + text[j : j + _AFTER]).encode("utf-8", "replace")
+                found = novelty(text[i:j].encode(), around)
+                if found >= MIN_BYTES and found >= MIN_SHARE * (j - i):
+                    out.append((i, j, "novel", found))
     return out
 
 

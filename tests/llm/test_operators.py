@@ -291,6 +291,15 @@ def test_novel_spans_do_not_overlap(spark):
     assert len(found) == 1 and "9fQ2xL7vTz4KpW8nRb3YhC6m" in text[found[0].start : found[0].end]
 
 
+@pytest.mark.parametrize("key", ["9fQ2xL7vTz4KpW8nRb3YhC6m", "9fQ2xL7vTz4Kp", "eyJhbGciOiJIUzI1NiJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIn0" * 4 + ".SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"])
+def test_novel_keys_are_found_whole_on_both_sides(key):
+    for text in (f"Authorization: Bearer {key}, then more", f"the value {key} is the signature", f"{key} (cookie)"):
+        at = text.index(key)
+        assert [s[:3] for s in secrets.spans_of(text, text.encode())] == [(at, at + len(key), "novel")]
+    assert secrets.spans_of(f"{key} " + "x " * 60 + "cookie", b"cookie") == []
+    assert secrets.spans_of("the key responsibilities", b"the key responsibilities") == []
+
+
 def test_novelty_tells_keys_from_names():
     around = b"client configuration parameter session identifier"
     assert secrets.novelty(b"9fQ2xL7vTz4KpW8nRb3YhC6m", around) > 1.5 * secrets.novelty(b"client_session_parameter", around)
