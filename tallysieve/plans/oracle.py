@@ -110,7 +110,7 @@ define(
 define("dedup_dual_key", "SELECT seq, id, norm_key FROM keyed k WHERE seq % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM keyed s WHERE s.seq % 4 = 0 AND s.id = k.id) AND NOT EXISTS (SELECT 1 FROM keyed s WHERE s.seq % 4 = 0 AND s.norm_key = k.norm_key)", KEYED)
 define(
     "candidate_dedup",
-    "SELECT id, min(how) AS matched_by FROM (SELECT b.id, 'id' AS how FROM keyed b WHERE b.seq % 4 = 1 AND b.id IN (SELECT id FROM keyed WHERE seq % 4 = 0) UNION ALL SELECT b.id, 'norm_key' FROM keyed b WHERE b.seq % 4 = 1 AND b.norm_key IN (SELECT norm_key FROM keyed WHERE seq % 4 = 0)) GROUP BY id",
+    "SELECT id, min(how) AS matched_by FROM (SELECT b.id, 'id' AS how FROM keyed b WHERE b.seq % 4 <> 0 AND b.id IN (SELECT id FROM keyed WHERE seq % 4 = 0) UNION ALL SELECT b.id, 'norm_key' FROM keyed b WHERE b.seq % 4 <> 0 AND b.norm_key IN (SELECT norm_key FROM keyed WHERE seq % 4 = 0)) GROUP BY id",
     KEYED,
 )
 define("dedup_first_per_key", "SELECT min(seq) AS seq, norm_key FROM keyed GROUP BY norm_key", KEYED)
@@ -280,7 +280,7 @@ define(
     f"urls AS (SELECT id, status, seq, k, {short_url('u')} AS u FROM (SELECT id, status, seq, 0 AS k, url AS u FROM keyed WHERE seq % 4 = 0 UNION ALL SELECT id, status, seq, 1, apply_url FROM keyed WHERE seq % 4 = 0))",
     "by_url AS (SELECT u, id, status FROM urls WHERE u <> '' QUALIFY row_number() OVER (PARTITION BY u ORDER BY seq, k) = 1)",
     "by_key AS (SELECT norm_key, id, status FROM keyed WHERE seq % 4 = 0 QUALIFY row_number() OVER (PARTITION BY norm_key ORDER BY seq) = 1)",
-    f"tracker AS (SELECT norm_key, {short_url('link')} AS u FROM (SELECT norm_key, CASE WHEN seq % 3 = 0 THEN {sub('url', '^https://')} || '/' WHEN seq % 3 = 1 THEN '' ELSE 'https://nowhere.example.net/x' END AS link FROM keyed WHERE seq % 50 = 7))",
+    f"tracker AS (SELECT norm_key, {short_url('link')} AS u FROM (SELECT norm_key, CASE WHEN seq % 3 = 0 THEN {sub('url', '^https://')} || '/' WHEN seq % 3 = 1 THEN '' ELSE 'https://nowhere.example.net/x' END AS link FROM keyed))",
     "matched AS (SELECT coalesce(a.id, b.id) AS matched_id, CASE WHEN a.id IS NOT NULL THEN 'url' WHEN b.id IS NOT NULL THEN 'norm_key' END AS method, coalesce(CASE WHEN a.id IS NOT NULL THEN a.status ELSE b.status END = 'applied', false) AS already_applied FROM tracker t LEFT JOIN by_url a ON t.u = a.u LEFT JOIN by_key b ON t.norm_key = b.norm_key)",
 )
 
@@ -332,7 +332,7 @@ _BUCKETS = (
     "sized AS (SELECT bucket FROM buckets GROUP BY bucket HAVING count(*) BETWEEN 2 AND {most})",
     "pairs AS (SELECT DISTINCT x.seq AS a, y.seq AS b FROM buckets x JOIN sized USING (bucket) JOIN buckets y USING (bucket) WHERE x.seq < y.seq)",
 )
-define("blocked_pairs", "SELECT a, b FROM pairs", *_WORDED, *(t.format(most=40) for t in _BUCKETS))
+define("blocked_pairs", "SELECT a, b FROM pairs", *_WORDED, *(t.format(most=60) for t in _BUCKETS))
 
 
 def _place(c: str) -> str:
@@ -361,7 +361,7 @@ MATCH = (
     f"AND NOT {_clash('x.seasons', 'y.seasons')} AND NOT {_clash('x.years', 'y.years')} AND NOT {_clash('x.states', 'y.states')} AND NOT {_clash('x.specs', 'y.specs')} AND NOT {_clash(_STRONG('x.specs'), _STRONG('y.specs'))} "
     f"AND len(x.w) > 0 AND len(y.w) > 0 AND ((len(x.w) = len(y.w) AND {containment('x.w', 'y.w')} = 1) OR (x.search <> y.search AND {containment('x.w', 'y.w')} >= 0.8 AND {jaccard('x.w', 'y.w')} >= 0.55))"
 )
-define("matched_pairs", f"SELECT a, b FROM pairs JOIN features x ON x.seq = a JOIN features y ON y.seq = b WHERE {MATCH}", *_WORDED, *(t.format(most=40) for t in _BUCKETS), *_MATCHING)
+define("matched_pairs", f"SELECT a, b FROM pairs JOIN features x ON x.seq = a JOIN features y ON y.seq = b WHERE {MATCH}", *_WORDED, *(t.format(most=60) for t in _BUCKETS), *_MATCHING)
 _RANK = "CASE {} WHEN 'applied' THEN 3 WHEN 'dismissed' THEN 2 WHEN 'saved' THEN 1 ELSE 0 END"
 _OF_RANK = "list_extract(['new', 'saved', 'dismissed', 'applied'], CAST({} AS INT) + 1)"
 # Reachability by repeated label passing: each round takes the smallest label next to a row, then its label's label.
@@ -426,17 +426,17 @@ define(
 )
 define(
     "notification_text",
-    f"SELECT id, {sub("company || ' - ' || title", '[^\\x00-\\x7F]', '?')} AS title_header, tier || CASE WHEN location <> '' THEN chr(10) || location ELSE '' END || chr(10) || 'Resume: General' AS body, CASE WHEN tier = 'APPLY' THEN 'high' ELSE 'default' END AS priority FROM postings WHERE seq % 40 = 0 AND tier IN ('APPLY', 'APPLY_CAVEAT')",
+    f"SELECT id, {sub("company || ' - ' || title", '[^\\x00-\\x7F]', '?')} AS title_header, tier || CASE WHEN location <> '' THEN chr(10) || location ELSE '' END || chr(10) || 'Resume: General' AS body, CASE WHEN tier = 'APPLY' THEN 'high' ELSE 'default' END AS priority FROM postings WHERE tier IN ('APPLY', 'APPLY_CAVEAT')",
 )
 SQL["events_json_props"] = "SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS n_k FROM events GROUP BY event_type"
 SQL["event_windows"] = "SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS start_s, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["stream_dedup"] = "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, CAST(sum(event_id) AS BIGINT) AS sum_ids FROM events GROUP BY event_type"
-SQL["plain_names"] = f"SELECT doc_id, {plain('left(text, 200)')} AS plain FROM documents"
+SQL["plain_names"] = f"SELECT doc_id, {plain('text')} AS plain FROM documents"
 define(
     "board_listings",
     """SELECT 'ats:' || left(sha1(url), 16) AS id, title, company, CASE WHEN seq % 4 = 3 THEN concat_ws(', ', nullif(location, ''), 'us') ELSE location END AS location, url,
     CASE seq % 4 WHEN 0 THEN '2024-01-01' WHEN 1 THEN strftime(make_timestamp(found_s * 1000000), '%Y-%m-%dT%H:%M:%SZ') WHEN 2 THEN '2024-01-02' ELSE '2024-01-03' END AS posted_at,
-    CASE WHEN seq % 4 <> 3 THEN CAST(length(description) AS INT) END AS n_description FROM postings WHERE seq % 3 = 2""",
+    CASE WHEN seq % 4 <> 3 THEN CAST(length(description) AS INT) END AS n_description FROM postings""",
 )
 define(
     "maintenance_log",
