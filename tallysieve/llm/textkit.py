@@ -9,6 +9,7 @@ any machine, in any run.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -195,5 +196,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, in a folder for each value of ``by``: readers prune rows and columns."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    (df.write.partitionBy(*by) if by else df.write).parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def single_threaded(spark: SparkSession) -> None:
+    """Python workers that start from now on use one thread each for matrix products: Spark runs one on every core."""
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

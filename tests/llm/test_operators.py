@@ -400,61 +400,141 @@ def test_ordinal_gradient():
 # 8: language model ------------------------------------------------------------------------------------------------
 
 
+LM_TEXTS = [prose(RNG.randint(0, 60)) + " Éx,y" for _ in range(80)] + [None, "", "never-seen word", "a\tb\nc\x0bd", "same text", "same text"]
+
+
+def held():
+    return F.pmod(textkit.id_crc(), F.lit(7)) == 2
+
+
+def lm_tokens(text):
+    return [*re.findall("[^\x20\x09-\x0d]+", textkit.lower_ascii(text or "")), None]
+
+
+def ending(word):
+    code = 0
+    for k in (1, 2, 3):
+        code = code * 257 + (word.encode()[-k] + 1 if len(word.encode()) >= k else 0)
+    return (code * 0x9E3779B1 >> 13) % (lmscore.PER_CLASS - 1) + 1
+
+
 def test_scores_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "FREQUENT_SHARE", 50)
-    texts = [prose(RNG.randint(0, 60)) + " Éx,y" for _ in range(80)] + [None, "", "never-seen word", "a\tb\nc\x0bd"]
-    rows = lmscore.score(docs(spark, *texts), F.pmod(textkit.id_crc(), F.lit(7)) == 2).collect()
-    token = lambda t: [*re.findall("[^\x20\x09-\x0d]+", textkit.lower_ascii(t or "")), None]
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
-    counts = Counter(w for i, t in enumerate(texts) if not out[i] for w in token(t))
+    monkeypatch.setattr(lmscore, "FREQUENT_SHARE", 400)
+    monkeypatch.setattr(lmscore, "CLASSES", 2)
+    monkeypatch.setattr(lmscore, "REPLICA_TOKENS", 100)
+    nets = []
+    fit = lmscore.fit
+    monkeypatch.setattr(lmscore, "fit", lambda *a: nets.append(fit(*a)) or nets[-1])
+    rows = lmscore.score(docs(spark, *LM_TEXTS), held()).collect()
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(LM_TEXTS))}
+    counts = Counter(w for i, t in enumerate(LM_TEXTS) if not out[i] for w in lm_tokens(t))
     n, v = sum(counts.values()), len(counts)
+    frequent = [w for w in counts if w is not None and counts[w] * 400 >= n]
+    code = lambda w: int(textkit.words_of(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w.encode())]), graph=True).hashes()[0])
+    named = {w: 64 + k for k, w in enumerate(sorted(frequent, key=lambda w: (-counts[w], code(w)))[:64])}
+    shared = Counter()
+    for w, c in counts.items():
+        if w is not None and w not in named:
+            shared[ending(w)] += c + 1
+    net = nets[0]
+    assert any(named) and any(w not in named for w in frequent) and len(frequent) < v - 1
+
+    def whole(text):
+        h, last, total = np.zeros(lmscore.HIDDEN), 0, 0.0
+        for w in lm_tokens(text):
+            if last == 0:
+                h = np.zeros(lmscore.HIDDEN)
+            x, size = net.x[last].astype(float), lmscore.HIDDEN
+            g = 1 / (1 + np.exp(-(h @ net.uzr + x[: 2 * size])))
+            new = np.tanh((g[size:] * h) @ net.un + x[2 * size :])
+            h = new + g[:size] * (h - new)
+            last = 0 if w is None else named.get(w) or ending(w)
+            kind, place = divmod(last, lmscore.PER_CLASS)
+            a, b = np.exp(h @ net.wc + net.bc), np.exp(h @ net.o[kind].T + net.bo[kind])
+            total += math.log10(a[kind] / a.sum()) + math.log10(b[place] / b.sum())
+            if w is not None and w not in named:
+                total += math.log10((counts[w] + 1) / (shared[last] + 1))
+        return total
+
     for r in rows:
-        own = token(texts[r.doc_id])
+        own = lm_tokens(LM_TEXTS[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[r.doc_id], len(own), sum(w in counts for w in own), n)
-        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 and r.score < 0
-    assert len(rows) == len(texts) and lmscore.score(docs(spark, "a").limit(0), F.lit(False)).count() == 0
+        assert abs(r.base_score - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own)) < 1e-6
+        assert abs(r.score - whole(LM_TEXTS[r.doc_id])) < 1e-3
+    assert len(rows) == len(LM_TEXTS) and lmscore.score(docs(spark, "a").limit(0), F.lit(False)).count() == 0
+    unknown = lmscore.score(docs(spark, "a b", None), F.lit(True)).collect()
+    assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in unknown)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "REPLICA_TOKENS", 100)
+    rows = docs(spark, *LM_TEXTS)
+    found = [{r.doc_id: r.score for r in lmscore.score(rows.repartition(n), held()).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys() and all(abs(x - found[1][k]) < 1e-3 for k, x in found[0].items())
+    repeated = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (5, "x " * 30_000)], "doc_id long, text string")
+    got = lmscore.score(repeated, held()).collect()
+    assert len(got) == 3 and len({r.score for r in got if r.doc_id is None}) == 1
+
+
+def window_of(rng, steps=6, streams=2):
+    words_ = rng.integers(0, lmscore.CLASSES * lmscore.PER_CLASS, (steps, streams))
+    words_[3, 0] = lmscore.END
+    return words_, np.full((steps, streams), 1 / words_.size, dtype=np.float32), np.zeros(streams, dtype=np.int64), np.zeros((streams, lmscore.HIDDEN), dtype=np.float32)
 
 
 def test_network_gradient_and_carried_state():
-    net = lmscore.Network(np.arange(1024, 0, -1).astype(float))
-    rng = np.random.default_rng(0)
-    words_ = rng.integers(0, 1024, (6, 2))
-    mask, before, h = np.ones((6, 2), dtype=np.float32), np.zeros(2, dtype=np.int64), np.zeros((2, lmscore.HIDDEN), dtype=np.float32)
-    _, grads = net.train_window(words_, mask, before, h)
+    size = lmscore.CLASSES * lmscore.PER_CLASS
+    net = lmscore.Network(np.arange(size, 0, -1).astype(float))
+    words_, weight, before, h = window_of(np.random.default_rng(0))
+    _, (at, gx), rest = net.train_window(words_, weight, before, h)
+    whole = np.zeros_like(net.x)
+    whole[at] = gx
 
     def loss():
         return -lmscore.score_documents(net, words_.T.ravel(), np.array([6, 6])).sum() / 12
 
-    for p, g in zip(net.parameters(), grads, strict=True):
-        at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        old, step = p[at], 1e-2
-        p[at] = old + step
+    for p, g in zip(net.parameters(), [whole, *rest], strict=True):
+        spot = np.unravel_index(np.abs(g).argmax(), g.shape)
+        old, step = p[spot], 1e-2
+        p[spot] = old + step
         up = loss()
-        p[at] = old - step
+        p[spot] = old - step
         down = loss()
-        p[at] = old
-        assert abs((up - down) / (2 * step) - g[at]) < 0.02 * abs(g[at]) + 1e-4
+        p[spot] = old
+        assert abs((up - down) / (2 * step) - g[spot]) < 0.02 * abs(g[spot]) + 1e-4
 
 
 def test_training_lowers_loss():
-    net, rng = lmscore.Network(np.ones(1024)), np.random.default_rng(0)
-    texts = [np.tile([2, 3, 4, 5], 10) for _ in range(400)]
-    before = lmscore.score_documents(net, np.concatenate(texts[:5]), np.array([40] * 5)).sum()
-    assert lmscore.train(net, iter(texts)) == 16_000
-    assert lmscore.score_documents(net, np.concatenate(texts[:5]), np.array([40] * 5)).sum() > 0.5 * before
-
-
-def test_every_training_document_is_learned(spark):
+    net = lmscore.Network(np.ones(lmscore.CLASSES * lmscore.PER_CLASS))
+    texts = [np.array([*([65, 66, 67, 68] * 10), lmscore.END]) for _ in range(400)]
+    flat, lengths = np.concatenate(texts[:5]), np.array([41] * 5)
+    before = lmscore.score_documents(net, flat, lengths).sum()
+    assert net.learn(np.concatenate(texts)) == 400 * 41
+    assert lmscore.score_documents(net, flat, lengths).sum() > 0.5 * before
+
+
+@pytest.mark.parametrize("ids", [range(40), [7] * 40, [None] * 40])
+def test_every_training_document_is_learned(spark, monkeypatch, ids):
+    monkeypatch.setattr(lmscore, "REPLICA_TOKENS", 64)
+    seen, sizes = [], []
     texts = [prose(RNG.randint(0, 50)) for _ in range(40)]
-    for ids in (range(40), [7] * 40, [None] * 40):
-        rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").coalesce(1)
-        _, counts = lmscore.corpus_counts(rows, F.lit(True))
-        found = lmscore.fit(rows, F.lit(True), counts)
-        number, freq = lmscore.vocabulary(counts)
-        parts = [np.split(flat.astype(np.int64), np.cumsum(n)[:-1]) for *_, flat, n in lmscore.numbered(rows.toArrow().column("text").combine_chunks(), counts.words, number)]
-        alone = lmscore.Network(freq)
-        assert lmscore.train(alone, iter(sum(parts, []))) == counts.tokens
-        assert np.allclose(found.packed(), alone.packed(), atol=1e-4)
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    _, counts = lmscore.corpus_counts(rows, F.lit(True))
+    numbered = textkit.stored(lmscore.numbered(rows, F.lit(False), counts), "lm", "round")
+    assert numbered.where("round >= 0").count() == 40 and numbered.agg(F.sum("n_tokens")).first()[0] == counts.tokens
+    collect = lambda df: df.toArrow().column("ids").combine_chunks()
+    flat, sizes = lmscore._numbers(collect(numbered.select("ids")))
+    assert len(flat) == counts.tokens and (flat == lmscore.END).sum() == 40 and sorted(sizes) == sorted(len(lm_tokens(t)) for t in texts)
+    network = lmscore.fit(numbered, counts)
+    assert not np.array_equal(network.packed(), lmscore.Network(lmscore.vocabulary(counts)[1]).packed())
+
+
+def test_the_network_beats_the_counts(spark):
+    """Two made-up languages: the state tells which one a text is in."""
+    tongues = [["".join(RNG.choices(letters, k=6)) for _ in range(300)] for letters in ("abcdef", "uvwxyz")]
+    texts = [" ".join(RNG.choices(tongues[k % 2], k=80)) for k in range(400)]
+    out = [r for r in lmscore.score(docs(spark, *texts), held()).collect() if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.1 * sum(r.n_tokens for r in out)
 
 
 # 9: licenses ------------------------------------------------------------------------------------------------------
