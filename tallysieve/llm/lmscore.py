@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallysieve.llm.textkit import Words, saved, single_threaded, stored, text_or_empty, word_chunks
 
-HIDDEN, CLASSES, PER_CLASS = 32, 32, 64
+HIDDEN, CLASSES, PER_CLASS = 24, 32, 64
 WINDOW, STREAMS, RATE = 16, 256, 0.15
 ROUNDS, REPLICA_TOKENS, MOST_REPLICAS = 4, 1 << 20, 4096
 FREQUENT_SHARE = 1 << 21
@@ -122,16 +122,9 @@ class Network:
         self.squares = new[len(self.NAMES) :]
         return self
 
-    def step(self, word: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The states after reading the words; ``h`` is the states before."""
-        x, size = self.x[word], HIDDEN
-        h = h * (word != END)[:, None]
-        g = _sigmoid(-(h @ self.uzr + x[:, : 2 * size]))
-        n = np.tanh((g[:, size:] * h) @ self.un + x[:, 2 * size :])
-        h -= n
-        h *= g[:, :size]
-        h += n
-        return h
+    def negated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``x``, ``uzr`` and ``un`` with the gates' parts times -1 and the new state's times -2, as ``_sigmoid`` wants them."""
+        return self.x * np.repeat(np.array([-1, -2], dtype=np.float32), [2 * HIDDEN, HIDDEN]), -self.uzr, -2 * self.un
 
     def log_p(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the words after the states ``h``."""
@@ -152,24 +145,12 @@ class Network:
         steps, size = len(words), HIDDEN
         read = np.concatenate([before[None], words[:-1]])
         live = (read != END).astype(np.float32)[:, :, None]
-        x = self.x[read]  # negated, so that the gates need no sign
-        x[:, :, : 2 * size] *= -1
-        x[:, :, 2 * size :] *= -2
-        uzr, un = -self.uzr, -2 * self.un
+        x, uzr, un = self.negated()
+        x = x[read]
         was, gates, new, reset, states = (np.empty((steps, len(h), k), dtype=np.float32) for k in (size, 2 * size, size, size, size))
         for t in range(steps):
             w = np.multiply(h, live[t], out=was[t])
-            g = np.matmul(w, uzr, out=gates[t])
-            g += x[t, :, : 2 * size]
-            _sigmoid(g)
-            n = np.matmul(np.multiply(g[:, size:], w, out=reset[t]), un, out=new[t])
-            n += x[t, :, 2 * size :]
-            _sigmoid(n)
-            n *= 2
-            n -= 1  # tanh(v) = 2 sigmoid(2 v) - 1
-            h = np.subtract(w, n, out=states[t])
-            h *= g[:, :size]
-            h += n
+            h = _advance(x[t], uzr, un, w, gates[t], reset[t], new[t], states[t])
         # The output: rows sorted by class, so that each class's are a slice.
         rows, flat = np.arange(words.size), words.ravel()
         order = np.argsort((flat // PER_CLASS).astype(np.int16), kind="stable")
@@ -237,20 +218,41 @@ class Network:
         return n
 
 
+def _advance(x: np.ndarray, uzr: np.ndarray, un: np.ndarray, was: np.ndarray, gates: np.ndarray, reset: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """One step of the GRU from the states ``was``; fills the gates, the reset states, the new states and ``out``, all given."""
+    size = was.shape[1]
+    np.matmul(was, uzr, out=gates)
+    gates += x[:, : 2 * size]
+    _sigmoid(gates)
+    np.matmul(np.multiply(gates[:, size:], was, out=reset), un, out=new)
+    new += x[:, 2 * size :]
+    _sigmoid(new)
+    new *= 2
+    new -= 1  # tanh(v) = 2 sigmoid(2 v) - 1
+    np.subtract(was, new, out=out)
+    out *= gates[:, :size]
+    out += new
+    return out
+
+
 def score_documents(network: Network, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of each document; ``flat`` has their word numbers, each with its end."""
     out, first = np.zeros(len(lengths)), np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     groups = np.cumsum(lengths[order]) // GROUP_TOKENS
+    x, uzr, un = network.negated()
     for group in np.split(order, np.flatnonzero(np.diff(groups)) + 1) if len(order) else ():
         n, begin = lengths[group], first[group]
         h, word = np.zeros((len(group), HIDDEN), dtype=np.float32), np.full(len(group), END)
+        gates, reset, new = (np.empty((len(group), k), dtype=np.float32) for k in (2 * HIDDEN, HIDDEN, HIDDEN))
         states, words, who, held = [], [], [], 0
         active = len(group)
         for t in range(int(n[0])):
             while n[active - 1] <= t:
                 active -= 1
-            h = network.step(word[:active], h[:active])
+            if t == 0 or len(h) != active:
+                h, gates, reset, new = h[:active], gates[:active], reset[:active], new[:active]
+            h = _advance(x[word[:active]], uzr, un, h, gates, reset, new, np.empty_like(h))
             word = flat[begin[:active] + t].astype(np.int64)
             states.append(h)
             words.append(word)

@@ -491,7 +491,7 @@ def test_network_gradient_and_carried_state():
     whole[at] = gx
 
     def loss():
-        return -lmscore.score_documents(net, words_.T.ravel(), np.array([6, 6])).sum() / 12
+        return -lmscore.score_documents(net, words_.T.ravel(), np.array([4, 2, 6])).sum() / 12  # the first stream holds two texts
 
     for p, g in zip(net.parameters(), [whole, *rest], strict=True):
         spot = np.unravel_index(np.abs(g).argmax(), g.shape)
