@@ -1,21 +1,27 @@
 """Secret scans: fixed patterns, and novelty under a dictionary-primed zstandard compressor.
 
-Three patterns give the base spans.  The method adds spans of its own: a candidate
-is a token with digits, dots within it included, that stands closely before or after
-a sensitive word; words of prose, which the dictionary lacks, add all their letters,
-so tokens without digits are not compared.  A candidate's novelty is the number of bytes that it adds to a zstandard frame whose dictionary is a list of
-common identifiers followed by the text around the candidate.  Code, names and
-prose compress against that dictionary; random key material does not.
+Three patterns give the base spans.  The method adds spans of its own.  Candidates are the
+tokens, dots within them included, of which a sensitive word stands within ``REACH``
+characters before or after, and the parts of a token between the sensitive words in it.
+A candidate's novelty is the number of bytes that it adds to a zstandard frame that
+is primed with a list of common identifiers and the text around the candidate.
+Code, names and prose compress against that dictionary; random key material does not.
+A rare word of prose adds about all its letters too, as a key does, so candidates must
+also change between lower case, upper case and digits at a quarter of their neighbouring
+characters or more; a key of lower-case letters alone is not told from prose.  Candidates
+that touch a base span are left to it.
+
+Every token is found once and scored at most twice, whole and in parts, so the work grows
+with the text's length.
 
 Defined results: null counts as the empty text and has no spans; positions are code
-points of the whole text, ends exclusive; repeated rows are scanned alike; other
-columns are ignored.
+points of the whole text, ends exclusive; very long texts are scanned whole; repeated rows
+are scanned alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import bisect
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,9 +41,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _SENSITIVE = (b"passw", b"secret", b"token", b"api", b"key", b"auth", b"credential", b"bearer", b"private", b"signature", b"cookie")
 _CONTEXT = re.compile("passw|secret|token|api|key|auth|credential|bearer|private|signature|cookie", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
-_DIGIT = re.compile("[0-9]")
-_REACH, _BEFORE, _AFTER = 64, 2048, 512
-MIN_BYTES, MIN_SHARE = 12, 0.5
+_CHANGE = re.compile("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")
+#: Characters between a candidate and its sensitive word, and of text around a candidate that prime its dictionary.
+REACH, BEFORE, AFTER = 64, 2048, 512
+#: A candidate is novel if it adds at least so many bytes and this share of its length, or enough bytes in any case.
+MIN_BYTES, MIN_SHARE, SURE_BYTES = 12, 0.9, 48
+_SETTINGS = zstandard.ZstdCompressionParameters.from_level(9, min_match=3, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
 
 _IDENTIFIERS = (
     "abstract access_token account address admin api_key application argument array async attribute author authorization await backend base64 "
@@ -50,18 +59,21 @@ _IDENTIFIERS = (
     "public public_key query reference register remote request require resource response result return schema secret security select sender "
     "serialize server service session session_id settings signature source static status storage string struct subscription target template "
     "test_token thread timeout timestamp token true undefined unique update upload username utf-8 validate value variable version virtual "
-    "webhook www 00000000 11111111 12345678 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx http:// https:// .com .org/ "
-).encode()
+    "webhook www 00000000 11111111 12345678 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 xxxxxxxxxxxxxxxx http:// https:// .com .org/ get set name user by id "
+)
+#: The identifiers in three spellings, and what a frame begins with, so that its fixed costs aren't the candidate's.
+_DICTIONARY = f"{_IDENTIFIERS.title()}{_IDENTIFIERS.upper()}{_IDENTIFIERS}".encode()
+_CARRIER = _DICTIONARY[:64]
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _HEXED = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 
 
-def novelty(candidate: bytes, around: bytes) -> int:
-    """Bytes that ``candidate`` adds to a frame that is primed with identifiers and its surroundings."""
-    primer = zstandard.ZstdCompressionDict(_IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    compressor = zstandard.ZstdCompressor(level=3, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(compressor.compress(candidate)) - len(compressor.compress(b""))
+def novelty(candidate: bytes, before: bytes, after: bytes = b"") -> int:
+    """Bytes that ``candidate`` adds to a frame that is primed with identifiers and the text around it."""
+    primer = zstandard.ZstdCompressionDict(_DICTIONARY + after + b"\n" + before, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    compressor = zstandard.ZstdCompressor(compression_params=_SETTINGS, dict_data=primer)
+    return len(compressor.compress(_CARRIER + candidate)) - len(compressor.compress(_CARRIER))
 
 
 def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, str]]:
@@ -75,26 +87,66 @@ def base_spans(text: str, raw: bytes, low: bytes) -> list[tuple[int, int, str]]:
     return spans
 
 
+def merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans' union, ascending."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for i, j, _ in sorted(spans):
+        if ends and i <= ends[-1]:
+            ends[-1] = max(ends[-1], j)
+        else:
+            starts.append(i)
+            ends.append(j)
+    return starts, ends
+
+
+def candidates(text: str) -> Iterator[tuple[tuple[int, int] | None, list[tuple[int, int]]]]:
+    """For each token in sensitive context: its span if a sensitive word outside it is in reach, and its parts between sensitive words inside it."""
+    words = [m.span() for m in _CONTEXT.finditer(text)]
+    first = 0
+    for token in _TOKEN.finditer(text):
+        i, j = token.span()
+        while first < len(words) and words[first][1] <= i:
+            first += 1
+        last = first
+        while last < len(words) and words[last][0] < j:
+            last += 1
+        inside = words[first:last]
+        outer = first > 0 and i - words[first - 1][1] <= REACH or last < len(words) and words[last][0] - j <= REACH
+        if outer or inside:
+            cuts = [i, *(x for span in inside for x in span), j]
+            yield (i, j) if outer else None, [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b] if inside else []
+        first = last
+
+
+def telling(text: str) -> bool:
+    """Changes between lower case, upper case and digits as often as random characters do."""
+    return 4 * len(_CHANGE.findall(text)) >= len(text)
+
+
 def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
-    """Incompressible candidates in sensitive context that touch no base span and no earlier candidate found."""
+    """Incompressible candidates that touch no base span; the parts of a token only where it isn't one as a whole."""
     if not any(word in low for word in _SENSITIVE):
         return []
-    out, seen = [], set()
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    ends = [j for _, j in tokens]
-    for word in _CONTEXT.finditer(text):
-        for begin, end in itertools.takewhile(lambda t: t[0] <= word.end() + _REACH, itertools.islice(tokens, bisect.bisect_left(ends, word.start() - _REACH), None)):  # noqa: B023
-            for i, j in ((begin, min(end, word.start())), (max(begin, word.end()), end)):
-                # A candidate adds no more bytes than it has.
-                if j - i < MIN_BYTES or (i, j) in seen or not _DIGIT.search(text, i, j):
-                    continue
-                seen.add((i, j))
-                if any(s[0] < j and i < s[1] for s in (*taken, *out)):
-                    continue
-                around = (text[max(0, i - _BEFORE) : i] + "\n" + text[j : j + _AFTER]).encode("utf-8", "replace")
-                found = novelty(text[i:j].encode(), around)
-                if found >= MIN_BYTES and found >= MIN_SHARE * (j - i):
-                    out.append((i, j, "novel", found))
+    starts, ends = merged(taken)
+
+    def judged(i: int, j: int) -> int:
+        # A candidate adds no more bytes than it has.
+        if j - i < MIN_BYTES:
+            return 0
+        k = bisect.bisect_right(ends, i)
+        if k < len(starts) and starts[k] < j or not telling(text[i:j]):
+            return 0
+        found = novelty(text[i:j].encode(), text[max(0, i - BEFORE) : i].encode("utf-8", "replace"), text[j : j + AFTER].encode("utf-8", "replace"))
+        return found if found >= SURE_BYTES or found >= MIN_BYTES and found >= MIN_SHARE * (j - i) else 0
+
+    out = []
+    for whole, parts in candidates(text):
+        found = judged(*whole) if whole else 0
+        if found:
+            out.append((*whole, "novel", found))
+        else:
+            out += [(i, j, "novel", n) for i, j in parts if (n := judged(i, j))]
     return out
 
 
