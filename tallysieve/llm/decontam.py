@@ -1,156 +1,209 @@
-"""Benchmark decontamination on a document-sharded positional inverted index.
-
-Each Arrow batch of documents is a shard.  Its index holds, for every term that
-occurs in the benchmark, the sorted positions of the term in the shard; texts are
-set apart by gaps, so no phrase crosses from one to the next.  A phrase starts from
-the posting list of its rarest term in the shard, moved by the term's offset; its
-other terms, from rare to common, are looked up in the array of the shard's terms by
-position, which keeps what an intersection with their moved lists would.  A
-proximity match is a text in which the rarest terms of an item all lie within a
-span of words.
-
-``index_shards`` gives the postings as a table to store and ``search`` reads it;
-``decontaminate`` does both in one pass without writing.  The benchmark goes out in
-blocks of at most ``BLOCK_WORDS`` words, one search for each, so what every task
-holds of it is bounded.
+"""Benchmark decontamination on a stored, document-sharded positional inverted index.
+
+A shard is a run of documents of at most ``SHARD_BYTES`` bytes (a longer text is a shard of
+its own).  Its postings, stored as a row in the shared folder, hold for every term the
+sorted positions in the shard; texts are set apart by gaps, so no phrase crosses from one to
+the next.  A phrase starts from the posting list of its rarest term in the shard, moved by
+the term's offset in the phrase; its other terms, from rare to common, are intersected with
+their own moved lists by binary search.  A proximity match is a text in which the rarest
+terms of an item, by the number of items that have them and then by their bytes, all lie within a span of words.
+
+The benchmark goes out in blocks of at most about ``BLOCK_WORDS`` words, one at a time, so
+neither the driver nor a task ever holds more of it; each block is one search of the stored
+index and leaves only the texts that it matches.  How the benchmark is cut changes no result.
 
 Defined results: null has no words; an item without words matches nothing; repeated
 benchmark rows of one item_id are one item; an item without an id hits words but is
-not listed; repeated documents are judged alike; other columns are ignored.
+not listed; repeated documents are judged alike; very long texts are indexed whole; other
+columns are ignored, and ``__node__`` is reserved in ``drop_contaminated``; without documents
+there are no rows, without items nothing is hit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import Words, saved, text_or_empty, word_chunks, words_of
+from tallysieve.llm.textkit import raw_texts, saved, shingle_hashes, spans_of_rows, stored, text_or_empty, word_chunks, words_of
 
 WINDOW = 13
 NEAR_TERMS, NEAR_SPAN = 4, 40
 SHARE = 20
-BLOCK_WORDS = 4_000_000
-SHARD_BYTES = 8 << 20
+BLOCK_WORDS = 1_000_000
+SHARD_BYTES = 1 << 20
+#: Words between two texts of a shard: no window and no span reaches across.
+GAP = 64
+#: Windows, and postings of their rarest terms, that a search takes at a time; a longer list is a step of its own.
+STEP_WINDOWS, STEP_POSTINGS = 1 << 16, 1 << 20
+BROADCAST_NODES = 500_000
 
 
 @dataclass
 class Phrases:
-    """Windows of some items: ``terms`` is windows x width of term numbers, -1 beyond a short window's end.
+    """Windows of some items: window w is the terms ``sequence[start[w] : start[w] + size[w]]`` of item ``names[item[w]]``.
 
-    ``words`` has each item's terms, those that the fewest items share first.
+    Terms are numbers in the sorted ``vocabulary``; ``near`` has each item's terms for proximity, rarest first, or none.
     """
 
     vocabulary: np.ndarray
-    terms: np.ndarray
-    sizes: np.ndarray
+    sequence: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
     item: np.ndarray
     names: list[str | None]
-    words: list[np.ndarray]
+    near: list[np.ndarray] = field(default_factory=list)
 
 
-def phrases(items: list[tuple[str | None, str]], window: int = WINDOW) -> Phrases:
-    """Windows of (name, text) rows; equal windows of one item come once."""
+def phrases(items: list[tuple[str | None, str]], window: int = WINDOW, near: dict[str, list[int]] | None = None) -> Phrases:
+    """Windows of (name, text) rows; equal windows of one item come once. ``near`` maps names to term hashes, rarest first."""
     names = sorted({n for n, _ in items}, key=lambda n: (n is not None, n or ""))
     number = {n: k for k, n in enumerate(names)}
-    hashes, owner = [], []
-    for name, text in items:
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
-        h = words_of(data, np.array([0, len(data)])).hashes()
-        if len(h):
-            hashes.append(h)
-            owner.append(number[name])
-    vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, dtype=np.uint64)
-    numbered = [np.searchsorted(vocabulary, h) for h in hashes]
-    rows = {(k, tuple(t[i : i + window])) for k, t in zip(owner, numbered, strict=True) for i in range(max(1, len(t) - window + 1))}
-    rows = sorted(rows)
-    terms = np.full((len(rows), window), -1, dtype=np.int64)
-    for r, (_, t) in enumerate(rows):
-        terms[r, : len(t)] = t
-    own: list[set[int]] = [set() for _ in names]
-    for k, t in zip(owner, numbered, strict=True):
-        own[k] |= set(t.tolist())
-    df = np.zeros(len(vocabulary), dtype=np.int64)
-    for t in own:
-        df[list(t)] += 1
-    ranked = [np.array(sorted(t, key=lambda x: (df[x], x)), dtype=np.int64) for t in own]
-    return Phrases(vocabulary, terms, (terms >= 0).sum(axis=1), np.array([k for k, _ in rows], dtype=np.int64), names, ranked)
+    hashes, counts = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for _, _, words in word_chunks(pa.array([t for _, t in items], pa.large_string())):
+        hashes.append(words.hashes())
+        counts.append(words.counts)
+    flat, sizes = np.concatenate(hashes), np.concatenate(counts)
+    chosen = [np.array((near or {}).get(n, []), dtype=np.int64).view(np.uint64) for n in names]
+    vocabulary = np.unique(np.concatenate([flat, *chosen]))
+    whole, row = shingle_hashes(flat, sizes, window)
+    owner = np.array([number[n] for n, _ in items], dtype=np.int64)[row]
+    begin = (np.cumsum(sizes) - sizes)[row]
+    start = begin + np.arange(len(row)) - np.searchsorted(row, row)
+    order = np.lexsort((start, whole, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (owner[order][1:] != owner[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    kept = np.sort(order[new])
+    return Phrases(
+        vocabulary,
+        np.searchsorted(vocabulary, flat).astype(np.int32),
+        start[kept],
+        np.minimum(window, sizes[row])[kept],
+        owner[kept],
+        names,
+        [np.searchsorted(vocabulary, t) for t in chosen],
+    )
 
 
 @dataclass
 class Shard:
-    """Postings of one shard: positions ``at[cut[t]:cut[t + 1]]`` of each term t, and the term at each position."""
+    """Postings of one shard: positions ``at[cut[t] : cut[t + 1]]`` of the searched terms t, ascending; first position and words of each text.
+
+    ``keys`` is (term, position) as one ascending number, for the intersections.
+    """
 
     at: np.ndarray
     cut: np.ndarray
-    term_at: np.ndarray
-    doc_at: np.ndarray
     first: np.ndarray
     counts: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.stride = int(self.first[-1] + self.counts[-1]) + GAP if len(self.first) else GAP
+        self.keys = np.repeat(np.arange(len(self.cut) - 1), np.diff(self.cut)) * self.stride + self.at
+
+    def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each term's list has the position, by binary search."""
+        if not len(self.keys):
+            return np.zeros(len(term), dtype=bool)
+        wanted = term * self.stride + position
+        found = self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
+        return found & (position >= 0) & (position < self.stride)
+
+
+def index_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """The index to store: shard, doc_ids and counts (words) of its texts in order, and the postings.
+
+    ``terms`` has the shard's distinct word hashes in order, ``cuts`` where each one's
+    positions begin in ``positions``; a text's positions begin ``GAP`` behind the one before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw_texts(batch.column("text"))
+            for a, b in spans_of_rows(offsets, limit):
+                words = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h = words.hashes()
+                order = np.argsort(h, kind="stable")
+                terms, cuts = np.unique(h[order], return_index=True)
+                positions = (np.arange(len(h)) + words.doc * GAP)[order]
+                ids = batch.column("doc_id").slice(a, b - a)
+                one = np.array([0, b - a], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.ListArray.from_arrays(pa.array(one), ids), pa.ListArray.from_arrays(pa.array(one), pa.array(words.counts.astype(np.int64))),
+                        pa.array([terms.tobytes()], pa.binary()), pa.array([np.append(cuts, len(h)).astype(np.int64).tobytes()], pa.binary()), pa.array([positions.astype(np.int32).tobytes()], pa.binary()),
+                    ],
+                    names=["doc_ids", "counts", "terms", "cuts", "positions"],
+                )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    made = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_ids array<{kind}>, counts array<long>, terms binary, cuts binary, positions binary")
+    return made.withColumn("shard", F.monotonically_increasing_id())
+
 
-def shard_of(words: Words, vocabulary: np.ndarray, gap: int) -> Shard:
-    """Index the words that are in ``vocabulary``; texts are ``gap`` positions apart."""
-    docs, n = len(words.counts), len(words.doc)
-    where = np.arange(n) + words.doc * gap
-    term = np.full(n, -1, dtype=np.int64)
-    if len(vocabulary) and n:
-        h = words.hashes()
-        k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        term = np.where(vocabulary[k] == h, k, -1)
-    known = np.flatnonzero(term >= 0)
-    order = known[np.argsort(term[known], kind="stable")]
-    term_at = np.full(n + docs * gap + gap, -1, dtype=np.int32)
-    term_at[where] = term
-    first = np.cumsum(words.counts) - words.counts + np.arange(docs) * gap
-    cut = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
-    return Shard(where[order], cut, term_at, np.repeat(np.arange(docs), words.counts), first, words.counts)
+def shards_of(batch: pa.RecordBatch, vocabulary: np.ndarray) -> Iterator[tuple[int, Shard]]:
+    """(row, shard) of stored rows, with the posting lists of the vocabulary's terms."""
+    for r in range(batch.num_rows):
+        read = lambda name, kind, r=r: np.frombuffer(batch.column(name)[r].as_buffer(), dtype=kind)
+        terms, cuts, positions = read("terms", np.uint64), read("cuts", np.int64), read("positions", np.int32)
+        counts = batch.column("counts")[r].values.to_numpy()
+        k = np.minimum(np.searchsorted(terms, vocabulary), max(0, len(terms) - 1))
+        here = terms[k] == vocabulary if len(terms) else np.zeros(len(vocabulary), dtype=bool)
+        n = np.where(here, cuts[k + 1] - cuts[k], 0) if len(terms) else np.zeros(len(vocabulary), dtype=np.int64)
+        cut = np.append(0, np.cumsum(n))
+        at = positions[np.repeat(cuts[k] - cut[:-1], n) + np.arange(cut[-1])].astype(np.int64) if cut[-1] else np.empty(0, dtype=np.int64)
+        yield r, Shard(at, cut, np.cumsum(counts) - counts + GAP * np.arange(len(counts)), counts)
 
 
 def exact_matches(shard: Shard, find: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(window, start position) of every occurrence."""
     df = np.diff(shard.cut)
-    if not len(find.terms) or not len(df):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    width = find.terms.shape[1]
-    counts = np.where(find.terms >= 0, df[find.terms], np.iinfo(np.int64).max)
-    alive = np.flatnonzero(counts.min(axis=1) > 0)
-    order = np.argsort(counts[alive], axis=1, kind="stable")
-    rare = order[:, 0]
-    term = find.terms[alive, rare]
-    n = df[term]
-    begin = np.cumsum(n) - n
-    window = np.repeat(np.arange(len(alive)), n)
-    start = shard.at[np.repeat(shard.cut[term] - begin, n) + np.arange(int(n.sum()))] - rare[window]
-    ok = start >= 0
-    window, start = window[ok], start[ok]
-    for k in range(1, width):
-        offset = order[window, k]
-        wanted = find.terms[alive[window], offset]
-        there = shard.term_at[np.minimum(start + offset, len(shard.term_at) - 1)]
-        ok = (wanted < 0) | (there == wanted)
-        window, start = window[ok], start[ok]
-        if not len(window):
-            break
-    return alive[window], start
-
-
-def near_matches(shard: Shard, find: Phrases, terms: int, span: int) -> np.ndarray:
-    """(text, item) pairs, as rows, where the item's rarest terms all lie within ``span`` words around the rarest."""
+    none = np.empty(0, dtype=np.int64)
+    if not len(find.start) or not len(shard.at):
+        return none, none
+    widest = int(find.size.max())
+    last = len(find.sequence) - 1
+    # Only windows all of whose terms the shard has can occur in it.
+    alive = np.arange(len(find.start))
+    for k in range(widest):
+        there = find.start[alive] + np.minimum(k, find.size[alive] - 1)
+        alive = alive[df[find.sequence[there]] > 0]
+    offsets = np.arange(widest)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(none, none)]
+    for lo in range(0, len(alive), STEP_WINDOWS):
+        some = alive[lo : lo + STEP_WINDOWS]
+        terms = find.sequence[np.minimum(find.start[some][:, None] + offsets, last)].astype(np.int64)
+        lengths = np.where(offsets < find.size[some][:, None], df[terms], np.iinfo(np.int64).max)
+        ranked = np.argsort(lengths, axis=1, kind="stable")
+        n = np.take_along_axis(lengths, ranked[:, :1], axis=1)[:, 0]
+        step = np.cumsum(n) // STEP_POSTINGS
+        for part in np.split(np.arange(len(some)), np.flatnonzero(np.diff(step)) + 1):
+            rare, m = ranked[part, 0], n[part]
+            window = np.repeat(part, m)
+            start = shard.at[np.repeat(shard.cut[terms[part, rare]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))] - np.repeat(rare, m)
+            for k in range(1, widest):
+                offset = ranked[window, k]
+                keep = (offset >= find.size[some[window]]) | shard.has(terms[window, offset], start + offset)
+                window, start = window[keep & (start >= 0)], start[keep & (start >= 0)]
+            out.append((some[window], start))
+    window, start = (np.concatenate(x) for x in zip(*out, strict=True))
+    return window[start >= 0], start[start >= 0]
+
+
+def near_matches(shard: Shard, find: Phrases, span: int) -> np.ndarray:
+    """(text, item) pairs, as rows, where the item's terms for proximity all lie within ``span`` words around the rarest."""
     df, out = np.diff(shard.cut), []
-    owner = np.searchsorted(shard.first, shard.at, side="right") - 1 if len(shard.first) else shard.at
-    for k, own in enumerate(find.words):
-        if not len(own) or not len(df):
+    if not len(shard.at):
+        return np.empty((0, 2), dtype=np.int64)
+    for k, own in enumerate(find.near):
+        if not len(own) or not df[own].all():
             continue
-        chosen = own[:terms]
-        if df[chosen[0]] == 0:
-            continue
-        lists = [shard.at[shard.cut[t] : shard.cut[t + 1]] for t in chosen]
-        text = owner[shard.cut[chosen[0]] : shard.cut[chosen[0] + 1]]
+        lists = [shard.at[shard.cut[t] : shard.cut[t + 1]] for t in own]
+        text = np.searchsorted(shard.first, lists[0], side="right") - 1
         here = np.ones(len(text), dtype=bool)
         low = np.maximum(lists[0] - span // 2, shard.first[text])
         high = np.minimum(lists[0] + span // 2, shard.first[text] + shard.counts[text] - 1)
@@ -160,88 +213,106 @@ def near_matches(shard: Shard, find: Phrases, terms: int, span: int) -> np.ndarr
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def judge(words: Words, find: Phrases, near: tuple[int, int] | None) -> tuple[np.ndarray, list[set[str]], list[set[str]]]:
-    """For each text: which of its words are hit, its items and its items nearby."""
-    docs = len(words.counts)
-    width = max(find.terms.shape[1] if find.terms.size else 1, near[1] if near else 1)
-    shard = shard_of(words, find.vocabulary, width)
-    window, start = exact_matches(shard, find)
-    items: list[set[str]] = [set() for _ in range(docs)]
-    close: list[set[str]] = [set() for _ in range(docs)]
-    text = np.searchsorted(shard.first, start, side="right") - 1
-    for d, k in np.unique(np.stack([text, find.item[window]], axis=1), axis=0) if len(window) else ():
-        if find.names[k] is not None:
-            items[d].add(find.names[k])
-    if near:
-        for d, k in near_matches(shard, find, *near):
-            if find.names[k] is not None:
-                close[d].add(find.names[k])
-    edges = np.zeros(len(shard.term_at) + 1, dtype=np.int64)
-    np.add.at(edges, start, 1)
-    np.add.at(edges, start + find.sizes[window], -1)
-    covered = np.cumsum(edges)[:-1] > 0
-    return covered[np.arange(len(words.doc)) + words.doc * width], items, close
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """The benchmark's windows in blocks of at most about ``limit`` words; a longer item is a block of its own."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), text_or_empty().alias("text"))
+def item_terms(benchmark: DataFrame, terms: int) -> DataFrame:
+    """(name, near): the ``terms`` words of every named item that the fewest items have, rarest first and then by their bytes, as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, words in word_chunks(batch.column("text")):
+                h = words.hashes()
+                order = np.lexsort((h, words.doc))
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[order][1:] != h[order][:-1]) | (words.doc[order][1:] != words.doc[order][:-1])
+                at = order[new]
+                names = batch.column("name").slice(a, b - a).take(pa.array(words.doc[at]))
+                yield pa.RecordBatch.from_arrays([names, pa.array([words.text(k) for k in at.tolist()], pa.string()), pa.array(h[at].view(np.int64))], names=["name", "word", "term"])
+
+    each = _items(benchmark).mapInArrow(run, "name string, word string, term long").distinct()
+    df = each.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = each.where("name IS NOT NULL").join(df, "word").withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("df", "word"))).where(F.col("k") <= terms)
+    return ranked.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]).alias("near"))
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("name"), text_or_empty().alias("text"))
+
+
+def blocks(benchmark: DataFrame, limit: int, near: int = 0) -> Iterator[Phrases]:
+    """The benchmark in blocks of at most about ``limit`` words, each made when it is asked for; a longer row is a block of its own."""
+    rows = _items(benchmark)
+    rows = rows.join(item_terms(benchmark, near), "name", "left") if near else rows.withColumn("near", F.lit(None).cast("array<long>"))
     part: list[tuple[str | None, str]] = []
+    close: dict[str, list[int]] = {}
     held = 0
-    given = False
     for row in rows.toLocalIterator(prefetchPartitions=False):
         size = len(row.text) // 4 + 1
         if part and held + size > limit:
-            yield phrases(part)
-            given, part, held = True, [], 0
+            yield phrases(part, near=close)
+            part, close, held = [], {}, 0
         part.append((row.name, row.text))
+        if row.near and row.name is not None:
+            close[row.name] = row.near
         held += size
-    if part or not given:
-        yield phrases(part)
-
-
-def hits(docs: DataFrame, find: Phrases, near: tuple[int, int] | None = (NEAR_TERMS, NEAR_SPAN)) -> DataFrame:
-    """doc_id, n_words, hit (ranges of word numbers, end exclusive), items and near_items of every row."""
+    if part:
+        yield phrases(part, near=close)
+
+
+def _ranges(shard: Shard, start: np.ndarray, size: np.ndarray) -> dict[int, list[dict]]:
+    """By text: the merged ranges of word numbers, ends exclusive, that the occurrences cover."""
+    out: dict[int, list[dict]] = {}
+    end = 0
+    for i, j in sorted(zip(start.tolist(), (start + size).tolist(), strict=True)):
+        text = int(np.searchsorted(shard.first, i, side="right")) - 1
+        i, j = i - int(shard.first[text]), j - int(shard.first[text])
+        mine = out.setdefault(text, [])
+        end = mine[-1]["end"] if mine else -1
+        if i <= end:
+            mine[-1]["end"] = max(end, j)
+        else:
+            mine.append({"begin": i, "end": j})
+    return out
+
+
+def hits(index: DataFrame, find: Phrases, near_span: int | None = None) -> DataFrame:
+    """shard, ordinal, hit (ranges of word numbers, end exclusive), items and near_items of the indexed texts that match."""
+    ranges_of = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, ranges, items, close = [], [], [], []
-            for _, _, words in word_chunks(batch.column("text"), limit=SHARD_BYTES):
-                hit, own, nearby = judge(words, find, near)
-                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                cut = np.append(np.cumsum(words.counts) - words.counts, len(hit))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                mine: list[list[dict]] = [[] for _ in words.counts]
-                for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-                    while i < j:  # a run may go on from one text to the next
-                        d = int(np.searchsorted(cut, i, side="right")) - 1
-                        stop = min(j, int(cut[d + 1]))
-                        mine[d].append({"begin": i - int(cut[d]), "end": stop - int(cut[d])})
-                        i = stop
-                counts.append(words.counts)
-                ranges += mine
-                items += [sorted(x) for x in own]
-                close += [sorted(x) for x in nearby]
-            spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            total = np.concatenate([*counts, np.empty(0, dtype=np.int64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(total), pa.array(ranges, spans), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))], names=["doc_id", "node", "n_words", "hit", "items", "near_items"])
+            out: list[list] = [[] for _ in range(5)]
+            for r, shard in shards_of(batch, find.vocabulary):
+                window, start = exact_matches(shard, find)
+                ranges = _ranges(shard, start, find.size[window])
+                text = np.searchsorted(shard.first, start, side="right") - 1
+                lists: tuple[dict, dict] = ({}, {})
+                near = near_matches(shard, find, near_span) if near_span else np.empty((0, 2), dtype=np.int64)
+                for named, pairs in zip(lists, (np.stack([text, find.item[window]], axis=1), near), strict=True):
+                    for d, k in np.unique(pairs, axis=0).tolist():
+                        if find.names[k] is not None:
+                            named.setdefault(d, []).append(find.names[k])
+                for d in sorted({*ranges, *lists[1]}):
+                    for column, x in zip(out, (batch.column("shard")[r].as_py(), d, ranges.get(d, []), lists[0].get(d, []), lists[1].get(d, [])), strict=True):
+                        column.append(x)
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), ranges_of, strings, strings), strict=True)], names=["shard", "ordinal", "hit", "items", "near_items"])
+
+    columns = index.select("shard", "counts", "terms", "cuts", "positions")
+    return columns.mapInArrow(run, "shard long, ordinal int, hit array<struct<begin:long,end:long>>, items array<string>, near_items array<string>")
 
-    kind = dict(docs.dtypes)["doc_id"]
-    whole = docs.select("doc_id", text_or_empty().alias("text")).withColumn("node", F.xxhash64("text"))
-    return whole.mapInArrow(run, f"doc_id {kind}, node long, n_words long, hit array<struct<begin:long,end:long>>, items array<string>, near_items array<string>")
 
+def search(index: DataFrame, find: Phrases) -> DataFrame:
+    """(doc_id, item, start) of every phrase occurrence in the indexed texts, by word number."""
 
-def _blockwise(docs: DataFrame, parts: list[Phrases], near: tuple[int, int] | None) -> DataFrame:
-    """``hits`` over several blocks: a pass for each, joined by the texts' identity."""
-    lists = ("hit", "items", "near_items")
-    passes = [hits(docs, part, near) for part in parts]
-    found = passes[0].select("node", *lists)
-    for more in passes[1:]:
-        found = found.union(more.select("node", *lists))
-    found = found.where((F.size("hit") > 0) | (F.size("near_items") > 0)).groupBy("node").agg(*(F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in lists))
-    empty = passes[0].select("doc_id", "node", "n_words")
-    joined = empty.join(saved(found), "node", "left")
-    return joined.select("doc_id", "node", "n_words", *(F.coalesce(c, F.array()).alias(c) for c in lists))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, shard in shards_of(batch, find.vocabulary):
+                window, start = exact_matches(shard, find)
+                text = np.searchsorted(shard.first, start, side="right") - 1
+                names = pa.array([find.names[k] for k in find.item[window].tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[r].values.take(pa.array(text)), names, pa.array(start - shard.first[text])], names=["doc_id", "item", "start"])
+
+    kind = dict(index.dtypes)["doc_ids"][len("array<") : -1]
+    return index.select("shard", "doc_ids", "counts", "terms", "cuts", "positions").mapInArrow(run, f"doc_id {kind}, item string, start long").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, near: tuple[int, int] | None = (NEAR_TERMS, NEAR_SPAN), block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -250,83 +321,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, near: tuple[int, int] |
     A word is hit if it lies in any occurrence of a window; a text is contaminated
     if at least one word in ``SHARE`` is hit.
     """
-    parts = list(blocks(benchmark, block_words))
-    found = hits(docs, parts[0], near) if len(parts) == 1 else _blockwise(docs, parts, near)
+    index = stored(index_shards(docs), "postings")
+    lists = ("hit", "items", "near_items")
+    found = None
+    for part in blocks(benchmark, block_words, near[0] if near else 0):
+        some = saved(hits(index, part, near[1] if near else None))
+        found = some if found is None else found.union(some)
+    every = index.select("shard", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc_id"), F.col("counts").alias("n_words"))).alias("ordinal", "text"))
+    every = every.select("shard", "ordinal", "text.doc_id", "text.n_words")
+    if found is None:
+        empty = {"hit": "array<struct<begin:long,end:long>>", "items": "array<string>", "near_items": "array<string>"}
+        joined = every.select("*", *(F.array().cast(kind).alias(c) for c, kind in empty.items()))
+    else:
+        found = found.groupBy("shard", "ordinal").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists))
+        joined = every.join(found, ["shard", "ordinal"], "left")
+        joined = joined.select("doc_id", "n_words", *(F.coalesce(c, F.array()).alias(c) for c in lists))
     nothing = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
-        F.array_sort("hit"),
+        "hit",
         nothing,
         lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(x["end"] - F.greatest(x["begin"], acc["end"]), F.lit(0))).alias("n")),
     )["n"]
-    found = found.withColumn("n_hit", covered)
-    return found.select("doc_id", "n_words", "n_hit", "hit", F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"), ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows; all columns stay."""
-    parts = list(blocks(benchmark))
-    if len(parts) > 1:
-        bad = _blockwise_bad(docs, benchmark)
-        keyed = docs.withColumn("__node__", F.xxhash64(text_or_empty()))
-        return keyed.join(bad, keyed["__node__"] == bad["node"], "left_anti").drop("__node__")
-    find, names = parts[0], docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for _, _, words in word_chunks(batch.column(batch.num_columns - 1), limit=SHARD_BYTES):
-                hit, _, _ = judge(words, find, None)
-                n_hit = np.bincount(words.doc, weights=hit, minlength=len(words.counts))
-                keep.append((n_hit == 0) | (SHARE * n_hit < words.counts))
-            kept = batch.filter(pa.array(np.concatenate([*keep, np.empty(0, dtype=bool)])))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
+    judged = joined.withColumn("n_hit", covered)
+    return judged.select("doc_id", "n_words", "n_hit", *lists, ((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"))
 
-    return docs.select("*", text_or_empty().alias("__text__")).mapInArrow(run, docs.schema)
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` without the contaminated rows; all columns stay.
 
-def _blockwise_bad(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    keyed = docs.select(F.xxhash64(text_or_empty()).alias("doc_id"), "text")
-    return saved(decontaminate(keyed, benchmark, None).where("contaminated").select(F.col("doc_id").alias("node")).distinct())
-
-
-def index_shards(docs: DataFrame, terms: np.ndarray | None = None) -> DataFrame:
-    """The stored index: (term, shard, doc_id, positions) postings of the given terms, of all if None."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, words in word_chunks(batch.column("text")):
-                h = words.hashes()
-                if terms is not None:
-                    k = np.isin(h, terms)
-                else:
-                    k = np.ones(len(h), dtype=bool)
-                within = np.arange(len(h)) - (np.cumsum(words.counts) - words.counts)[words.doc]
-                h, doc, within = h[k], words.doc[k], within[k]
-                order = np.lexsort((within, doc, h))
-                h, doc, within = h[order], doc[order], within[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(new)
-                positions = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(within))
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), batch.column("doc_id").slice(a, b - a).take(pa.array(doc[at])), positions], names=["term", "doc_id", "positions"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"term long, doc_id {kind}, positions array<long>")
-
-
-def search(index: DataFrame, find: Phrases) -> DataFrame:
-    """(doc_id, item, start) of every phrase occurrence, from stored postings.
-
-    Each window starts from its rarest term; the moved posting lists of its terms
-    meet in one grouping by document and start.
+    Contaminated texts are named by a 64-bit hash; their list is broadcast up to ``BROADCAST_NODES``.
     """
-    spark = index.sparkSession
-    rows = [(int(find.vocabulary[t].view(np.int64)), r, k, find.names[find.item[r]], int(find.sizes[r])) for r, ts in enumerate(find.terms) for k, t in enumerate(ts) if t >= 0]
-    wanted = spark.createDataFrame(rows, "term long, window long, offset long, item string, size long")
-    df = index.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum(F.size("positions")).alias("df"))
-    ranked = wanted.join(df, "term", "left").withColumn("rank", F.row_number().over(Window.partitionBy("window").orderBy(F.coalesce("df", F.lit(0)), "offset")))
-    moved = index.join(ranked, "term").select("doc_id", "window", "item", "size", "rank", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("start"))
-    rare, rest = moved.where("rank = 1").select("doc_id", "window", "start"), moved.where("rank > 1")
-    near = rest.join(rare, ["doc_id", "window", "start"], "left_semi")
-    met = moved.where("rank = 1").unionByName(near).groupBy("doc_id", "window", "item", "size", "start").agg(F.count("*").alias("n"))
-    return met.where("n = size").select("doc_id", "item", "start").distinct()
+    node = F.xxhash64(text_or_empty())
+    bad = decontaminate(docs.select(node.alias("doc_id"), "text"), benchmark, None, block_words)
+    bad = saved(bad.where("contaminated").select(F.col("doc_id").alias("__node__")).distinct())
+    few = bad.count() <= BROADCAST_NODES
+    return docs.withColumn("__node__", node).join(F.broadcast(bad) if few else bad, "__node__", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -95,8 +95,14 @@ ORACLE_SQL: dict[str, str] = {
     grams AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS t FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM windows))),
     found AS (SELECT g.doc_id, g.k, g.size, x.item FROM grams g JOIN windows x ON g.size = x.size AND g.t = x.t),
     hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM found) GROUP BY doc_id),
-    named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
+    named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id),
+    terms AS (SELECT DISTINCT item, unnest(w) AS word FROM b),
+    chosen AS (SELECT item, word, row_number() OVER (PARTITION BY item ORDER BY df, word) AS k FROM terms JOIN (SELECT word, count(*) AS df FROM terms GROUP BY word) USING (word) WHERE item IS NOT NULL QUALIFY k <= {decontam.NEAR_TERMS}),
+    spots AS (SELECT doc_id, item, k, pos FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d) JOIN chosen USING (word)),
+    close AS (SELECT r.doc_id, r.item FROM spots r JOIN spots o USING (doc_id, item) WHERE r.k = 1 AND abs(o.pos - r.pos) <= {decontam.NEAR_SPAN // 2} GROUP BY r.doc_id, r.item, r.pos HAVING count(DISTINCT o.k) = (SELECT count(*) FROM chosen c WHERE c.item = r.item)),
+    near AS (SELECT doc_id, string_agg(DISTINCT item, ',' ORDER BY item) AS near_items FROM close GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near_items, '') AS near_items
+    FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
 }

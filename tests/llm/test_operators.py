@@ -224,7 +224,7 @@ def test_decontamination_matches_brute_force(spark, block_words):
     texts = [prose(9) + " " + items[7][1], prose(50) + " " + (items[0][1] or ""), "SHORT  item, short item", None, "", prose(600) + " " + " ".join(words(items[3][1])), "a a a a a", prose(20), " ".join(items[0][1].split()[:13]), "short", "item short item"]
     bench = spark.createDataFrame([(n, t, "x") for n, t in items], "item_id long, text string, node string")
     rows = decontam.decontaminate(docs(spark, *texts), bench, block_words=block_words).collect()
-    kept = {r.doc_id for r in decontam.drop_contaminated(docs(spark, *texts), bench).collect()}
+    kept = {r.doc_id for r in decontam.drop_contaminated(docs(spark, *texts), bench, block_words=block_words).collect()}
     for r in rows:
         n, hit, found = hits(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, list(r["items"])) == (n, hit, found)
@@ -236,11 +236,59 @@ def test_decontamination_matches_brute_force(spark, block_words):
 def test_stored_index_finds_the_same_phrases(spark):
     item = prose(20)
     find = decontam.phrases([("i", item)])
-    index = decontam.index_shards(docs(spark, "x " + item, prose(30), item + " " + item, None))
+    index = textkit.stored(decontam.index_shards(docs(spark, "x " + item, prose(30), item + " " + item, None)), "postings")
     got = sorted((r.doc_id, r.start) for r in decontam.search(index, find).collect())
     assert got == [(0, s) for s in range(1, 9)] + [(2, s) for s in [*range(8), *range(20, 28)]]
 
 
+def test_decontamination_of_odd_tables(spark, monkeypatch):
+    """Repeated rows and ids, null ids, very long texts and items, one term throughout, empty tables."""
+    monkeypatch.setattr(decontam, "STEP_POSTINGS", 50)
+    long = prose(30_000)
+    items = [("a", "the the the"), ("b", long[:9000]), ("b", long[:9000]), (None, "zz yy")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["the " * 5000, long, long, "zz yy", "", None]
+    rows = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = sorted(str((None if i % 2 else 7, *hits(t, [])[:1], *hits_fast(t, items))) for i, t in enumerate(texts))
+    for block_words in (10**6, 1):
+        got = decontam.decontaminate(rows, bench, block_words=block_words).collect()
+        assert sorted(str((r.doc_id, r.n_words, r.n_hit, list(r["items"]))) for r in got) == want
+    assert decontam.decontaminate(rows.limit(0), bench).count() == 0 and decontam.drop_contaminated(rows.limit(0), bench).count() == 0
+    assert decontam.drop_contaminated(rows, bench.limit(0)).count() == len(texts)
+    assert decontam.drop_contaminated(rows.withColumn("x.y", F.lit(1)), bench).columns == ["doc_id", "text", "x.y"]
+
+
+def hits_fast(text, items):
+    """(words hit, items) through a table of the text's windows."""
+    own, hit, found = words(text), set(), set()
+    spots = {}
+    for size in {min(13, len(words(t))) for _, t in items}:
+        for i in range(len(own) - size + 1):
+            spots.setdefault(tuple(own[i : i + size]), []).append(i)
+    for name, t in items:
+        w = words(t)
+        size = min(13, len(w))
+        for k in range(len(w) - size + 1):
+            for i in spots.get(tuple(w[k : k + size]), ()):
+                hit |= set(range(i, i + size))
+                if name is not None:
+                    found.add(name)
+    return len(hit), sorted(found)
+
+
+def test_blocks_hold_little(spark):
+    """4 million benchmark words in blocks: the driver holds one block at a time."""
+    import tracemalloc
+
+    one = prose(20_000)
+    bench = spark.range(200).select(F.col("id").alias("item_id"), F.concat(F.lit(one), F.lit(" "), F.col("id").cast("string")).alias("text")).repartition(20)
+    tracemalloc.start()
+    n = sum(len(part.sequence) for part in decontam.blocks(bench, decontam.BLOCK_WORDS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 * 20_001 and peak < 400 << 20
+
+
 def test_proximity(spark):
     items = [("i", "alpha bravo charlie delta the the"), ("j", "the of and"), ("k", "the of and")]
     texts = ["alpha x bravo y charlie z delta", "alpha " + prose(200) + " bravo charlie delta", "delta the charlie bravo alpha", "alpha bravo charlie", None]
@@ -259,8 +307,7 @@ def test_query_finds_proximity_like_brute_force(spark, tmp_path):
     docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     df = Counter(w for _, t in items for w in set(words(t)))
-    code = lambda w: int(textkit.words_of(np.frombuffer(w.encode(), dtype=np.uint8), np.array([0, len(w.encode())])).hashes()[0])
-    rarest = {n: sorted(set(words(t)), key=lambda w: (df[w], code(w)))[: decontam.NEAR_TERMS] for n, t in items}
+    rarest = {n: sorted(set(words(t)), key=lambda w: (df[w], w))[: decontam.NEAR_TERMS] for n, t in items}
     reach, found = decontam.NEAR_SPAN // 2, 0
     for r in queries.op4_decontamination(spark, str(tmp_path)).collect():
         own = words(texts[r.doc_id])
