@@ -6,7 +6,8 @@ model gives the expected grade and the probability of the upper tail.
 
 Defined results: a null text counts as empty; without labels every grade is as
 likely; a grade that no label has gets a threshold next to its neighbour's; repeated
-rows score alike; other columns are ignored.
+rows score alike; very long texts are read whole; a null id is held out or not by the crc32
+of the empty text; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,15 +46,21 @@ class Model:
 
 
 def fit_rows(rows: dict[str, np.ndarray], grades: int = GRADES, ridge: float = RIDGE) -> Model:
-    y, n = rows["y"].astype(np.int64), len(rows["y"])
+    """``fit_places`` of rows at hand: grades y and features x."""
+    y = rows["y"].astype(np.int64)
+    parts = [screened.screen(rows["x"], (y >= k).astype(float)) for k in range(1, grades)]
+    chosen = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
+    return fit_places(y, chosen, screened.matrix(rows["x"], chosen), grades, ridge)
+
+
+def fit_places(y: np.ndarray, chosen: np.ndarray, places: tuple[np.ndarray, np.ndarray], grades: int = GRADES, ridge: float = RIDGE) -> Model:
+    y, n = y.astype(np.int64), len(y)
     share = np.array([(y >= k).sum() + 0.5 * (grades - k) for k in range(1, grades)]) / (n + 0.5 * grades)
     first = -np.log(share / (1 - share))
     first = np.maximum.accumulate(first + np.arange(grades - 1) * 1e-6)
-    parts = [screened.screen(rows["x"], (y >= k).astype(float)) for k in range(1, grades)]
-    chosen = np.unique(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
     if not len(chosen):
         return Model(chosen, np.empty(0), first)
-    r, c = screened.matrix(rows["x"], chosen)
+    r, c = places
     k = len(chosen)
     start = np.concatenate([np.zeros(k), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
 
@@ -81,7 +88,9 @@ def fit_rows(rows: dict[str, np.ndarray], grades: int = GRADES, ridge: float = R
 
 def fit(docs: DataFrame, labels: DataFrame, grade: Column, *, sample_rows: int = screened.SAMPLE_ROWS) -> Model:
     """Fit on about ``sample_rows`` labelled rows of the training folds (crc32 of the id mod 4 is not 2)."""
-    return fit_rows(screened.sample(docs, labels, grade, F.pmod(id_crc(), F.lit(4)) != 2, sample_rows, screened.style_features))
+    part = screened.sample(docs, labels, grade, F.pmod(id_crc(), F.lit(4)) != 2, sample_rows, screened.style_features)
+    chosen = screened.screened(part, [(part.y >= k).astype(float) for k in range(1, GRADES)])
+    return fit_places(part.y, chosen, screened.places(part, chosen)[0])
 
 
 def score(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:

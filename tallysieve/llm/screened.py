@@ -2,23 +2,26 @@
 
 A feature is a 64-bit hash: of a word, of a pair of neighbouring character
 classes at a rate level, or of a text statistic at a level.  Fitting takes a
-sample of labelled rows whose size is a parameter; scoring takes every row.
+sample of labelled rows whose size is a parameter; scoring takes every row.  The
+sample's features stay in the shared folder: their counts are summed by Spark, and only
+the features that pass the screen, at most ``MOST_FEATURES``, and their places in the
+sampled rows come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import Words, mix64, shingle_hashes, text_or_empty, word_chunks
+from tallysieve.llm.textkit import Words, mix64, raw_texts, saved, shingle_hashes, stored, text_or_empty, word_chunks
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS, MOST_FEATURES = 20_000, 1 << 18
 _GRAIN = 1 << 30
-_SLICES = 16
 
 #: Character classes: each ASCII sign for itself, letters by case, digits, blanks, the rest.
 _CLASS = np.full(256, 63, dtype=np.int64)
@@ -68,71 +71,135 @@ Extract = Callable[[Words, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def chunk_features(column: pa.Array, extract: Extract) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
-    from tallysieve.llm.textkit import raw_texts
-
     data, offsets = raw_texts(column)
     for a, b, words in word_chunks(column):
         who, what = extract(words, data[offsets[a] : offsets[b]])
         yield a, b, words, who, what
 
 
-def sample(docs: DataFrame, labels: DataFrame, value: Column, trains: Column, rows: int, extract: Extract, swaps: dict[int, int] | None = None) -> dict[str, np.ndarray]:
-    """Features of about ``rows`` labelled documents, chosen by a hash of their id.
+@dataclass
+class Sample:
+    """Sampled rows: the table (row, y, f, swapped) of features, and the rows that count with their labels."""
+
+    table: DataFrame
+    rows: np.ndarray
+    y: np.ndarray
+
+
+def sample(docs: DataFrame, labels: DataFrame, value: Column, trains: Column, rows: int, extract: Extract, swaps: dict[int, int] | None = None) -> Sample:
+    """About ``rows`` labelled documents, chosen by hashes of their id and text.
 
     ``value`` is the label, null where there is none; an id that is labelled more
     than once takes its largest.  ``trains`` tells which ids may be learned from.
     Copies and most near copies count once: of the texts that share one of two
-    minimum shingle hashes only one is kept.  ``swaps`` maps word hashes to those
-    of their counterparts; texts with such words also come in swapped form.
+    minimum shingle hashes only one is kept, whichever its hash puts first.  ``swaps``
+    maps word hashes to those of their counterparts; texts with such words also come
+    in swapped form.
     """
     known = labels.select("doc_id", value.cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & trains)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     total = known.count()
     if total > rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(_GRAIN)) < int(_GRAIN * rows / total))
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id").withColumn("tie", F.xxhash64("text", "doc_id"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys = batch.column("y").to_numpy(zero_copy_only=False)
-            out: dict[str, list] = {"y": [], "m1": [], "m2": [], "f": [], "swapped": []}
             for a, b, words, who, what in chunk_features(batch.column("text"), extract):
-                ends = np.searchsorted(who, np.arange(b - a + 1)) if np.all(who[1:] >= who[:-1]) else None
-                if ends is None:
-                    order = np.argsort(who, kind="stable")
-                    who, what = who[order], what[order]
-                    ends = np.searchsorted(who, np.arange(b - a + 1))
+                order = np.argsort(who, kind="stable")
+                who, what = who[order], what[order]
+                ends = np.searchsorted(who, np.arange(b - a + 1))
                 s, d = shingle_hashes(words.hashes(), words.counts, 5)
                 lows = [np.full(b - a, np.iinfo(np.int64).max) for _ in range(2)]
                 for k, low in enumerate(lows):
                     np.minimum.at(low, d, (mix64(s + np.uint64(k)) >> np.uint64(1)).astype(np.int64))
-                for r in range(b - a):
-                    own = what[ends[r] : ends[r + 1]]
-                    other = swapped_form(own, swaps) if swaps else None
-                    out["y"].append(ys[a + r])
-                    out["m1"].append(lows[0][r])
-                    out["m2"].append(lows[1][r])
-                    out["f"].append(own.tobytes())
-                    out["swapped"].append(None if other is None else other.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["y"], pa.float64()), pa.array(out["m1"], pa.int64()), pa.array(out["m2"], pa.int64()), pa.array(out["f"], pa.binary()), pa.array(out["swapped"], pa.binary())],
-                names=["y", "m1", "m2", "f", "swapped"],
-            )
-
-    got = chosen.mapInArrow(gather, "y double, m1 long, m2 long, f binary, swapped binary").toArrow()
-    y, m1, m2 = (got.column(n).to_numpy() for n in ("y", "m1", "m2"))
-    plain, swapped = got.column("f"), got.column("swapped")
-    view = lambda value: np.frombuffer(value.as_buffer(), dtype=np.uint64)
-    seen: set[tuple[int, int]] = set()
-    ys, feats, others = [], [], []
-    for k in np.lexsort((y, m2, m1)).tolist():
-        if (1, m1[k]) in seen or (2, m2[k]) in seen:
-            continue
-        seen |= {(1, m1[k]), (2, m2[k])}
-        ys.append(y[k])
-        feats.append(view(plain[k]))
-        others.append(view(swapped[k]) if swapped[k].is_valid else feats[-1])
-    return {"y": np.array(ys), "x": feats, "swapped": others}
+                own = [what[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                other = [swapped_form(x, swaps) if swaps else None for x in own]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("y"), part.column("tie"), *map(pa.array, lows), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([None if x is None else x.tobytes() for x in other], pa.binary())],
+                    names=["y", "tie", "m1", "m2", "f", "swapped"],
+                )
+
+    table = chosen.select("text", "y", "tie").mapInArrow(gather, "y double, tie long, m1 long, m2 long, f binary, swapped binary")
+    table = stored(table.withColumn("row", F.monotonically_increasing_id()), "sample")
+    first = table.groupBy("m1", "m2").agg(F.min(F.struct("tie", "row", "y")).alias("one")).select("m1", "m2", "one.*")
+    count = first.count()
+    if count > 2 * rows:  # one id can have many texts
+        first = first.where(F.pmod(F.xxhash64("tie"), F.lit(_GRAIN)) < int(_GRAIN * rows / count))
+    got = first.toArrow()
+    m1, m2, tie, row, y = (got.column(n).to_numpy() for n in ("m1", "m2", "tie", "row", "y"))
+    seen: tuple[set[int], set[int]] = (set(), set())
+    kept = []
+    for k in np.lexsort((tie, m2, m1)).tolist():
+        if m1[k] not in seen[0] and m2[k] not in seen[1]:
+            kept.append(k)
+            seen[0].add(m1[k])
+            seen[1].add(m2[k])
+    kept = np.array(sorted(kept, key=lambda k: row[k]), dtype=np.int64)
+    return Sample(table, row[kept], y[kept])
+
+
+def _views(column: pa.Array) -> list[np.ndarray | None]:
+    return [np.frombuffer(x.as_buffer(), dtype=np.uint64) if x.is_valid else None for x in column]
+
+
+def screened(part: Sample, targets: list[np.ndarray], least: int = 3) -> np.ndarray:
+    """``screen`` of a sample for each target (0 or 1 by row), together; counts are summed by Spark."""
+    targets = [t for t in targets if 0 < t.sum() < len(t)]
+    if not targets:
+        return np.empty(0, dtype=np.uint64)
+    rows = part.rows
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hit = _located(batch.column("row").to_numpy(), rows)
+            feats = _views(batch.column("f").filter(pa.array(hit)))
+            flat = np.concatenate([*feats, np.empty(0, dtype=np.uint64)])
+            ids, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+            who = np.repeat(at, [len(x) for x in feats])
+            ups = [np.bincount(inverse, weights=t[who], minlength=len(ids)) for t in targets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(df.astype(np.int64)), *map(pa.array, ups)], names=["id", "df", *(f"up{k}" for k in range(len(ups)))])
+
+    names = [f"up{k}" for k in range(len(targets))]
+    counts = part.table.select("row", "f").mapInArrow(count, "id long, df long, " + ", ".join(f"{n} double" for n in names))
+    counts = saved(counts.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("df", *names))).where(F.col("df") >= least))
+    tested, n = counts.count(), len(rows)
+    df, scores = F.col("df"), []
+    for name, t in zip(names, targets, strict=True):
+        p = float(t.mean())
+        scores.append(F.abs((F.col(name) - df * p) / F.sqrt(F.greatest(df * (1 - df / (n + 1)) * (p * (1 - p)), F.lit(1e-9)))))
+    strength = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    best = counts.select("id", strength.alias("z")).where(F.col("z") > float(np.sqrt(2 * np.log(max(2, tested))))).orderBy(F.desc("z"), "id").limit(MOST_FEATURES)
+    return np.sort(best.toArrow().column("id").to_numpy().view(np.uint64))
+
+
+def _located(row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the ascending ``rows`` of those that are there, which are)."""
+    at = np.minimum(np.searchsorted(rows, row), max(0, len(rows) - 1))
+    hit = rows[at] == row if len(rows) else np.zeros(len(row), dtype=bool)
+    return at[hit], hit
+
+
+def places(part: Sample, chosen: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], int]:
+    """(row, column) of each chosen feature in the sampled rows and in their swapped forms, and how many rows have one."""
+    rows = part.rows
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hit = _located(batch.column("row").to_numpy(), rows)
+            plain, swapped = (_views(batch.column(n).filter(pa.array(hit))) for n in ("f", "swapped"))
+            for form, feats in ((0, plain), (1, [p if s is None else s for p, s in zip(plain, swapped, strict=True)])):
+                r, c = matrix(feats, chosen)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), form, dtype=np.int32)), pa.array(at[r].astype(np.int32)), pa.array(c.astype(np.int32))], names=["form", "r", "c"])
+            changed = sum(s is not None for s in swapped)
+            yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([changed], pa.int32()), pa.array([0], pa.int32())], names=["form", "r", "c"])
+
+    got = part.table.select("row", "f", "swapped").mapInArrow(find, "form int, r int, c int").toArrow()
+    form, r, c = (got.column(n).to_numpy().astype(np.int64) for n in ("form", "r", "c"))
+    order = np.lexsort((c, r))
+    form, r, c = form[order], r[order], c[order]
+    return (r[form == 0], c[form == 0]), (r[form == 1], c[form == 1]), int(r[form == 2].sum())
 
 
 def swapped_form(own: np.ndarray, swaps: dict[int, int]) -> np.ndarray | None:
@@ -152,16 +219,10 @@ def screen(feats: list[np.ndarray], y: np.ndarray, least: int = 3) -> np.ndarray
     """
     if not feats or len(set(y.tolist())) < 2:
         return np.empty(0, dtype=np.uint64)
-    rows = np.repeat(np.arange(len(feats), dtype=np.int32), [len(f) for f in feats])
-    flat = np.concatenate(feats)
-    tested = []
-    for part in range(_SLICES):  # the counts of a slice of the features at a time
-        at = np.flatnonzero(flat & np.uint64(_SLICES - 1) == part)
-        ids, inverse, df = np.unique(flat[at], return_inverse=True, return_counts=True)
-        up = np.bincount(inverse, weights=y[rows[at]], minlength=len(ids))
-        often = df >= least
-        tested.append((ids[often], df[often], up[often]))
-    ids, df, up = (np.concatenate(x) for x in zip(*tested, strict=True))
+    rows = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
+    ids, inverse, df = np.unique(np.concatenate(feats), return_inverse=True, return_counts=True)
+    up = np.bincount(inverse, weights=y[rows], minlength=len(ids))
+    ids, df, up = ids[df >= least], df[df >= least], up[df >= least]
     p, n = y.mean(), len(y)
     z = (up - df * p) / np.sqrt(np.maximum(df * (1 - df / (n + 1)) * p * (1 - p), 1e-9))
     return np.sort(ids[np.abs(z) > np.sqrt(2 * np.log(max(2, len(ids))))])

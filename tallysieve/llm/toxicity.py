@@ -7,7 +7,9 @@ group gains no weight of its own and neutral mentions are not rejected.
 
 Defined results: a null text counts as empty and scores the share of toxic texts
 among those without a telling word; without labels every score is 0.05; repeated
-rows score alike; extra columns are ignored.
+rows score alike; very long texts are read whole; a null id is held out or not by the crc32
+of the empty text; extra columns are ignored (``__text__`` is reserved in ``keep_clean``); an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysieve.llm import screened
-from tallysieve.llm.textkit import id_crc, text_or_empty, words_of
+from tallysieve.llm.textkit import id_crc, text_or_empty, word_chunks, words_of
 
 #: Terms that name people by group; each list is a ring of counterparts.
 IDENTITY_RINGS = (
@@ -61,23 +63,30 @@ class Model:
     bias: float
 
 
+Places = tuple[np.ndarray, np.ndarray]
+
+
 def fit_rows(rows: dict[str, np.ndarray], spread: float = SPREAD, ridge: float = RIDGE) -> Model:
+    """``fit_places`` of rows at hand: labels y, features x and their swapped forms."""
+    chosen = screened.screen(rows["x"], rows["y"])
+    changed = sum(a is not b for a, b in zip(rows["x"], rows["swapped"], strict=True))
+    return fit_places(rows["y"], chosen, screened.matrix(rows["x"], chosen), screened.matrix(rows["swapped"], chosen), changed, spread, ridge)
+
+
+def fit_places(y: np.ndarray, chosen: np.ndarray, plain: Places, swapped: Places, changed: int, spread: float = SPREAD, ridge: float = RIDGE) -> Model:
     """Logistic loss plus ``spread`` times the mean squared score change under swapping."""
-    y, n = rows["y"], len(rows["y"])
-    chosen = screened.screen(rows["x"], y)
+    n, k = len(y), len(chosen)
     prior = (y.sum() + 0.1) / (n + 2)
-    start = np.zeros(len(chosen) + 1)
+    start = np.zeros(k + 1)
     start[-1] = np.log(prior / (1 - prior))
-    if not len(chosen):
+    if not k:
         return Model(chosen, start[:-1], float(start[-1]))
-    (r, c), (rs, cs) = screened.matrix(rows["x"], chosen), screened.matrix(rows["swapped"], chosen)
-    changed = max(1, sum(a is not b for a, b in zip(rows["x"], rows["swapped"], strict=True)))
-    k = len(chosen)
+    (r, c), (rs, cs) = plain, swapped
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        z = screened.linear(r, c, w, n) + w[-1]
-        moved = screened.linear(r, c, w, n) - screened.linear(rs, cs, w, n)
-        off, pull = (screened.sigmoid(z) - y) / n, 2 * spread * moved / changed
+        z = screened.linear(r, c, w, n)
+        moved = z - screened.linear(rs, cs, w, n)
+        off, pull = (screened.sigmoid(z + w[-1]) - y) / n, 2 * spread * moved / max(1, changed)
         g = np.bincount(c, weights=(off + pull)[r], minlength=k) - np.bincount(cs, weights=pull[rs], minlength=k)
         return np.append(g + ridge * w[:-1], off.sum())
 
@@ -87,22 +96,27 @@ def fit_rows(rows: dict[str, np.ndarray], spread: float = SPREAD, ridge: float =
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = screened.SAMPLE_ROWS, spread: float = SPREAD) -> Model:
     """Fit on about ``sample_rows`` labelled rows of the training folds (crc32 of the id mod 4 is not 2)."""
-    trains = F.pmod(id_crc(), F.lit(4)) != 2
-    return fit_rows(screened.sample(docs, labels, F.col("toxic"), trains, sample_rows, screened.word_features, identity_swaps()), spread)
+    part = screened.sample(docs, labels, F.col("toxic"), F.pmod(id_crc(), F.lit(4)) != 2, sample_rows, screened.word_features, identity_swaps())
+    chosen = screened.screened(part, [part.y])
+    return fit_places(part.y, chosen, *screened.places(part, chosen), spread)
+
+
+def _logits(column: pa.Array, model: Model) -> np.ndarray:
+    """The score of each text before the sigmoid."""
+    z, k = np.full(len(column), model.bias), max(1, len(model.features))
+    for a, b, words in word_chunks(column):
+        rows, cols = screened.located(words.doc, words.hashes(), model.features)
+        cells = np.unique(rows * k + cols)
+        z[a:b] += screened.linear(cells // k, cells % k, model.weights, b - a)
+    return z
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    features, weights, bias = model.features, model.weights, model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.full(batch.num_rows, bias)
-            for a, b, words in _chunks(batch.column("text")):
-                rows, cols = screened.located(words.doc, words.hashes(), features)
-                cells = np.unique(rows * max(1, len(features)) + cols)
-                z[a:b] += screened.linear(cells // max(1, len(features)), cells % max(1, len(features)), weights, b - a)
-            p = screened.sigmoid(z)
+            p = screened.sigmoid(_logits(batch.column("text"), model))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (F.pmod(id_crc(), F.lit(4)) == 2).alias("held_out"), text_or_empty().alias("text"))
@@ -110,12 +124,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def _chunks(column: pa.Array) -> Iterator:
-    from tallysieve.llm.textkit import word_chunks
-
-    return word_chunks(column)
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
 
@@ -123,17 +131,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay."""
     model = fit(docs, labels)
-    features, weights, bias = model.features, model.weights, model.bias
-    bar, names = float(np.log(THRESHOLD / (1 - THRESHOLD))), docs.columns
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.full(batch.num_rows, bias)
-            for a, b, words in _chunks(batch.column(batch.num_columns - 1)):
-                rows, cols = screened.located(words.doc, words.hashes(), features)
-                cells = np.unique(rows * max(1, len(features)) + cols)
-                z[a:b] += screened.linear(cells // max(1, len(features)), cells % max(1, len(features)), weights, b - a)
-            kept = batch.filter(pa.array(z < bar))
+            p = screened.sigmoid(_logits(batch.column(batch.num_columns - 1), model))
+            kept = batch.filter(pa.array(p < THRESHOLD))
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
     return docs.select("*", text_or_empty().alias("__text__")).mapInArrow(run, docs.schema)

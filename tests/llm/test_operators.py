@@ -496,6 +496,100 @@ def test_identity_terms_gain_no_weight():
     assert abs(weight(tied, group)) < 0.5 * abs(weight(free, group)) and weight(tied, insult) > 3
 
 
+def test_screening_and_fits_match_those_of_rows_at_hand(spark):
+    """The distributed sample, screen and places against the same on the driver."""
+    rows, labels = labelled(spark)
+    part = screened.sample(rows, labels, F.col("toxic"), F.lit(True), 1000, screened.word_features, toxicity.identity_swaps())
+    got = {r.row: r for r in part.table.collect()}
+    view = lambda x: np.frombuffer(bytes(x), dtype=np.uint64)
+    feats = [view(got[r].f) for r in part.rows]
+    others = [view(got[r].swapped) if got[r].swapped is not None else f for r, f in zip(part.rows, feats)]
+    assert len(part.rows) == len({(got[r].m1, got[r].m2) for r in got}) > 200 and list(part.y) == [got[r].y for r in part.rows]
+    chosen = screened.screened(part, [part.y])
+    assert np.array_equal(chosen, screened.screen(feats, part.y)) and toxicity.word_hash("rotten") in chosen
+    assert len(screened.screened(part, [part.y * 0])) == 0
+    plain, swapped, changed = screened.places(part, chosen)
+    for found, lists in ((plain, feats), (swapped, others)):
+        want = screened.matrix(lists, chosen)
+        assert sorted(zip(*map(list, found))) == sorted(zip(*map(list, want)))
+    near = toxicity.fit_places(part.y, chosen, plain, swapped, changed)
+    here = toxicity.fit_rows({"y": part.y, "x": feats, "swapped": others})
+    assert np.allclose(near.weights, here.weights) and abs(near.bias - here.bias) < 1e-6
+
+
+def loss_of(model, y, x, swapped, spread, ridge):
+    """Brute force: the penalised loss of a toxicity model, term by term."""
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    z = lambda f: sum(weight.get(int(h), 0.0) for h in f)
+    total = sum(math.log1p(math.exp(-(z(f) + model.bias) if t else z(f) + model.bias)) for f, t in zip(x, y)) / len(y)
+    moved = [z(f) - z(g) for f, g in zip(x, swapped) if f is not g]
+    return total + spread * sum(m * m for m in moved) / max(1, len(moved)) + ridge * sum(w * w for w in weight.values()) / 2
+
+
+def test_toxicity_fit_is_a_minimum_of_the_penalised_loss():
+    swaps = toxicity.identity_swaps()
+    terms = list(swaps)
+    x, y = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        own = {*RNG.sample(range(1, 40), 5)} | ({101} if bad and i % 2 else set()) | ({102} if bad else set()) | ({terms[i % 5]} if bad or i % 10 == 1 else set())
+        x.append(np.array(sorted(own), dtype=np.uint64))
+        y.append(float(bad if i % 17 else not bad))
+    swapped = [s if (s := screened.swapped_form(f, swaps)) is not None else f for f in x]
+    model = toxicity.fit_rows({"y": np.array(y), "x": x, "swapped": swapped})
+    best = loss_of(model, y, x, swapped, toxicity.SPREAD, toxicity.RIDGE)
+    assert len(model.features) >= 2
+    for k in range(len(model.features) + 1):
+        for step in (-0.2, 0.2):
+            moved = toxicity.Model(model.features, model.weights.copy(), model.bias)
+            if k < len(model.features):
+                moved.weights[k] += step
+            else:
+                moved.bias += step
+            assert loss_of(moved, y, x, swapped, toxicity.SPREAD, toxicity.RIDGE) > best - 1e-4
+
+
+def test_quality_fit_is_a_minimum_of_the_ordinal_loss():
+    x, y = [], []
+    for i in range(400):
+        grade = i % 3
+        x.append(np.array(sorted({*RNG.sample(range(1, 30), 4), *range(100, 100 + grade)}), dtype=np.uint64))
+        y.append(grade if i % 5 else RNG.randint(0, 2))
+
+    def loss(model):
+        weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+        total = 0.0
+        for f, g in zip(x, y):
+            z = sum(weight.get(int(h), 0.0) for h in f)
+            tail = [1.0, *(1 / (1 + math.exp(t - z)) for t in model.thresholds), 0.0]
+            total -= math.log(tail[g] - tail[g + 1])
+        return total / len(y) + quality.RIDGE * sum(w * w for w in weight.values()) / 2
+
+    model = quality.fit_rows({"y": np.array(y), "x": x})
+    best = loss(model)
+    for k in range(len(model.features) + 2):
+        for step in (-0.2, 0.2):
+            moved = quality.Model(model.features, model.weights.copy(), model.thresholds.copy())
+            (moved.weights if k < len(model.features) else moved.thresholds)[k if k < len(model.features) else k - len(model.features)] += step
+            assert loss(moved) > best - 1e-4
+
+
+def test_classifiers_on_odd_rows(spark):
+    """Null ids, repeated rows, ties between labels of equal texts, a very long text, empty tables."""
+    rows, labels = labelled(spark)
+    odd = spark.createDataFrame([(None, "rotten"), (None, "rotten"), (900, "rotten " * 100_000), (901, None), (902, ""), (5, "x")], "doc_id long, text string")
+    both = rows.select("doc_id", "text").union(odd)
+    more = labels.union(spark.createDataFrame([(900, 0, 1), (900, 1, 0), (901, 1, 0)], "doc_id long, quality int, toxic int"))
+    found = toxicity.toxicity(both, more).collect()
+    assert len(found) == 246 and len({r.score for r in found if r.doc_id is None}) == 1 and all(r.predicted for r in found if r.doc_id in (None, 900))
+    again = toxicity.toxicity(both.repartition(3), more).collect()
+    assert sorted((r.doc_id or -1, round(r.score, 6)) for r in found) == sorted((r.doc_id or -1, round(r.score, 6)) for r in again)
+    graded = quality.score(both, quality.fit(both, more, quality.graded())).collect()
+    assert len(graded) == 246 and len({r.expected_grade for r in graded if r.doc_id is None}) == 1
+    assert toxicity.toxicity(both.limit(0), more).count() == 0 and toxicity.keep_clean(both.limit(0), more).count() == 0
+    assert quality.score(both.limit(0), quality.fit(both.limit(0), more, quality.graded())).count() == 0
+
+
 def test_quality_held_out(spark):
     rows, labels = labelled(spark)
     found = quality.score(rows, quality.fit(rows, labels, quality.graded())).collect()
