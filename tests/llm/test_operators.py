@@ -85,6 +85,74 @@ def test_sniffing_corrects_and_carves(spark):
     assert got[5].type == "application/gzip" and got[5]["items"][0].length == len(blobs[5]) - 4 and got[6].type == "application/pdf"
 
 
+def ogg(payload=b"x" * 300, pages=3):
+    def checksum(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc >> 31 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    out = b""
+    for k in range(pages):
+        table = bytes([255, len(payload) - 255])
+        head = b"OggS\0" + bytes([2 * (k == 0) | 4 * (k == pages - 1)]) + struct.pack("<QII", k, 7, k)
+        page = head + bytes(4) + bytes([2]) + table + payload
+        out += page[:22] + struct.pack("<I", checksum(page)) + page[26:]
+    return out
+
+
+def pdf(revisions=1):
+    out = b"%PDF-1.7\n"
+    for k in range(revisions):
+        at = len(out)
+        out += b"%d 0 obj\n<<>>\nendobj\nstartxref\n%d\n%%%%EOF" % (k + 1, at) + b"\n" * (k < revisions - 1)
+    return out
+
+
+def archive(*files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k, data in enumerate(files):
+            z.writestr(f"f{k}", data)
+    return out.getvalue()
+
+
+def test_lengths_of_nested_and_revised_media():
+    machine = media.automaton()
+    box = lambda kind, data=b"": struct.pack(">I4s", 8 + len(data), kind) + data
+    movie = box(b"ftyp", b"isom") + box(b"moov", b"x" * 9) + box(b"mdat", b"y" * 30)
+    inner = archive(b"a", b"b")
+    for whole, kind in ((archive(inner, b"tail"), "application/zip"), (pdf(3), "application/pdf"), (ogg(), "audio/ogg"), (movie, "video/mp4"), (png(), "image/png")):
+        for before in (b"", b"junk"):
+            assert (len(before), len(whole), kind) in media.items(before + whole + b"tail", machine)
+    assert (31 + 9, len(inner), "application/zip") not in media.items(inner, machine)
+    found = media.items(archive(inner, b"tail"), machine)
+    assert {n for _, n, _ in found} == {len(inner), len(archive(inner, b"tail"))}
+    outer = b"%PDF-1.7\n%comment\n1 0 obj\n<<>>\n" + pdf(2) + b"\nstartxref\n18\n%%EOF"
+    assert {(0, len(outer)), (outer.index(b"%PDF", 5), len(pdf(2)))} == {x[:2] for x in media.items(outer, machine)}
+    broken = ogg()[:-1] + b"y"
+    assert not media.items(broken, machine) and not media.items(png().replace(b"IHDR", b"IHDX"), machine)
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-1 ", b"PK\x03\x04", b"PK\x05\x06", b"%PDF-1 startxref 0 %%EOF ", b"OggS\0\2" + b"\0" * 22, struct.pack(">I4s", 8, b"ftyp"), b"\xff\xd8\xff", b"\x1f\x8b\x08", b"GIF89a", b"RIFF\0\0\0\0WAVE", b"BM"])
+def test_a_megabyte_of_magics_takes_a_moment(unit):
+    began = time.perf_counter()
+    media.items(unit * (1_000_000 // len(unit)), media.automaton())
+    assert time.perf_counter() - began < 8
+
+
+def test_media_of_odd_rows(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (2, "x" * 2_000_000), (3, None)], "doc_id long, text string")
+    got = media.text_media(rows).collect()
+    assert len(got) == 4 and len({r.payload_sha256 for r in got if r.doc_id is None}) == 1 and all(r.corrected and r.media_type == "audio/wav" for r in got)
+    assert media.text_media(rows.limit(0)).count() == 0
+    blobs = spark.createDataFrame([(1, None, None), (2, bytearray(png()), None)], "id long, blob binary, declared string")
+    assert [(r.type, r.corrected, len(r["items"])) for r in media.sniff(blobs).orderBy("id").collect()] == [(None, False, 0), ("image/png", True, 1)]
+    assert media.sniff(blobs.limit(0)).count() == 0
+
+
 # 2: urls ----------------------------------------------------------------------------------------------------------
 
 
