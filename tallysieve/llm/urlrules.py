@@ -1,15 +1,17 @@
 """URL filters: list rules, and association rules that FP-growth mines from labels.
 
 A url becomes a set of tokens: its scheme, the suffixes of its host, all segments of
-its path with each run of digits as 0, file endings and query keys.  Spark's FP-growth
-finds token combinations that go with the label ``block``; rules below the support
-or confidence bounds, or no better than a part of theirs, are dropped.  The rest are
+its path with each run of digits as 0, file endings and query keys.  Tokens that the same
+labelled urls have, such as a host's suffixes, are mined as one.  Spark's FP-growth
+finds token combinations of any size that go with the label ``block``; rules below the support
+or confidence bounds, or no better than one of theirs with a token less, are dropped.  The rest are
 indexed by their rarest token; a url looks its tokens up and a rule matches if the
 url has all its tokens.  All of this runs as DataFrame operations.
 
 Defined results: null and urls without ``://`` have empty host and path and match
 nothing; equal urls are judged alike; without labels there are no mined rules and
-the verdict is ``allow``; other columns are ignored.
+the verdict is ``allow``; a page of several labels is bad if one of them is; null ids have no
+label; very long urls are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tallysieve.llm.textkit import saved
 #: Verdict and (host, path) of the list rules.
 LIST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BLOCKED = "=block"
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.6, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
 BROADCAST_RULES = 20_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,29 +67,39 @@ def tokens(p: Parts) -> Column:
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit("h:"), F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")))
     segments = F.filter(F.split(F.regexp_replace(F.translate(p.path, _UPPER, _LOWER), "[0-9]+", "0"), "/"), lambda x: x != "")
     segments = F.transform(segments, lambda x: F.concat(F.lit("p:"), x))
-    ending = F.regexp_extract(p.path, r"\.([A-Za-z]{1,5})$", 1)
+    ending = F.regexp_extract(F.regexp_replace(F.translate(p.path, _UPPER, _LOWER), "[0-9]+", "0"), r"\.([a-z0-9]+)$", 1)
     keys = F.transform(F.filter(F.split(p.query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), F.substring_index(x, "=", 1)))
     every = F.concat(F.array(F.concat(F.lit("s:"), p.scheme)), F.when(n > 0, suffixes).otherwise(F.array().cast("array<string>")), segments, F.array(F.concat(F.lit("e:"), ending)), keys)
     return F.array_distinct(F.filter(every, lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(rule_id, tokens, confidence, lift, support) of the rules for ``block`` from rows of (tokens, blocked)."""
-    baskets = saved(labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCKED)).otherwise(F.col("tokens")).alias("items")))
+    rows = saved(labelled.select("tokens", "blocked").withColumn("row", F.monotonically_increasing_id()))
+    total = rows.count()
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    # No more than (tokens of a url) / min_support tokens are frequent.
+    often = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("where")).where(F.col("n") >= min_support * total)
+    alike = saved(often.groupBy("n", "where").agg(F.min("token").alias("one"), F.collect_list("token").alias("all")))
+    baskets = each.join(F.broadcast(alike.select(F.col("one").alias("token"))), "token").groupBy("row").agg(F.collect_set("token").alias("items"))
+    baskets = rows.select("row", "blocked").join(baskets, "row", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("items"), "blocked")
+    baskets = saved(baskets.select(F.when(F.col("blocked"), F.array_append("items", BLOCKED)).otherwise(F.col("items")).alias("items")))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where((F.element_at("consequent", 1) == BLOCKED) & (F.size("antecedent") <= max_tokens))
-    found = found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
-    return saved(pruned(found))
+    found = model.associationRules.where(F.element_at("consequent", 1) == BLOCKED)
+    found = saved(pruned(found.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")))
+    whole = found.select("rule_id", F.explode("tokens").alias("one")).join(F.broadcast(alike.select("one", "all")), "one")
+    whole = whole.groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("all"))).alias("tokens"))
+    return saved(found.drop("tokens").join(whole, "rule_id").select("rule_id", "tokens", "confidence", "lift", "support"))
 
 
 def pruned(rules: DataFrame) -> DataFrame:
-    """The rules without those that have a part of at least their confidence.
+    """The rules without those that have a rule of one token less and at least their confidence.
 
-    Each rule looks up its parts by their identity; rules are not compared pairwise.
+    What a dropped rule matches, the other matches too.  Each rule looks up its parts
+    by their identity; rules are not compared pairwise.
     """
-    masks = F.expr("sequence(1, cast(shiftleft(1, size(tokens)) as int) - 2)")
-    whole = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", "tokens", F.explode(masks).alias("m"))
-    part = whole.select(F.col("rule_id").alias("worse"), F.col("confidence").alias("bar"), F.expr("xxhash64(filter(tokens, (x, i) -> (shiftright(m, i) & 1) = 1))").alias("rule_id"))
+    whole = rules.where(F.size("tokens") > 1).select("rule_id", "confidence", "tokens", F.explode("tokens").alias("left_out"))
+    part = whole.select(F.col("rule_id").alias("worse"), F.col("confidence").alias("bar"), F.xxhash64(F.array_remove("tokens", F.col("left_out"))).alias("rule_id"))
     worse = part.join(rules.select("rule_id", "confidence"), "rule_id").where("confidence >= bar").select(F.col("worse").alias("rule_id")).distinct()
     return rules.join(worse, "rule_id", "left_anti")
 

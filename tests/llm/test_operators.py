@@ -186,6 +186,61 @@ def test_mined_rules_match_brute_force(spark):
     assert urlrules.judge(pages, labels.limit(0)).where("verdict = 'block'").isEmpty() and urlrules.judge(pages.limit(0), labels).isEmpty()
 
 
+def url_tokens(url):
+    scheme, rest = url.split("://", 1)
+    host, path, query = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", rest).groups()
+    labels = [x for x in host.lower().split(".") if x]
+    path = re.sub("[0-9]+", "0", path.lower())
+    out = {"s:" + scheme.lower(), *("h:" + ".".join(labels[-k:]) for k in range(1, len(labels) + 1)), *("p:" + x for x in path.split("/") if x)}
+    out |= {"e:" + m[1] for m in [re.search(r"\.([a-z0-9]+)$", path)] if m} | {"q:" + x.split("=")[0] for x in (query or "").split("&") if x}
+    return {t for t in out if len(t) > 2}
+
+
+def brute_rules(rows, support, confidence):
+    """All token sets of labelled urls that reach both bounds."""
+    seen, bad = Counter(), Counter()
+    for tokens, blocked in rows:
+        own = sorted(tokens)
+        for mask in range(1, 1 << len(own)):
+            part = frozenset(t for k, t in enumerate(own) if mask >> k & 1)
+            seen[part] += 1
+            bad[part] += blocked
+    return [p for p in seen if bad[p] >= support * len(rows) and bad[p] >= confidence * seen[p]]
+
+
+def test_rules_of_many_tokens_match_brute_force(spark):
+    """Labels that go with combinations of 1 to 5 tokens, some of which always come together."""
+    urls = []
+    for _ in range(500):
+        segments = RNG.choices(["win", "shop", "news", "a1", "b22"], k=RNG.randint(1, 3))
+        urls.append(f"http{RNG.choice(['', 's'])}://{RNG.choice(['', 'www.'])}{RNG.choice(['x.org', 'y.info'])}/{'/'.join(segments)}{RNG.choice(['', '.php', '.mp4'])}{RNG.choice(['', '?id=1', '?ref=2&id=3'])}")
+    bads = [{"p:win", "h:x.org"}, {"p:shop", "q:ref", "h:y.info"}, {"s:https", "p:news", "e:php", "h:www.y.info"}, {"s:http", "p:win", "p:shop", "q:id", "h:y.info"}, {"e:mp0", "q:ref", "s:http"}]
+    blocked = [any(b <= url_tokens(u) for b in bads) != (RNG.random() < 0.05) for u in urls]
+    support, confidence = 0.02, 0.6
+    rules = brute_rules([(url_tokens(u), b) for u, b in zip(urls[:400], blocked, strict=False)], support, confidence)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    tokens = pages.select("url", "page_id", urlrules.tokens(urlrules.parts(F.col("url"))).alias("tokens"))
+    assert all(set(r.tokens) == url_tokens(r.url) for r in tokens.collect())
+    labels = spark.createDataFrame([(k, bool(b)) for k, b in enumerate(blocked[:400])], "page_id long, blocked boolean")
+    mined = urlrules.mine(tokens.join(labels, "page_id").select("tokens", "blocked"), support, confidence)
+    kept = [set(r.tokens) for r in mined.collect()]
+    want = {u for u in urls if any(r <= url_tokens(u) for r in rules)}
+    found = {r.url for r in urlrules.matched(tokens.select("url", "tokens").distinct(), mined).collect()}
+    assert max(map(len, kept)) >= 5 and found <= want
+    seen = set(urls[:400])
+    assert {u for u in found if u in seen} == {u for u in want if u in seen}
+
+
+def test_long_urls_that_come_often_are_mined_at_once(spark):
+    """A third of all rows hold one url of 60 segments: its tokens are one to the miner."""
+    hot = "https://hot.example.info/" + "/".join(f"segment{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(k, hot if k % 3 == 0 else f"https://www.example.info/{'win' if k % 6 == 1 else 'en'}/{k}") for k in range(300)] + [(None, hot), (None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 0 if k % 3 == 0 or k % 6 == 1 else 1) for k in range(300)] + [(None, 0)], "doc_id long, quality int")
+    got = urlrules.judge(pages, labels).collect()
+    assert len(got) == 302 and all((r.verdict == "block") == (r.page_id is None and r.host != "" or r.page_id is not None and (r.page_id % 3 == 0 or r.page_id % 6 == 1)) for r in got)
+
+
 @pytest.mark.parametrize("bad, good", [("/a/b/c/d/win", "/a/b/c/d/en"), ("/a/ads{k}", "/a/x{k}"), ("/a/b/c/{k}-win/y", "/a/b/c/{k}-en/y")])
 def test_rules_read_the_whole_path(spark, bad, good):
     urls = [f"https://www.example.info{path.format(k=k)}/{k}" for k in range(40) for path in (bad, good)]
