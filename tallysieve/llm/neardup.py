@@ -5,7 +5,9 @@ its weight; each arrival falls on a random register, and a register keeps the
 shingle that arrived first.  A shingle stops once its next arrival is later than
 every register's first, so most shingles make one or two arrivals.  The share of
 equal registers of two texts estimates their probability Jaccard; with equal
-weights that is the Jaccard similarity.
+weights that is the Jaccard similarity.  A shingle that a text repeats weighs up to
+``1 + REPEATS`` times one that it has once; so little that texts whose shingle sets are
+similar, but not their counts, still share registers.
 
 Registers are cut into bands; texts that agree on a whole band are candidates, and
 each candidate pair is verified on all its shingles: a pair is a link if the Jaccard
@@ -21,10 +23,17 @@ the similarity, so pairs are made only between components and only where s can b
 reached.  So classes are whole; the links of the components with such members are
 then counted by comparing all their texts, blocks of ``BLOCK`` against each other.
 
+Counts and extremes of a bucket or class are aggregates with partial sums, and where a
+key can be hot the other side of its join is unique by it, so that adaptive execution
+splits the key.
+
 Defined results: null counts as the empty text; texts without words are linked only
 to equal texts; texts of fewer than five words have one shingle of all their words;
-repeated rows are copies; a null id takes part and is listed with its class.  Two of
-n different texts share a 64-bit identity with a chance of n * n / 2 ** 65.
+repeated rows are copies; a null id takes part and is listed with its class, whose id it
+is only if all ids are null; very long texts are compared whole; of rows that tie in id
+and text ``keep_one`` keeps that with the least hash of its columns (``__text__``, ``__node__``
+and ``__id__`` are reserved there); an empty table gives no rows.  Two of n different texts
+share a 64-bit identity with a chance of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -41,6 +50,7 @@ from tallysieve.llm.textkit import mix64, saved, shingle_hashes, text_or_empty,
 
 SHINGLE = 5
 SIMILARITY = 0.8
+REPEATS = 0.25
 BANDS, BAND_ROWS = 32, 6
 PAIRS_UP_TO = 32
 BLOCK = 256
@@ -50,14 +60,14 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def weighted(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle, text, weight) of distinct shingles; the weight is 1 + ln(count)."""
+    """(shingle, text, weight) of distinct shingles; the weight grows with the count from 1 to 1 + ``REPEATS``."""
     order = np.lexsort((hashes, doc))
     h, d = hashes[order], doc[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(h)))
-    return h[at], d[at], 1.0 + np.log(counts)
+    return h[at], d[at], 1.0 + REPEATS * (1 - 1 / counts)
 
 
 def signatures(shingles: np.ndarray, doc: np.ndarray, weights: np.ndarray, docs: int, registers: int) -> np.ndarray:
@@ -135,10 +145,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFr
 
 def candidates(keys: DataFrame, up_to: int = PAIRS_UP_TO) -> tuple[DataFrame, DataFrame]:
     """Pairs (a < b) of nodes, and the members of buckets beyond ``up_to`` as (key, node)."""
-    by_key = Window.partitionBy("key")
     placed = keys.select("node", F.explode("keys").alias("key"))
-    placed = placed.select("node", "key", F.count("*").over(by_key).alias("n")).where("n > 1")
-    placed = saved(placed)
+    shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    placed = saved(placed.join(shared, "key"))
     small = placed.where(F.col("n") <= up_to).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("m"))
     i = F.posexplode("m").alias("i", "a")
     small = small.select(i, "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
@@ -285,4 +294,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     first = found.groupBy("class_node").agg(F.min(order).alias("one")).select(F.col("one.doc_id").alias("__id__"), F.col("one.node").alias("__node__"))
     named = docs.withColumn("__text__", F.xxhash64(text_or_empty()))
     kept = named.join(first, named["doc_id"].eqNullSafe(first["__id__"]) & (named["__text__"] == first["__node__"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text__"]).drop("__text__")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.groupBy("doc_id", "__text__").agg(F.min_by(whole, F.xxhash64(*plain)).alias("__row__")).select(*(F.col("__row__").getField(c).alias(c) for c in docs.columns))

@@ -324,6 +324,44 @@ def test_components(spark):
     assert {r.node: r.comp for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 7: 7, 8: 7}
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    from tallysieve.llm import components as module
+
+    monkeypatch.setattr(module, "SPLIT_EDGES", 3)
+    rows = [(0, k) for k in range(1, 40)] + [(100, k) for k in range(101, 140)] + [(139, 200), (200, 201)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    want = {**{k: 0 for k in range(40)}, **{k: 100 for k in range(100, 140)}, 200: 100, 201: 100}
+    assert {r.node: r.comp for r in components(edges).collect()} == want
+
+
+def test_recall_of_planted_edits(spark):
+    """All pairs of similarity 0.8 and more at several edit rates and counts of repeated lines; copies with other counts too."""
+    texts = []
+    for rate in (0.005, 0.01, 0.02, 0.03):
+        for _ in range(25):
+            own = prose(RNG.randint(60, 400))
+            texts += [own, edited(own, max(1, int(rate * len(own.split()))))]
+    for _ in range(25):
+        line, own = prose(12), prose(30)
+        texts += [f"{own} {line}", own + f" {line}" * RNG.randint(2, 60)]
+    sets = [shingles(t) for t in texts]
+    similar = [len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1]) for k in range(0, len(texts), 2)]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs(spark, *texts)).collect()}
+    caught = [got[2 * k] == got[2 * k + 1] for k in range(len(similar))]
+    assert sum(similar) > 60 and caught == similar
+
+
+def test_neardup_of_odd_rows(spark):
+    long = prose(50_000)
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, long), (2, long + " more"), (3, None), (3, "")]
+    df = spark.createDataFrame([(i, t, {"k": 1}, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, m map<string,int>, `x.y` int")
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == 6 and sorted({(r.class_id, r.class_size) for r in got}, key=str) == [(1, 2), (3, 2), (None, 2)]
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
 # 4: decontamination -----------------------------------------------------------------------------------------------
 
 
