@@ -35,7 +35,7 @@ WINDOW = 13
 NEAR_TERMS, NEAR_SPAN = 4, 40
 SHARE = 20
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Words between two texts of a shard: no window and no span reaches across.
 GAP = 64
 #: Windows, and postings of their rarest terms, that a search takes at a time; a longer list is a step of its own.

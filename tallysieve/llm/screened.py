@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import Words, mix64, raw_texts, saved, shingle_hashes, stored, text_or_empty, word_chunks
+from tallysieve.llm.textkit import Words, mix64, raw_texts, saved, shingle_hashes, spans_of_rows, stored, text_or_empty, word_chunks
 
 SAMPLE_ROWS, MOST_FEATURES = 20_000, 1 << 18
+SLICE_BYTES = 1 << 21
 _GRAIN = 1 << 30
 
 #: Character classes: each ASCII sign for itself, letters by case, digits, blanks, the rest.
@@ -144,6 +145,14 @@ def _views(column: pa.Array) -> list[np.ndarray | None]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint64) if x.is_valid else None for x in column]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most about ``SLICE_BYTES`` of features; a longer row is a part of its own."""
+    for batch in batches:
+        _, offsets = raw_texts(batch.column("f"))
+        for a, b in spans_of_rows(offsets, SLICE_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def screened(part: Sample, targets: list[np.ndarray], least: int = 3) -> np.ndarray:
     """``screen`` of a sample for each target (0 or 1 by row), together; counts are summed by Spark."""
     targets = [t for t in targets if 0 < t.sum() < len(t)]
@@ -152,7 +161,7 @@ def screened(part: Sample, targets: list[np.ndarray], least: int = 3) -> np.ndar
     rows = part.rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at, hit = _located(batch.column("row").to_numpy(), rows)
             feats = _views(batch.column("f").filter(pa.array(hit)))
             flat = np.concatenate([*feats, np.empty(0, dtype=np.uint64)])
@@ -186,7 +195,7 @@ def places(part: Sample, chosen: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     rows = part.rows
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             at, hit = _located(batch.column("row").to_numpy(), rows)
             plain, swapped = (_views(batch.column(n).filter(pa.array(hit))) for n in ("f", "swapped"))
             for form, feats in ((0, plain), (1, [p if s is None else s for p, s in zip(plain, swapped, strict=True)])):

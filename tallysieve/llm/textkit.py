@@ -111,10 +111,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, *, graph: bool = False) -> W
 
 
 def raw_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes and the offsets of a string column; null counts as empty."""
+    """The bytes and the offsets of a string or binary column; null counts as empty."""
     if column.null_count:
         column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     if len(column) == 0 or data is None:
         return np.empty(0, dtype=np.uint8), np.zeros(len(column) + 1, dtype=np.int64)
@@ -196,13 +196,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows can be long: writers look at what they hold after each row and keep little of it.
+_SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, in a folder for each value of ``by``: readers prune rows and columns."""
     spark = df.sparkSession
     checkpoint_ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    (df.write.partitionBy(*by) if by else df.write).parquet(folder)
+    (df.write.partitionBy(*by) if by else df.write).options(**_SMALL_GROUPS).parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 
