@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     pairs = saved(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     whole = docs.select(text_or_empty().alias("text")).withColumn("node", F.xxhash64("text"))
-    texts = saved(whole.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = saved(whole.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"))  # copies go before the shuffle
     links = saved(verified(pairs, texts, similarity))
     labels = components(links)
     large = not members.isEmpty()

@@ -70,6 +70,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+
+
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that follow from the list rules."""
+    return op2_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("listed"))
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that the base patterns give."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that don't depend on the buckets."""
+    return op6_packing(spark, sf_dir).select("doc_id", "n_tokens", "piece", "start", "length")
+
+
+def count_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that the corpus counts give; the score is rounded."""
+    return op8_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that the base phrases give."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_url_filter": op2_url_filter,
@@ -81,13 +111,108 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "payload_columns": payload_columns,
+    "listed_urls": listed_urls,
+    "base_secrets": base_secrets,
+    "packed_pieces": packed_pieces,
+    "count_scores": count_scores,
+    "base_licenses": base_licenses,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TEXT = "coalesce(text, '')"
+
+
+def _either_case(word: str) -> str:
+    """The letters of a word in either case; a fold of all of Unicode would let other letters in."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _little_endian(n: str) -> str:
+    return "unhex(printf('" + "%02x" * 4 + "', " + ", ".join(f"CAST({n} >> {k} AS BIGINT) & 255" for k in (0, 8, 16, 24)) + "))"
+
+
+def _crc32(codes: str) -> str:
+    """The CRC-32 of a list of byte values: each byte goes in, then eight shifts."""
+    steps = f"flatten(list_transform({codes}, lambda b: [1000 + b, 0, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 1000 THEN xor(c, x - 1000) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)"
+    return f"xor({crc}, 4294967295::BIGINT)"
+
+
+def _found(kind: str, pattern: str, least: int, group: int = 0) -> str:
+    """Spans of one kind: the text between the matches gives their places."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+      SELECT doc_id, m, g, sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m) AS start FROM (
+        SELECT doc_id, unnest(m) AS m, unnest(g) AS g, unnest(p[:len(m)]) AS p, generate_subscripts(m, 1) AS k FROM (
+          SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS p FROM d))) WHERE length(g) >= {least}"""
+
+
+_ASSIGN = "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_TOKENS = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+
 #: What the other queries' methods add (a fit, spans, labels, sketches, features) SQL can't express; tests hold those to brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_neardup": f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_TEXT} AS t, {_WORDS} AS w FROM documents),
+    t AS (SELECT t, any_value(w) AS w, row_number() OVER (ORDER BY t) AS n FROM d GROUP BY t),
+    s AS (SELECT DISTINCT n, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT n, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM t WHERE len(w) > 0)),
+    sizes AS (SELECT n, count(*) AS c FROM s GROUP BY n),
+    shared AS (SELECT x.n AS a, y.n AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.n < y.n GROUP BY ALL),
+    links AS (SELECT a, b FROM shared z JOIN sizes x ON x.n = a JOIN sizes y ON y.n = b WHERE z.c / (x.c + y.c - z.c) >= {neardup.SIMILARITY}::DOUBLE),
+    ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT n AS a, n AS b FROM t UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+    ids AS (SELECT t.n, min(doc_id) AS first_id, count(*) AS copies FROM d JOIN t USING (t) GROUP BY t.n),
+    classes AS (SELECT a AS n, min(first_id) AS class_id, CAST(sum(copies) AS BIGINT) AS class_size FROM reach JOIN ids ON ids.n = b GROUP BY a),
+    degree AS (SELECT a AS n, count(*) AS n_links FROM ends GROUP BY a)
+    SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM d JOIN t USING (t) JOIN classes USING (n) LEFT JOIN degree USING (n)
+    """,
+    "payload_columns": f"""
+    WITH d AS (SELECT doc_id, encode({_TEXT}) AS raw FROM documents),
+    p AS (SELECT doc_id, octet_length(raw) AS n, raw || repeat('\\xFF'::BLOB, greatest(1, CAST(ceil(octet_length(raw) / 576) AS BIGINT)) * 576 - octet_length(raw)) AS payload FROM d),
+    s AS (SELECT *, octet_length(payload) AS size, right(hex(payload), 64) AS tail FROM p),
+    m AS (SELECT *, 'RIFF'::BLOB || {_little_endian("36 + size")} || 'WAVEfmt '::BLOB || unhex('1000000001000100401f0000401f000001000800') || 'data'::BLOB || {_little_endian("size")} || payload AS media FROM s)
+    SELECT doc_id, n AS n_bytes, size AS payload_bytes, sha256(payload) AS payload_sha256, {_crc32("list_transform(range(0, 32), lambda i: CAST('0x' || tail[2 * i + 1:2 * i + 2] AS BIGINT))")} AS tail_crc32,
+    octet_length(media) AS media_bytes, sha256(media) AS media_sha256 FROM m
+    """,
+    "listed_urls": """
+    WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+    r AS (SELECT *, CASE WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/' WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS listed FROM r
+    """,
+    "base_secrets": f"""
+    WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents),
+    found AS ({_found("assign", _ASSIGN, 8, 2)} UNION ALL {_found("access", "AKIA[A-Z0-9]+", 16)} UNION ALL {_found("hex", "[0-9a-f]+", 32)}),
+    listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END) AS spans FROM found GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN listed USING (doc_id)
+    """,
+    "packed_pieces": f"""
+    WITH d AS (SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens FROM documents),
+    p AS (SELECT doc_id, n_tokens, unnest(range(0, (n_tokens + {packing.CONTEXT - 1}) // {packing.CONTEXT})) AS piece FROM d)
+    SELECT doc_id, n_tokens, piece, piece * {packing.CONTEXT} AS start, least({packing.CONTEXT}, n_tokens - piece * {packing.CONTEXT}) AS length FROM p
+    UNION ALL SELECT doc_id, n_tokens, NULL, NULL, NULL FROM d WHERE n_tokens = 0
+    """,
+    "count_scores": f"""
+    WITH d AS (SELECT doc_id, {_crc32("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c))")} % 7 = 2 AS held_out, list_append({_TOKENS}, '') AS w FROM documents),
+    each AS (SELECT doc_id, held_out, unnest(w) AS word FROM d),
+    counts AS (SELECT word, count(*) AS c FROM each WHERE NOT held_out GROUP BY word),
+    whole AS (SELECT coalesce(CAST(sum(c) AS BIGINT), 0) AS n, count(*) AS v FROM counts)
+    SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) AS base_score
+    FROM each LEFT JOIN counts USING (word), whole GROUP BY doc_id, held_out, n
+    """,
+    "base_licenses": f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    spots AS (SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS mit, list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS apache,
+      list_filter(range(1, len(w) - 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS gpl FROM d),
+    every AS (SELECT *, list_concat(mit, apache, gpl) AS s FROM spots)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(s) AS BIGINT) AS n_base, list_min(s) - 1 AS first_word, list_max(s) - 1 AS last_word,
+    concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM every
+    """,
     "op4_decontamination": f"""
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import raw_texts, text_or_empty
+from tallysieve.llm.textkit import raw_texts, rewritten, text_or_empty
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The base patterns.
@@ -189,25 +189,23 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with each span in its texts replaced by ``mark`` and n_chars, if there, counted anew; null stays null."""
-    names, kind = docs.columns, docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, nulls = [], batch.column("text").is_null().to_pylist()
-            for (text, raw), null in zip(_each(batch.column("text")), nulls, strict=True):
-                out, at = [], 0
-                for i, j, _, _ in spans_of(text, raw):
-                    if i >= at:
-                        out += [text[at:i], mark]
-                    at = max(at, j)
-                texts.append(None if null else "".join(out) + text[at:] if out else text)
-            columns = list(batch.columns)
-            columns[names.index("text")] = pa.array(texts, batch.schema.field("text").type)
-            if "n_chars" in names:
-                k = names.index("n_chars")
-                old = columns[k].to_pylist()
-                changed = [o if t is None or o is None else len(t) for t, o in zip(texts, old, strict=True)]
-                columns[k] = pa.array(changed, columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.mapInArrow(run, kind)
+    names = docs.columns
+
+    def change(batch: pa.RecordBatch, whole: pa.Array) -> pa.RecordBatch:
+        columns, k = list(batch.columns), names.index("text")
+        texts = []
+        for (text, raw), null in zip(_each(whole), columns[k].is_null().to_pylist(), strict=True):
+            out, at = [], 0
+            for i, j, _, _ in spans_of(text, raw):
+                if i >= at:
+                    out += [text[at:i], mark]
+                at = max(at, j)
+            texts.append(None if null else "".join(out) + text[at:] if out else text)
+        columns[k] = pa.array(texts, columns[k].type)
+        if "n_chars" in names:
+            n = names.index("n_chars")
+            changed = [o if t is None or o is None else len(t) for t, o in zip(texts, columns[n].to_pylist(), strict=True)]
+            columns[n] = pa.array(changed, columns[n].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return rewritten(docs, change)

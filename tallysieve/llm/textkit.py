@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,6 +164,23 @@ def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[n
     return acc[at], doc[at]
 
 
+def rewritten(docs: DataFrame, change: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch]) -> DataFrame:
+    """``docs`` with each Arrow batch passed through ``change(batch, texts)``; nulls among the texts are empty.
+
+    Columns go by place in between: names may hold dots or clash with the operators' own.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    own = plain.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield change(pa.RecordBatch.from_arrays(batch.columns[:-1], names=own), batch.column(len(own)))
+
+    with_text = plain.select("*", text_or_empty(own[names.index("text")]).alias("t"))
+    return with_text.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -8,8 +8,7 @@ group gains no weight of its own and neutral mentions are not rejected.
 Defined results: a null text counts as empty and scores the share of toxic texts
 among those without a telling word; without labels every score is 0.05; repeated
 rows score alike; very long texts are read whole; a null id is held out or not by the crc32
-of the empty text; extra columns are ignored (``__text__`` is reserved in ``keep_clean``); an
-empty table gives no rows.
+of the empty text; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysieve.llm import screened
-from tallysieve.llm.textkit import id_crc, text_or_empty, word_chunks, words_of
+from tallysieve.llm.textkit import id_crc, rewritten, text_or_empty, word_chunks, words_of
 
 #: Terms that name people by group; each list is a ring of counterparts.
 IDENTITY_RINGS = (
@@ -131,12 +130,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; all columns stay."""
     model = fit(docs, labels)
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = screened.sigmoid(_logits(batch.column(batch.num_columns - 1), model))
-            kept = batch.filter(pa.array(p < THRESHOLD))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
-
-    return docs.select("*", text_or_empty().alias("__text__")).mapInArrow(run, docs.schema)
+    return rewritten(docs, lambda batch, texts: batch.filter(pa.array(screened.sigmoid(_logits(texts, model)) < THRESHOLD)))

@@ -33,3 +33,26 @@ def test_stages(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.exceptAll(docs).isEmpty() and docs.exceptAll(again).isEmpty()
     assert again.where(F.col("doc_id") == 205).first().bucket is None
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, null and long texts, clashing and dotted column names, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node string, item_id int, `x.y` int, score double"
+    rows = [(i, prose(30) + (" rotten" if i % 4 == 0 else ""), "en", "s", 1, "n", 1, 2, 0.5) for i in range(120)]
+    rows += [(None, "null id here", "en", None, 1, "n", 1, 2, 0.5)] * 2 + [rows[1], rows[1], (500, None, None, None, None, None, None, None, None), (501, "w " * 50_000, "en", "s", 1, "n", 1, 2, 0.5)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(20), 7)], "item_id long, text string, doc_id int")
+    for empty in (False, True):
+        folder = f"{tmp_path}/{empty}"
+        docs = spark.createDataFrame([] if empty else rows, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        (labels.limit(0) if empty else labels).write.parquet(f"{folder}/labels.parquet")
+        (bench.limit(0) if empty else bench).write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, folder)
+            assert k == 4 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "node", "item_id", "x.y", "score"]
+            docs.write.parquet(f"{folder}/out{k}")
+            docs = spark.read.parquet(f"{folder}/out{k}")
+        ids = [r.doc_id for r in docs.where("piece IS NULL OR piece = 0").collect()]
+        assert len(ids) == len(set(ids)) and set(ids) == (set() if empty else {i for i in range(120) if i % 4} | {None, 500, 501})
