@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallysieve.functions.text import norm_key, or_null
@@ -31,7 +31,7 @@ def known_candidates(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The earliest row of each key."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__rn = 1").drop("__rn")
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
 
 def greedy_dedup(rows: DataFrame, order: str = "seq", keys_of_dropped: bool = False) -> DataFrame:

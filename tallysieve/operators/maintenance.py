@@ -59,6 +59,40 @@ def fetched(rows: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def lacking(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows without a description: of lists, actionable ones, or new rejected ones that no list gave."""
+    listed = F.col("id").startswith("gh:")
+    wanted = {"lists": listed, "actionable": F.col("tier").isin(*ACTIONABLE), "rejected": (F.col("tier") == "INELIGIBLE") & (F.coalesce("status", F.lit("new")) == "new") & ~listed}[kind]
+    return rows.where(wanted & or_null(F.col("description")).isNull())
+
+
+def _judged(rows: DataFrame, verdicts: DataFrame, job: str) -> DataFrame:
+    """Tier changes by new verdicts (id, tier, failed) under today's rules; a failed verdict changes nothing."""
+    good = verdicts.where(~F.coalesce("failed", F.lit(False))).select("id", F.col("tier").alias("__new"))
+    told = rows.withColumn("__old", F.col("tier")).join(good, "id").withColumn("tier", F.col("__new")).drop("__new")
+    return _log(corrected(told), job, "tier", F.col("__old"), F.col("tier"))
+
+
+def filled(rows: DataFrame, kind: str, found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Descriptions (id, description) found for rows that lack them, and the new tiers of those whose status is new."""
+    open_ = lacking(rows, kind).join(found.select("id", or_null(F.col("description")).alias("__text")).where("__text IS NOT NULL"), "id")
+    texts = _log(open_, f"fill_{kind}", "description", F.col("description"), F.col("__text"))
+    return texts.union(_judged(_new(open_.withColumn("description", F.col("__text")).drop("__text")), verdicts, f"fill_{kind}"))
+
+
+def refetched(rows: DataFrame, found: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """New descriptions of APPLY rows that nobody decided on and whose text is thin or furniture, and their new tiers."""
+    open_ = rows.where((F.col("tier") == "APPLY") & ~F.coalesce("status", F.lit("new")).isin("applied", "dismissed") & needs_refetch(F.col("description")))
+    open_ = open_.join(found.select("id", or_null(F.col("description")).alias("__text")).where("__text IS NOT NULL"), "id")
+    texts = _log(open_, "refetch", "description", F.col("description"), F.col("__text"))
+    return texts.union(_judged(open_.withColumn("description", F.col("__text")).drop("__text"), verdicts, "refetch"))
+
+
+def rejected_recheck(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """New tiers of rejected rows, whatever their status."""
+    return _judged(rows.where("tier = 'INELIGIBLE'"), verdicts, "rejected")
+
+
 def rejudged(rows: DataFrame, job: str = "recheck") -> DataFrame:
     """Tier changes of new actionable rows under today's rules."""
     open_ = _new(rows).where(F.col("tier").isin(*ACTIONABLE))

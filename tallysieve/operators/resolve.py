@@ -91,8 +91,9 @@ def metadata_match(a: str, b: str) -> Column:
 
 def target_edges(features: DataFrame) -> DataFrame:
     """Each row with the first of its target; rows of a plain url only if the metadata agree."""
-    with_target = features.withColumn("first", F.min("rn").over(Window.partitionBy("target")))
-    rest = with_target.where("rn != first")
+    placed = features.select("rn", "target")
+    first = placed.groupBy("target").agg(F.min("rn").alias("first"))
+    rest = placed.join(first, "target").where("rn != first")
     sure = rest.where(~F.col("target").startswith("url:")).select(F.col("first").alias("a"), F.col("rn").alias("b"))
     pairs = rest.where(F.col("target").startswith("url:")).select(F.col("first").alias("a"), F.col("rn").alias("b"))
     return sure.union(matching(pairs, features))
@@ -105,8 +106,8 @@ def bucket_pairs(features: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame
     copies the targets find.
     """
     placed = features.select("rn", F.explode(T.company_buckets(F.col("cw"))).alias("bucket"))
-    sized = placed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where(F.col("n").between(2, max_bucket))
-    members = sized.groupBy("bucket").agg(F.sort_array(F.collect_list("rn")).alias("m"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_bucket)).select("bucket")
+    members = placed.join(sizes, "bucket", "left_semi").groupBy("bucket").agg(F.sort_array(F.collect_list("rn")).alias("m"))
     each = members.select(F.posexplode("m").alias("i", "a"), "m")
     return each.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
 

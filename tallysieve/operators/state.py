@@ -112,9 +112,10 @@ def drained(attempts: DataFrame, order: str = "found_at", stop_after: int = STOP
     """The attempts that a drain makes before it stops, from the outcome of each: ok, poison, transient, billing or auth.
 
     An account-wide failure stops at once, ``stop_after`` failures in a row stop
-    after the last; a poison row is skipped and counts as neither.  The queue is
-    bounded, so one ordered window holds it.
+    after the last; a poison row is skipped and counts as neither.  At most
+    ``QUEUE_LIMIT`` attempts, the earliest, are looked at, so one ordered window holds them.
     """
+    attempts = attempts.orderBy(order, "id").limit(QUEUE_LIMIT)
     w = Window.orderBy(order, "id")
     counted = attempts.withColumn("ok_run", F.sum(F.when(F.col("outcome") == "ok", 1).otherwise(0)).over(w))
     in_run = Window.partitionBy("ok_run").orderBy(order, "id")

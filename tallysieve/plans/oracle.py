@@ -519,3 +519,6 @@ define(
     "detail_text",
     "SELECT seq, ['greenhouse', 'lever', 'ashby', 'workday', 'icims'][CAST(seq % 5 + 1 AS INT)] AS route, CASE WHEN seq % 5 = 1 THEN nullif(left(description, 12000), '') WHEN seq % 5 < 4 THEN 'Role ' || seq WHEN seq % 2 = 0 THEN repeat('Role ' || seq, 60) END AS description FROM postings",
 )
+
+
+from tallysieve.plans import workflow_sql  # noqa: E402,F401  defines its queries

@@ -540,3 +540,6 @@ def detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     landed = synth.postings(spark, sf_dir).select("seq", url.alias("url"), payload.alias("payload"))
     return landed.select("seq", details.route(F.col("url")).alias("route"), details.description(F.col("url"), F.col("payload")).alias("description"))
+
+
+from tallysieve.plans import workflow  # noqa: E402,F401  registers its queries

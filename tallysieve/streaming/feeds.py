@@ -98,7 +98,7 @@ def drained_dedup(spark: SparkSession, path: str) -> DataFrame:
     else:
         source = spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     twice = source.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    once = deduplicated(twice, "event_id", "ts", "40 days")
+    once = deduplicated(twice, "event_id", "ts")
     out = f"{folder}/out"
     query = once.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
