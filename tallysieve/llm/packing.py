@@ -7,11 +7,12 @@ Inside each bucket, pieces form batches of as many rows as the token budget allo
 
 Rows are numbered within hash shards of a bucket and moved by the shards' offsets,
 so no task gets a whole bucket, and only the last batch of a bucket is not full.
-Rows of one id are told apart by their token counts, so results do not depend on order.
+Rows of one id are told apart by their token counts, so results do not depend on order;
+rows that are alike are counted first and get their numbers as a run.
 
 Defined results: a text without tokens (null, empty, blank) gives one row with piece,
-bucket and batch null; repeated rows are packed each; other columns are ignored; an
-empty table gives no rows.
+bucket and batch null; repeated rows are packed each; a null id is an id; a very long text
+has as many pieces as it needs; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -84,13 +85,18 @@ def pack(docs: DataFrame, *, context: int = CONTEXT, buckets: int = BUCKETS, bud
         shards = F.when(inside, F.lit(-(-size // SHARD_ROWS))).otherwise(shards)
         rows = F.when(inside, F.lit(max(1, budget // bound))).otherwise(rows)
     placed = cut.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), shards)).withColumn("rows", rows)
-    full = placed.where("length > 0")
+    names = ["doc_id", "n_tokens", "piece", "start", "length", "bucket", "shard", "rows"]
+    full = placed.where("length > 0").groupBy(*names).agg(F.count("*").alias("same"))
     order = Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece", "n_tokens")
-    numbered = full.withColumn("k", F.row_number().over(order) - 1)
-    counts = full.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
+    numbered = full.withColumn("k", F.sum("same").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("same"))
+    counts = full.groupBy("bucket", "shard").agg(F.sum("same").alias("n"))
     before = counts.select("bucket", "shard", (F.sum("n").over(Window.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("before"))
-    at = F.col("k") + F.col("before")
-    packed = numbered.join(before, ["bucket", "shard"]).withColumn("at", at)
+    placed = numbered.join(before, ["bucket", "shard"]).withColumn("k", F.col("k") + F.col("before"))
+    # Rows that are alike get a run of numbers, in parts that tasks can share.
+    parts = placed.withColumn("lo", F.explode(F.expr(f"sequence(0L, same - 1, {SHARD_ROWS}L)")))
+    if (full.agg(F.max("same").alias("most")).first().most or 0) > SHARD_ROWS:
+        parts = parts.repartition("doc_id", "piece", "n_tokens", "lo")
+    packed = parts.withColumn("at", F.explode(F.expr(f"sequence(k + lo, k + least(lo + {SHARD_ROWS}L, same) - 1)")))
     packed = packed.select("doc_id", "n_tokens", "piece", "start", "length", "bucket", F.expr("at div rows").alias("batch"), F.expr("at % rows").cast("long").alias("slot"))
     none = F.lit(None).cast("long")
     bare = cut.where("length IS NULL").select("doc_id", "n_tokens", "piece", "start", "length", none.alias("bucket"), none.alias("batch"), none.alias("slot"))

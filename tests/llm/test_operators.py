@@ -620,6 +620,20 @@ def test_batches(spark, monkeypatch):
         assert slots == [(k // most, k % most) for k in range(len(slots))] and all(r.length <= bucket for r in rows if r.bucket == bucket)
 
 
+def test_packing_of_odd_rows(spark, monkeypatch):
+    """A third of all rows alike, null ids, a text of many pieces, an empty table."""
+    monkeypatch.setattr(packing, "SHARD_ROWS", 10)
+    rows = spark.createDataFrame([(None, "a b c")] * 100 + [(k, "w " * k) for k in range(1, 60)] + [(60, "z " * 100_000)], "doc_id long, text string")
+    got = packing.pack(rows, context=50, buckets=3, budget=200).collect()
+    assert sum(r.length for r in got) == 300 + sum(range(1, 60)) + 100_000 and sum(r.doc_id is None for r in got) == 100
+    for bucket in {r.bucket for r in got}:
+        most = max(1, 200 // bucket)
+        assert sorted((r.batch, r.slot) for r in got if r.bucket == bucket) == [(k // most, k % most) for k in range(sum(r.bucket == bucket for r in got))]
+    again = packing.pack(rows.repartition(5), context=50, buckets=3, budget=200).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert packing.pack(rows.limit(0)).count() == 0
+
+
 # 7, 10: classifiers -----------------------------------------------------------------------------------------------
 
 
