@@ -52,8 +52,14 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that no later stage reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared folder."""
+    """All stages over ``documents``; what lies between them is written to the shared folder and goes once the next is written."""
     checkpoint_ready(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
@@ -62,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                discard(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
