@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of text that are held as numpy arrays at a time.
 CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch between an executor and its Python workers, which hold several at a time.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -233,4 +236,7 @@ def single_threaded(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; its rows go to Python workers in batches of ``BATCH_BYTES``, not of Spark's default of 64 MB, where the session leaves that open."""
+    if spark.conf.get(_BATCH_SETTING, None) in (None, "67108864b"):
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
