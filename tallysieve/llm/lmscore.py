@@ -45,7 +45,7 @@ HIDDEN, CLASSES, PER_CLASS = 24, 32, 64
 WINDOW, STREAMS, RATE = 16, 256, 0.15
 ROUNDS, REPLICA_TOKENS, MOST_REPLICAS = 4, 1 << 20, 4096
 FREQUENT_SHARE = 1 << 21
-GROUP_TOKENS, FLUSH_TOKENS = 1 << 22, 1 << 16
+GROUP_TOKENS, FLUSH_TOKENS, COUNT_TOKENS = 1 << 22, 1 << 16, 1 << 22
 _SUMMERS = 8
 END = 0
 
@@ -280,14 +280,24 @@ def _tokens(docs: DataFrame) -> DataFrame:
 def corpus_counts(docs: DataFrame, trains: Column) -> tuple[DataFrame, Counts]:
     """The table (h, n, e) of all training words with counts and endings, and the corpus statistics."""
 
+    def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        every, own = (np.concatenate(p) for p in zip(*parts, strict=True))
+        h, at, n = np.unique(every, return_index=True, return_counts=True)
+        for lo in range(0, len(h), 1 << 18):
+            cut = slice(lo, lo + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(own[at[cut]].astype(np.int32))], names=["h", "n", "e"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = [(w.hashes(), endings(w)) for _, _, w in word_chunks(batch.column("text"), graph=True)]
-            every, own = (np.concatenate([*p, np.empty(0, dtype=kind)]) for p, kind in zip(zip(*parts, strict=True) if parts else ((), ()), (np.uint64, np.int64), strict=True))
-            h, at, n = np.unique(every, return_index=True, return_counts=True)
-            for lo in range(0, len(h), 1 << 18):
-                cut = slice(lo, lo + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(own[at[cut]].astype(np.int32))], names=["h", "n", "e"])
+            for _, _, w in word_chunks(batch.column("text"), graph=True):
+                parts.append((w.hashes(), endings(w).astype(np.int8)))
+                held += len(w.starts)
+                if held >= COUNT_TOKENS:
+                    yield from counted(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from counted(parts)
 
     learned = docs.where(trains)
     each = _tokens(learned).select("text").mapInArrow(run, "h long, n long, e int")
