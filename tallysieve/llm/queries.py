@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import decontam, licenses, lmscore, media, neardup, packing, quality, secrets, toxicity, urlrules
+from tallysieve.llm import decontam, licenses, lmscore, media, neardup, packing, quality, repeats, secrets, toxicity, urlrules
 from tallysieve.llm.textkit import id_crc, read_table
 
 
@@ -70,6 +70,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def payload_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op1 that SQL can express."""
     return op1_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "payload_columns": payload_columns,
     "listed_urls": listed_urls,
     "base_secrets": base_secrets,
