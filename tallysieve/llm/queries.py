@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallysieve.llm import decontam, licenses, lmscore, media, neardup, packing, quality, repeats, secrets, toxicity, urlrules
+from tallysieve.llm import decontam, licenses, lmscore, media, neardup, packing, periodic, quality, repeats, secrets, toxicity, urlrules, whitening
 from tallysieve.llm.textkit import id_crc, read_table
 
 
@@ -70,6 +70,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth text by its id's crc32 repeats a stretch of its words from some word on."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), id_crc().alias("h"))
+    planted = F.col("h") % 10 == 0
+    rows = rows.select("doc_id", "text", F.expr("h div 10").alias("g"), F.when(planted, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), 0)).alias("w"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    rewritten = F.expr("array_join(transform(sequence(0L, n - 1), i -> w[CAST(IF(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, rewritten).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(with_planted_runs(read_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS LONG)"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
     removed = F.col("n_bytes") - F.length("kept")
@@ -106,6 +137,11 @@ def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
+def exact_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op13 that integers give."""
+    return op13_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_url_filter": op2_url_filter,
@@ -117,13 +153,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_whitening": op13_whitening,
     "payload_columns": payload_columns,
     "listed_urls": listed_urls,
     "base_secrets": base_secrets,
     "packed_pieces": packed_pieces,
     "count_scores": count_scores,
     "base_licenses": base_licenses,
+    "exact_deviations": exact_deviations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -220,6 +259,12 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(s) AS BIGINT) AS n_base, list_min(s) - 1 AS first_word, list_max(s) - 1 AS last_word,
     concat_ws(',', CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END) AS base_labels FROM every
     """,
+    "exact_deviations": """
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS c FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    x AS (SELECT vec_id, i, CAST(floor(64 * c[i]) AS HUGEINT) + 1000000 AS x FROM (SELECT vec_id, c, unnest(range(1, len(c) + 1)) AS i FROM v)),
+    s AS (SELECT i, sum(x) AS s, count(*) AS n FROM x GROUP BY i)
+    SELECT vec_id, any_value(n) AS n, CAST(sum((n * x - s) * (n * x - s)) AS BIGINT) AS deviation FROM x JOIN s USING (i) GROUP BY vec_id
+    """,
     "op4_decontamination": f"""
     WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
