@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,22 +152,3 @@ def avatar_letter(company: Column) -> Column:
     # Signs beyond the basic plane are no letters here.
     plain = F.regexp_replace(F.regexp_replace(text(company), r"[\x{10000}-\x{10FFFF}]", ""), r"^[^A-Za-z0-9_À-￿]+", "")
     return F.upper(F.coalesce(or_null(F.left(stripped(plain), F.lit(1))), F.lit("?")))
-
-
-def unfilled(profile: Column) -> Column:
-    """Paths of the leaves of a JSON profile that are still to be filled in, in order.
-
-    The depth isn't bounded, so the walk runs in Python workers.
-    """
-
-    def paths(node: object, path: str) -> list[str]:
-        if isinstance(node, dict):
-            return [p for k, v in node.items() for p in paths(v, f"{path}.{k}" if path else k)]
-        if isinstance(node, list):
-            return [p for i, v in enumerate(node) for p in paths(v, f"{path}[{i}]")]
-        return [path] if node == TO_FILL else []
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: paths(json.loads(t), ""), na_action="ignore")
-
-    return F.pandas_udf(run, "array<string>")(profile)

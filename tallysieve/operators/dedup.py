@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallysieve.functions.text import norm_key, or_null
 from tallysieve.functions.urls import tracker_url
-from tallysieve.operators.graph import components
+from tallysieve.operators.graph import saved
 
 
 def unseen(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -29,7 +28,7 @@ def known_candidates(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return by_id.union(by_key).groupBy("id").agg(F.min("matched_by").alias("matched_by"))
 
 
-def first_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+def first_per_key(rows: DataFrame, key: str, order: str | Column) -> DataFrame:
     """The earliest row of each key."""
     return rows.groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
 
@@ -38,43 +37,47 @@ def greedy_dedup(rows: DataFrame, order: str = "seq", keys_of_dropped: bool = Fa
     """Keeps a row, in arrival order, if no kept row before it has its id or norm_key.
 
     A dropped row does not register its keys, so later rows are compared with kept
-    rows only; with ``keys_of_dropped`` a dropped row's id counts as seen.  If every
-    id has one norm_key, the first row of each norm_key is the answer.  Else the
-    rows whose ids or keys clash are scanned one connected component at a time; a
-    component is what shares ids and keys, a handful of rows, never the table.
+    rows only.  A row without norm_key is compared by its id alone, one without id by
+    its norm_key alone; rows that tie in ``order`` come as they were read.
+
+    Rounds decide it: the first of all undecided rows with its id that is also the first
+    with its norm_key is kept, and what shares either with it goes.  Each round decides
+    the first undecided row of every chain of clashes, and most rows in the first; only
+    keys and places move.
+
+    With ``keys_of_dropped`` the id of a dropped row counts as seen too.  Then only the
+    first row of an id can stay, so it is the first of each norm_key among these.
     """
-    clash = rows.groupBy("id").agg((F.min("norm_key") != F.max("norm_key")).alias("clash")).where("clash").select("id")
-    if clash.isEmpty():
-        return first_per_key(rows, "norm_key", order)
-    ends = rows.select(F.concat(F.lit("i:"), "id").alias("a"), F.concat(F.lit("k:"), "norm_key").alias("b"))
-    parts = components(ends)
-    mixed = clash.join(parts, F.concat(F.lit("i:"), "id") == F.col("node")).select("comp").distinct()
-    tagged = rows.join(parts, F.concat(F.lit("i:"), rows["id"]) == F.col("node")).drop("node")
-    plain = first_per_key(tagged.join(mixed, "comp", "left_anti").drop("comp"), "norm_key", order)
-
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        ids, keys, keep = set(), set(), []
-        for i, k in zip(group["id"], group["norm_key"], strict=True):
-            fresh = i not in ids and k not in keys
-            keep.append(fresh)
-            if fresh:
-                ids.add(i)
-                keys.add(k)
-            elif keys_of_dropped:
-                ids.add(i)
-        return group[keep]
-
-    clashing = tagged.join(mixed, "comp", "left_semi")
-    ordered = lambda g: scan(g.sort_values(order))
+    own = F.monotonically_increasing_id()
     names = rows.columns
-    scanned = clashing.groupBy("comp").applyInPandas(lambda g: ordered(g)[names], rows.schema)
-    return plain.select(names).unionByName(scanned)
+    numbered = saved(rows.withColumn("__own__", own))
+    place = F.struct(F.col(order).alias("at"), F.col("__own__").alias("own"))
+    by_id = F.coalesce(F.concat(F.lit("i"), F.col("id").cast("string")), F.concat(F.lit("r"), F.col("__own__")))
+    by_key = F.coalesce(F.concat(F.lit("k"), F.col("norm_key").cast("string")), by_id)
+    left = numbered.select("__own__", place.alias("place"), by_id.alias("i"), by_key.alias("k"))
+    if keys_of_dropped:
+        first = left.groupBy("i").agg(F.min_by(F.struct("__own__", "place", "k"), "place").alias("r")).select("r.*")
+        kept = first.groupBy("k").agg(F.min_by("__own__", "place").alias("__own__")).select("__own__")
+        return numbered.join(kept, "__own__", "left_semi").select(names)
+    kept = None
+    while True:
+        first_i = left.groupBy("i").agg(F.min("place").alias("first_i"))
+        first_k = left.groupBy("k").agg(F.min("place").alias("first_k"))
+        stays = (F.col("place") == F.col("first_i")) & (F.col("place") == F.col("first_k"))
+        judged = saved(left.join(first_i, "i").join(first_k, "k").select("__own__", "place", "i", "k", stays.alias("stays")))
+        now = judged.where("stays")
+        kept = now.select("__own__") if kept is None else kept.union(now.select("__own__"))
+        left = judged.where("NOT stays").drop("stays").join(now.select("i"), "i", "left_anti").join(now.select("k"), "k", "left_anti")
+        left = saved(left)
+        if left.isEmpty():
+            return numbered.join(kept, "__own__", "left_semi").select(names)
 
 
 def insert_new(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """``stored`` and the rows of ``batch`` with new ids, the first of each; norm_key is computed anew."""
     fresh = batch.join(stored.select("id"), "id", "left_anti").withColumn("norm_key", norm_key(F.col("company"), F.col("title")))
-    fresh = first_per_key(fresh, "id", "seq") if "seq" in fresh.columns else fresh.dropDuplicates(["id"])
+    # Without arrival numbers the least row of an id stays, so a batch that runs again stores the same.
+    fresh = first_per_key(fresh, "id", "seq" if "seq" in fresh.columns else F.to_json(F.struct(*fresh.columns)))
     defaults = {"tier": "APPLY_CAVEAT", "suggested_resume": "General", "status": "new"}
     for name, value in defaults.items():
         if name in fresh.columns:

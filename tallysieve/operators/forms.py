@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.functions.forms import folded, option_names, repeat_cell
+from tallysieve.functions.forms import TO_FILL, folded, option_names, repeat_cell
 from tallysieve.functions.text import or_null, text
+from tallysieve.operators.graph import saved
 
 
 def logical_fields(elements: DataFrame, optional: str | None = None) -> DataFrame:
@@ -35,3 +36,30 @@ def chosen_options(wanted: DataFrame, options: DataFrame) -> DataFrame:
     names = options.select("form", "key", "option", F.explode(option_names(F.col("option"))).alias("__name__"))
     met = wanted.withColumn("__name__", folded(F.col("value"))).join(names, ["form", "key", "__name__"], "left")
     return met.groupBy("form", "key", "value").agg(F.when(F.count_distinct("option") == 1, F.min("option")).alias("option"))
+
+
+def unfilled(profiles: DataFrame, key: str, profile: str) -> DataFrame:
+    """(key, gaps): the paths of the leaves of JSON profiles that are still to be filled in; none for an unreadable profile, null for a null one.
+
+    Profiles become variants; a round opens all objects and lists of one depth, so there
+    are as many rounds as the deepest profile has levels.  A variant keeps an object's
+    fields by name, so paths come by name, and those of a list by place.
+    """
+    spark = profiles.sparkSession
+    level = profiles.select(F.col(key).alias("key"), F.try_parse_json(F.col(profile)).alias("value"), F.lit("").alias("path"), F.array().cast("array<string>").alias("place"))
+    found = None
+    while True:
+        level = saved(level.where("value IS NOT NULL"))
+        leaves = level.where(F.try_variant_get("value", "$", "string") == TO_FILL).select("key", "path", "place")
+        found = leaves if found is None else found.union(leaves)
+        inner = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
+        if inner.isEmpty():
+            break
+        level = spark.sql(
+            """SELECT p.key, e.value, CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END AS path,
+            array_append(place, coalesce(e.key, lpad(e.pos, 10, '0'))) AS place FROM {inner} AS p, LATERAL variant_explode(p.value) AS e""",
+            inner=inner,
+        )
+    gaps = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("gaps"))
+    keys = profiles.select(F.col(key).alias("key"), F.col(profile).isNotNull().alias("there"))
+    return keys.join(gaps, "key", "left").select(F.col("key").alias(key), F.when(F.col("there"), F.coalesce("gaps", F.array().cast("array<string>"))).alias("gaps"))

@@ -99,15 +99,16 @@ def target_edges(features: DataFrame) -> DataFrame:
     return sure.union(matching(pairs, features))
 
 
-def bucket_pairs(features: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def bucket_pairs(features: DataFrame, max_bucket: int = MAX_BUCKET, sizes: DataFrame | None = None) -> DataFrame:
     """Distinct pairs (a < b) of rows that share a company bucket of at most ``max_bucket`` rows.
 
     The bound is the feature: larger companies have many parallel roles, whose
-    copies the targets find.
+    copies the targets find.  ``sizes`` (bucket, n) counts rows that aren't among
+    ``features`` too.
     """
     placed = features.select("rn", F.explode(T.company_buckets(F.col("cw"))).alias("bucket"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_bucket)).select("bucket")
-    members = placed.join(sizes, "bucket", "left_semi").groupBy("bucket").agg(F.sort_array(F.collect_list("rn")).alias("m"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")) if sizes is None else sizes
+    members = placed.join(sizes.where(F.col("n").between(2, max_bucket)).select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.sort_array(F.collect_list("rn")).alias("m"))
     each = members.select(F.posexplode("m").alias("i", "a"), "m")
     return each.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
 
@@ -128,8 +129,10 @@ def entities(rows: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame) -> DataFrame:
     """One row for each entity: its first row's columns, the highest status, and its other rows in order as duplicates."""
-    found = entities(rows)
-    names = rows.columns
+    return _packed(entities(rows), rows.columns)
+
+
+def _packed(found: DataFrame, names: list[str]) -> DataFrame:
     row = F.struct(*names)
     packed = found.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("rn", row.alias("row")))).alias("m"), F.max(status_rank(F.col("status"))).alias("rank"))
     lead = F.element_at("m", 1)["row"]
@@ -146,12 +149,62 @@ def flattened(groups: DataFrame) -> DataFrame:
     return leaders.unionByName(groups.where(F.col("duplicates").isNotNull()).select(F.explode("duplicates").alias("d")).select(*(F.col("d")[n].alias(n) for n in names)))
 
 
+def _match_keys(row: str) -> list[Column]:
+    """The target and the company buckets of the posting in a struct column; null for a null one."""
+    c = lambda n: F.col(f"{row}.{n}")
+    there = c("id").isNotNull()
+    href = application_href(c("url"), c("apply_url"), c("is_easy_apply"))
+    return [F.when(there, canonical_target(c("id"), href)).alias(f"{row}_target"), F.when(there, T.company_buckets(T.company_words(c("company")))).alias(f"{row}_buckets")]
+
+
+def _updated(rows: DataFrame, incoming: DataFrame, names: list[str]) -> DataFrame:
+    """(lead, was, now, changed) of ``rows`` (lead, was) and rows ``incoming``, which replace those of their id; the higher status stays."""
+    new = incoming.select(F.struct(*names).alias("new"))
+    both = rows.join(new, rows["was.id"] == F.col("new.id"), "full_outer")
+    rank = F.greatest(*(F.coalesce(status_rank(F.col(f"{r}.status")), F.lit(0)) for r in ("was", "new")))
+    changed = F.col("new.id").isNotNull()
+    now = F.struct(*(status_of_rank(rank).alias(n) if n == "status" else F.when(changed, F.col(f"new.{n}")).otherwise(F.col(f"was.{n}")).alias(n) for n in names))
+    return both.select("lead", "was", now.alias("now"), changed.alias("changed"))
+
+
+def _members(groups: DataFrame, names: list[str]) -> DataFrame:
+    """(lead, was): each row of grouped rows with its leader's id."""
+    leaders = groups.select(F.col("id").alias("lead"), F.struct(*names).alias("was"))
+    others = groups.where(F.col("duplicates").isNotNull()).select(F.col("id").alias("lead"), F.explode("duplicates").alias("was"))
+    return leaders.unionByName(others.select("lead", F.struct(*(F.col(f"was.{n}").alias(n) for n in names)).alias("was")))
+
+
 def merged(groups: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Groups after an update: incoming rows replace those of their id, the higher status stays, then all group anew."""
-    old = flattened(groups)
-    names = old.columns
-    new = incoming.select(*(F.col(n).alias(f"new_{n}") for n in names))
-    both = old.join(new, old["id"] == new["new_id"], "full_outer")
-    rank = F.greatest(F.coalesce(status_rank(F.col("status")), F.lit(0)), F.coalesce(status_rank(F.col("new_status")), F.lit(0)))
-    has_new = F.col("new_id").isNotNull()
-    return grouped(both.select(*(status_of_rank(rank).alias(n) if n == "status" else F.when(has_new, F.col(f"new_{n}")).otherwise(F.col(n)).alias(n) for n in names)))
+    """Groups after an update: incoming rows replace those of their id, the higher status stays; the same as grouping all rows anew.
+
+    Ids are unique in each.  Only groups that the update can change are grouped again:
+    those with a row that shares the target or a company bucket of an incoming row, or
+    of what it replaces.  In these a target's first row and a bucket's size may hang on
+    rows of other groups, so both are taken from the keys of all rows; no other feature
+    of an untouched group is made or moved.
+    """
+    names = [n for n in groups.columns if n not in ("rn", "duplicates")]
+    groups = groups.select(*names, "duplicates")
+    every = _updated(_members(groups, names), incoming, names)
+    keys = saved(every.select("lead", F.col("now.id").alias("id"), F.struct(F.col("now.found_at").isNull().alias("late"), (-F.unix_micros("now.found_at")).alias("age"), F.col("now.id").alias("id")).alias("place"), "changed", *_match_keys("was"), *_match_keys("now")))
+    changed = keys.where("changed")
+    targets = changed.select(F.explode(F.array("was_target", "now_target")).alias("now_target")).where("now_target IS NOT NULL").distinct()
+    buckets = changed.select(F.explode(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("was_buckets", "now_buckets")))).alias("bucket")).distinct()
+    placed = keys.select("lead", "id", F.explode("now_buckets").alias("bucket"))
+    hit = changed.select("lead").union(keys.join(targets, "now_target", "left_semi").select("lead")).union(placed.join(buckets, "bucket", "left_semi").select("lead"))
+    leads = saved(hit.where("lead IS NOT NULL").distinct())
+    rows = _updated(_members(groups.join(leads, groups["id"] == leads["lead"], "left_semi"), names), incoming, names).select("now.*")
+    placed_rows = saved(ordered(rows))
+    mine = placed_rows.select("id")
+    own = keys.join(mine, "id", "left_semi")
+    first = keys.join(own.select("now_target"), "now_target", "left_semi").groupBy("now_target").agg(F.min("place").alias("first"))
+    known = first.join(mine, F.col("first.id") == F.col("id"), "left_semi").select(F.col("now_target").alias("target"), F.lit(True).alias("known"))
+    sizes = placed.join(own.select(F.explode("now_buckets").alias("bucket")), "bucket", "left_semi").groupBy("bucket").agg(F.count("*").alias("n"))
+    # A row whose target's first row is elsewhere was not like it, and no other row of the target counts.
+    features = featured(placed_rows).join(known, "target", "left").withColumn("target", F.when(F.col("known"), F.col("target")).otherwise(F.concat(F.lit("row:"), F.col("rn")))).drop("known")
+    features = saved(features)
+    edges = target_edges(features).union(matching(bucket_pairs(features, sizes=sizes), features))
+    roots = components(edges).withColumnRenamed("node", "rn")
+    found = placed_rows.join(roots, "rn", "left").withColumn("root", F.coalesce("comp", "rn"))
+    anew = _packed(found, names).drop("rn")
+    return groups.join(leads, groups["id"] == leads["lead"], "left_anti").unionByName(anew)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallysieve.functions.text import or_null, text
@@ -49,3 +49,20 @@ def digest(rows: DataFrame) -> DataFrame:
     entries = rows.where(c("tier").isin(*ACTIONABLE)).select(F.struct("tier", "id", entry.alias("html")).alias("e"))
     whole = entries.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["html"]), "\n").alias("rows"))
     return whole.select("n", F.concat(F.lit("<html><body><h2>Digest: "), c("n").cast("string"), F.lit(" new</h2>"), F.when(c("n") == 0, "<p>Nothing new.</p>").otherwise(c("rows")), F.lit("</body></html>")).alias("html"))
+
+
+def observed_write(candidates: DataFrame, folder: str) -> dict[str, int]:
+    """Write a run's stored candidates (with stored, tier, rate_limited) and give its statistics, counted while they pass.
+
+    The counts are those of ``state.run_statistics`` without a scan of their own.
+    """
+    passing = Observation()
+    watched = candidates.observe(
+        passing,
+        F.count(F.lit(1)).alias("total_raw"),
+        F.count_if(F.col("stored")).alias("new_jobs"),
+        F.count_if(F.col("stored") & F.col("tier").isin(*ACTIONABLE)).alias("notified"),
+        F.count_if(F.col("rate_limited")).alias("rate_limited"),
+    )
+    watched.where("stored").write.mode("overwrite").parquet(folder)
+    return passing.get

@@ -521,4 +521,5 @@ define(
 )
 
 
-from tallysieve.plans import workflow_sql  # noqa: E402,F401  defines its queries
+from tallysieve.plans import workflow_sql  # noqa: E402,F401,I001  defines its queries
+from tallysieve.plans import live_sql  # noqa: E402,F401  defines its queries, one from those of the workflow

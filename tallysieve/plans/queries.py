@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallysieve import synth
 from tallysieve.functions import forms, locations, salary, text, times, titles, urls
 from tallysieve.operators import dedup, gates, paging, resolve, state, verdicts, views
-from tallysieve.operators.forms import chosen_options, logical_fields
+from tallysieve.operators.forms import chosen_options, logical_fields, unfilled
 from tallysieve.sources import boards, details, lists, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,7 +486,7 @@ def profile_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = F.struct(F.when(c % 2 == 0, c % 4 == 0).alias("us_citizen"))
     profile = F.to_json(F.struct(person.alias("personal"), work.alias("work_authorization"), F.array(F.lit("sql"), F.when(c % 6 == 0, forms.TO_FILL).otherwise("spark")).alias("skills")))
     rows = table(spark, sf_dir, "customer").select("c_custkey", profile.alias("profile"))
-    rows = rows.select("c_custkey", forms.profile_values(F.col("profile")).alias("v"), forms.unfilled(F.col("profile")).alias("gaps"))
+    rows = rows.withColumn("v", forms.profile_values(F.col("profile"))).join(unfilled(rows, "c_custkey", "profile"), "c_custkey")
     return rows.select("c_custkey", *(F.element_at("v", F.lit(n)).alias(n) for n in ("first_name", "last_name", "resides_in_us", "us_citizen")), F.size("v").alias("n_values"), F.array_join("gaps", "|").alias("gaps"))
 
 
@@ -542,4 +542,4 @@ def detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed.select("seq", details.route(F.col("url")).alias("route"), details.description(F.col("url"), F.col("payload")).alias("description"))
 
 
-from tallysieve.plans import workflow  # noqa: E402,F401  registers its queries
+from tallysieve.plans import live, workflow  # noqa: E402,F401  register their queries

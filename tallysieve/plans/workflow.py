@@ -45,9 +45,8 @@ def search_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.details(rows).select("id", "description", "apply_url", "is_easy_apply", "salary")
 
 
-@query
-def readme_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings of README tables of 25 postings, one half of them HTML with arrows, the other half in pipes."""
+def readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """README tables (source_name, text) of 25 postings, one half of them HTML with arrows, the other half in pipes."""
     tbl, pos = F.col("seq") - F.col("seq") % 25, F.col("seq") % 25
     company = F.when((pos > 0) & _every(3, 1), "↳").otherwise(F.concat(F.lit("Company "), "seq"))
     link = F.when(_every(8, 5), "").otherwise(F.concat(F.lit('<a href="https://careers.example.com/'), "seq", F.lit('">Apply</a>')))
@@ -59,8 +58,13 @@ def readme_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = rows.groupBy("tbl").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
     html = F.concat(F.lit("# Jobs\n<table><tbody>"), F.array_join("lines", ""), F.lit("</tbody></table>"))
     pipes = F.concat(F.lit("| Company | Role | Place | Link | Age |\n| --- | --- | --- | --- | --- |\n"), F.array_join("lines", "\n"), F.lit("\nEnd"))
-    readmes = lines.select(F.concat(F.lit("list"), "tbl").alias("source_name"), F.when(F.col("tbl") % 2 == 0, html).otherwise(pipes).alias("text"))
-    found = lists.readme_listings(readmes, F.timestamp_seconds(F.lit(synth.NOW_S)))
+    return lines.select(F.concat(F.lit("list"), "tbl").alias("source_name"), F.when(F.col("tbl") % 2 == 0, html).otherwise(pipes).alias("text"))
+
+
+@query
+def readme_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of the README tables."""
+    found = lists.readme_listings(readmes(spark, sf_dir), F.timestamp_seconds(F.lit(synth.NOW_S)))
     return found.select("id", "title", "company", "location", "url", F.left("posted_at", F.lit(10)).alias("posted_day"), "search_term")
 
 

@@ -89,12 +89,13 @@ def smartrecruiters(payloads: DataFrame) -> DataFrame:
 def workday(payloads: DataFrame, now: Column) -> DataFrame:
     """Pages of (company, token, page, payload); the token is tenant:host:site.
 
-    The first page's total bounds the pages that count; a path that an earlier page
-    had marks a board that wrapped around and is dropped.
+    The first page's total, if it names one, bounds the pages that count; a path that an
+    earlier page had marks a board that wrapped around and is dropped.
     """
     pages = payloads.where("platform = 'workday'").withColumn("p", F.from_json("payload", _SCHEMAS["workday"]))
     totals = pages.where("page = 0").select("token", F.col("p.total").alias("total"))
-    counted = pages.join(totals, "token").where((F.col("page") < MAX_PAGES) & (F.col("page") * PAGE_ROWS < F.col("total")))
+    within = F.coalesce(F.col("page") * PAGE_ROWS < F.when(F.col("total") > 0, F.col("total")), F.lit(True))
+    counted = pages.join(totals, "token").where((F.col("page") < MAX_PAGES) & within)
     jobs = counted.select("company", "token", "page", F.posexplode("p.jobPostings").alias("at", "j"))
     first = jobs.groupBy("token", F.col("j.externalPath").alias("path")).agg(F.min_by(F.struct("company", "j"), F.struct("page", "at")).alias("r"))
     parts = F.split("token", ":")

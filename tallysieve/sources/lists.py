@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tallysieve.functions.text import or_null, stripped, text
 from tallysieve.functions.times import age_days
@@ -43,6 +47,56 @@ def html_table_rows(readmes: DataFrame) -> DataFrame:
     return carried(rows, "source_name", "tbl").drop("tbl", "pos")
 
 
+def _html_rows(text_: str) -> Iterator[tuple]:
+    """Rows of all HTML tables; a blank company or an arrow takes the company above it in its table."""
+    table, above = None, ""
+    for row in table_rows(text_):
+        if row["tbl"] != table:
+            table, above = row["tbl"], ""
+        if row["company"] not in (CARRY, ""):
+            above = row["company"]
+        yield above or row["company"], row["title"], row["location"], row["apply_url"], row["age"]
+
+
+def _pipe_rows(text_: str) -> Iterator[tuple]:
+    """Rows of five cells or more under a header and separator line."""
+    above, inside = False, False
+    for line in re.split(r"\r\n|\n|\r", text_):
+        row = line.strip()
+        if not row.startswith("|"):
+            above = inside = False
+            continue
+        if inside:
+            cells = [c.strip() for c in row.strip("|").split("|")]
+            if len(cells) >= 5:
+                link = re.search(r"""<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)""", cells[-2], re.I)
+                plain = [re.sub(r"<[^>]*>", "", c).strip() for c in (*cells[:3], cells[-1])]
+                yield *plain[:3], link[1] if link else None, plain[3]
+        elif above and re.match(r"\s*\|[\s:|-]+\|\s*$", line):
+            inside = True
+        above = True
+
+
+@udtf(returnType="company string, title string, location string, apply_url string, age string")
+class ReadmeRows:
+    """Table rows of a README text, of HTML tables and of pipe tables: ``FROM readmes, LATERAL readme_rows(text)``.
+
+    A null text has none.  What a text carries from row to row stays in its one call, so no rows are shuffled.
+    """
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        if text is not None:
+            yield from _html_rows(text)
+            yield from _pipe_rows(text)
+
+
+def readme_rows(readmes: DataFrame) -> DataFrame:
+    """(source_name, company, title, location, apply_url, age) of README texts (source_name, text), by the table function."""
+    spark = readmes.sparkSession
+    spark.udtf.register("readme_rows", ReadmeRows)
+    return spark.sql("SELECT source_name, r.* FROM {readmes}, LATERAL readme_rows(text) AS r", readmes=readmes)
+
+
 def _cell_text(c: Column) -> Column:
     return stripped(F.regexp_replace(c, "<[^>]*>", ""))
 

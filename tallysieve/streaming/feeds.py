@@ -1,4 +1,4 @@
-"""Streams over postings and events: change feed, digest, ingest and event-time deduplication."""
+"""Streams over postings and events: change feed, digest, windows with late rows and event-time deduplication."""
 
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tallysieve.operators.dedup import insert_new, unseen
-from tallysieve.operators.sinks import digest, notices
+from tallysieve.operators.sinks import digest
 from tallysieve.schemas import ACTIONABLE
 
 LOOKBACK = "6 hours"
@@ -45,28 +44,44 @@ def windowed_counts(rows: DataFrame, time: str, key: str, window: str = "1 hour"
     return timed(rows, time, delay).groupBy(F.window(time, window), key).agg(F.count("*").alias("n"))
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there through ``sink`` and stop; offsets are kept after the sink succeeded."""
-    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def window_sink(folder: str) -> Callable[[DataFrame, int], None]:
+    """Each batch's changed windows, in a folder named by its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return write
 
 
-def ingest_sink(store: str, outbox: str) -> Callable[[DataFrame, int], None]:
-    """Appends unseen rows to ``store``, then their notices to ``outbox``.
+def count_windows(rows: DataFrame, folder: str, time: str, key: str, window: str = "1 hour", delay: str = "10 minutes") -> tuple[int, int]:
+    """Count what a stream has of each window and key, on from where it stopped; (rows that arrived, groups dropped as late).
 
-    Each batch writes folders named by its number, so a batch that runs again
-    replaces what it wrote and sees the store as it was.
+    Windows are written as they change.  A row whose window has ended before the
+    watermark is late: it changes nothing and is told by the difference between the
+    rows that arrived and those in ``latest_windows``.
     """
+    watched = rows.observe("arrivals", F.count(F.lit(1)).alias("rows"))
+    query = run_available(windowed_counts(watched, time, key, window, delay), window_sink(f"{folder}/windows"), f"{folder}/offsets", "update")
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    arrived = late = 0
+    for progress in query.recentProgress:
+        arrived += (progress.observedMetrics["arrivals"]["rows"] or 0) if "arrivals" in progress.observedMetrics else 0
+        late += sum(s.numRowsDroppedByWatermark for s in progress.stateOperators)
+    return arrived, late
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        earlier = [f"{store}/batch={n}" for n in range(number)]
-        old = spark.read.schema(batch.schema).option("basePath", store).parquet(*earlier) if earlier else batch.limit(0)
-        fresh = insert_new(old.limit(0), unseen(batch, old)) if "company" in batch.columns else unseen(batch, old)
-        fresh.select(batch.columns).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        stored = spark.read.schema(batch.schema).parquet(f"{store}/batch={number}")
-        notices(stored).write.mode("overwrite").parquet(f"{outbox}/batch={number}")
 
-    return write
+def latest_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """(window, key columns, n) of every window as last written."""
+    found = spark.read.option("basePath", f"{folder}/windows").parquet(f"{folder}/windows")
+    keys = [c for c in found.columns if c not in ("n", "batch")]
+    return found.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Process what is there through ``sink`` and stop; offsets are kept after the sink succeeded."""
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def digest_sink(folder: str) -> Callable[[DataFrame, int], None]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallysieve import synth
 from tallysieve.functions import forms, urls
 from tallysieve.operators import state
-from tallysieve.operators.forms import chosen_options, logical_fields
+from tallysieve.operators.forms import chosen_options, logical_fields, unfilled
 from tallysieve.operators.paging import pages_read
 from tallysieve.sources import details
 from tests.test_functions import values
@@ -34,7 +34,9 @@ def test_profile_values(spark):
 
 
 def test_unfilled_paths(spark):
-    assert values(spark, forms.unfilled(F.col("x")), '{"a": {"b": "FILL_IN", "c": "FILL_IN now"}, "d": ["x", ["FILL_IN"]]}', "{}", None) == [["a.b", "d[1][0]"], [], None]
+    texts = ('{"a": {"b": "FILL_IN", "c": "FILL_IN now"}, "d": ["x", ["FILL_IN"]]}', "{}", None)
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    assert [r.gaps for r in unfilled(rows, "k", "x").orderBy("k").collect()] == [["a.b", "d[1][0]"], [], None]
 
 
 def test_option_names_are_whole(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallysieve.operators import dedup, graph, maintenance, resolve, sinks, state, views
 from tallysieve.sources import boards, lists, pages, tracker
-from tallysieve.streaming import feeds
+from tallysieve.streaming import feeds, ingest
 
 
 def test_unseen_on_either_key(spark):
@@ -170,14 +170,15 @@ def test_maintenance_never_writes_status(spark):
         maintenance._log(jobs(spark, {}), "x", "status", F.col("status"), F.lit("saved"))
 
 
-def test_ingest_and_change_feed(spark, tmp_path):
+def test_ingest_of_overlapping_deliveries(spark, tmp_path):
     schema = "seq long, id string, title string, company string, location string, url string, reason string, suggested_resume string, norm_key string, tier string, status string, found_at timestamp"
     def land(name, *ids):
         rows = spark.createDataFrame([(i, str(i), f"Intern {i}", "Acme", "", "", "", "", f"acme|{i}", "APPLY", "new", "2024-01-01 00:00:00") for i in ids], schema.replace("found_at timestamp", "found_at string")).withColumn("found_at", F.to_timestamp("found_at"))
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    sink = feeds.ingest_sink(str(tmp_path / "store"), str(tmp_path / "out"))
     for ids in ((1, 2), (2, 3)):
         land("x", *ids)
-        feeds.run_available(feeds.stream_files(spark, str(tmp_path / "in"), schema), sink, str(tmp_path / "offsets")).awaitTermination()
+        query = ingest.ingest(feeds.stream_files(spark, str(tmp_path / "in"), schema), str(tmp_path / "store"), str(tmp_path / "out"), str(tmp_path / "offsets"))
+        query.processAllAvailable()
+        query.stop()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == ["1", "2", "3"]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
