@@ -4,15 +4,17 @@ Three patterns give the base spans.  The method adds spans of its own.  Candidat
 tokens, dots within them included, of which a sensitive word stands within ``REACH``
 characters before or after, and the parts of a token between the sensitive words in it.
 A candidate's novelty is the number of bytes that it adds to a zstandard frame that
-is primed with a list of common identifiers and the text around the candidate.
+is primed with a list of common identifiers and the text around the candidate, without
+the candidate's own copies there: a key that is written twice is no less of a key.
 Code, names and prose compress against that dictionary; random key material does not.
 A rare word of prose adds about all its letters too, as a key does, so candidates must
-also change between lower case, upper case and digits at a quarter of their neighbouring
-characters or more; a key of lower-case letters alone is not told from prose.  Candidates
-that touch a base span are left to it.
+also change between lower case, upper case and digits at a share of their neighbouring
+characters (``CHANGES``; ``ONE_CASE`` for tokens of digits and mostly letters of one case,
+as base 32 has them); keys of lower-case letters or of digits alone are not told from
+prose and numbers.  Candidates that touch a base span are left to it.
 
-Every token is found once and scored at most twice, whole and in parts, so the work grows
-with the text's length.
+Every token is found once, and every different one scored at most twice, whole and in
+parts, where it first stands; the work grows with the text's length.
 
 Defined results: null counts as the empty text and has no spans; positions are code
 points of the whole text, ends exclusive; very long texts are scanned whole; repeated rows
@@ -46,6 +48,8 @@ _CHANGE = re.compile("(?<=[a-z])[A-Z0-9]|(?<=[A-Z])[a-z0-9]|(?<=[0-9])[A-Za-z]")
 REACH, BEFORE, AFTER = 64, 2048, 512
 #: A candidate is novel if it adds at least so many bytes and this share of its length, or enough bytes in any case.
 MIN_BYTES, MIN_SHARE, SURE_BYTES = 12, 0.9, 48
+#: Changes of kind for each character of a candidate, at least; the second where letters are of one case and at least so many.
+CHANGES, ONE_CASE, ONE_CASE_LETTERS = 1 / 4, 1 / 10, 0.6
 _SETTINGS = zstandard.ZstdCompressionParameters.from_level(9, min_match=3, window_log=17, write_checksum=0, write_content_size=0, write_dict_id=0)
 
 _IDENTIFIERS = (
@@ -121,7 +125,25 @@ def candidates(text: str) -> Iterator[tuple[tuple[int, int] | None, list[tuple[i
 
 def telling(text: str) -> bool:
     """Changes between lower case, upper case and digits as often as random characters do."""
-    return 4 * len(_CHANGE.findall(text)) >= len(text)
+    changes = len(_CHANGE.findall(text))
+    if changes >= CHANGES * len(text):
+        return True
+    upper, lower = len(re.findall("[A-Z]", text)), len(re.findall("[a-z]", text))
+    return changes >= max(2, ONE_CASE * len(text)) and min(upper, lower) == 0 and upper + lower >= ONE_CASE_LETTERS * len(text)
+
+
+def without(own: str, before: str, after: str) -> tuple[str, str]:
+    """The text around a candidate without its copies and what the outer edges leave of one."""
+    before, after = before.replace(own, ""), after.replace(own, "")
+    for k in range(min(len(own) - 1, len(before)), 2, -1):
+        if before.startswith(own[-k:]):
+            before = before[k:]
+            break
+    for k in range(min(len(own) - 1, len(after)), 2, -1):
+        if after.endswith(own[:k]):
+            after = after[:-k]
+            break
+    return before, after
 
 
 def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, int]]:
@@ -129,6 +151,7 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> lis
     if not any(word in low for word in _SENSITIVE):
         return []
     starts, ends = merged(taken)
+    scores: dict[str, int] = {}
 
     def judged(i: int, j: int) -> int:
         # A candidate adds no more bytes than it has.
@@ -137,7 +160,11 @@ def novel_spans(text: str, low: bytes, taken: list[tuple[int, int, str]]) -> lis
         k = bisect.bisect_right(ends, i)
         if k < len(starts) and starts[k] < j or not telling(text[i:j]):
             return 0
-        found = novelty(text[i:j].encode(), text[max(0, i - BEFORE) : i].encode("utf-8", "replace"), text[j : j + AFTER].encode("utf-8", "replace"))
+        own = text[i:j]
+        if own not in scores:
+            before, after = without(own, text[max(0, i - BEFORE) : i], text[j : j + AFTER])
+            scores[own] = novelty(own.encode(), before.encode("utf-8", "replace"), after.encode("utf-8", "replace"))
+        found = scores[own]
         return found if found >= SURE_BYTES or found >= MIN_BYTES and found >= MIN_SHARE * (j - i) else 0
 
     out = []

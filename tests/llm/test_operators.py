@@ -514,14 +514,22 @@ def brute_novel(text):
     sensitive = re.compile("passw|secret|token|api|key|auth|credential|bearer|private|signature|cookie", re.I | re.A)
     spots = [m.span() for m in sensitive.finditer(text)]
     base = secrets.base_spans(text, text.encode(), text.lower().encode())
+    seen = {}
 
     def novel(i, j):
         own = text[i:j]
         kind = lambda c: "U" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "d" if "0" <= c <= "9" else None
         changes = sum(None not in (x := (kind(a), kind(b))) and x[0] != x[1] for a, b in zip(own, own[1:], strict=False))
-        if len(own) < 12 or 4 * changes < len(own) or any(s[0] < j and i < s[1] for s in base):
+        kinds = [kind(c) for c in own]
+        one_case = changes >= 2 and 10 * changes >= len(own) and not {"U", "l"} <= set(kinds) and kinds.count("U") + kinds.count("l") >= 0.6 * len(own)
+        if len(own) < 12 or 4 * changes < len(own) and not one_case or any(s[0] < j and i < s[1] for s in base):
             return False
-        n = secrets.novelty(own.encode(), text[max(0, i - 2048) : i].encode(), text[j : j + 512].encode())
+        if own not in seen:
+            before, after = text[max(0, i - 2048) : i].replace(own, ""), text[j : j + 512].replace(own, "")
+            cut = max((k for k in range(3, len(own)) if before.startswith(own[len(own) - k :])), default=0)
+            rest = max((k for k in range(3, len(own)) if after.endswith(own[:k])), default=0)
+            seen[own] = secrets.novelty(own.encode(), before[cut:].encode(), after[: len(after) - rest].encode())
+        n = seen[own]
         return n >= 48 or n >= 12 and n >= 0.9 * (j - i)
 
     out = []
