@@ -14,7 +14,7 @@ from tallysieve.functions.text import norm_key, or_null, stripped, text
 from tallysieve.operators.gates import is_internship
 from tallysieve.operators.verdicts import corrected
 from tallysieve.operators.views import random_sample
-from tallysieve.schemas import ACTIONABLE
+from tallysieve.schemas import ACTIONABLE, TIERS
 
 #: Fixed value: furniture at the start of a stored description.
 FURNITURE = r"(?i)cookie|skip to (?:main )?content|sign in|job alert|privacy"
@@ -66,11 +66,28 @@ def lacking(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(wanted & or_null(F.col("description")).isNull())
 
 
-def _judged(rows: DataFrame, verdicts: DataFrame, job: str) -> DataFrame:
-    """Tier changes by new verdicts (id, tier, failed) under today's rules; a failed verdict changes nothing."""
-    good = verdicts.where(~F.coalesce("failed", F.lit(False))).select("id", F.col("tier").alias("__new"))
-    told = rows.withColumn("__old", F.col("tier")).join(good, "id").withColumn("tier", F.col("__new")).drop("__new")
-    return _log(corrected(told), job, "tier", F.col("__old"), F.col("tier"))
+def _judged(rows: DataFrame, verdicts: DataFrame, job: str, *fields: str, promoted: bool = False) -> DataFrame:
+    """Changes of ``fields`` (tier alone if none is named) by new verdicts under today's rules; a failed verdict changes nothing.
+
+    ``verdicts`` has id, tier, failed and, for these fields, reason, suggested_resume and
+    salary.  Pay is written where the verdict or the description names some.  With
+    ``promoted`` only rows whose tier changes are written.
+    """
+    fields = fields or ("tier",)
+    defaults = {"reason": F.lit(""), "suggested_resume": F.lit("General"), "salary": F.lit(None).cast("string")}
+    more = [n for n in fields if n != "tier"]
+    tier = F.when(F.col("tier").isin(*TIERS), F.col("tier")).otherwise("APPLY_CAVEAT")
+    good = verdicts.where(~F.coalesce("failed", F.lit(False))).select("id", tier.alias("__tier"), *(F.coalesce(or_null(F.col(n)), defaults[n]).alias(f"__{n}") for n in more))
+    told = rows.select("*", *(F.col(n).alias(f"__old_{n}") for n in fields)).join(good, "id")
+    for n in fields:
+        told = told.withColumn(n, F.col(f"__{n}")).drop(f"__{n}")
+    new = {n: F.coalesce(or_null(F.col(n)), F.col(f"__old_{n}")) if n == "salary" else F.col(n) for n in fields}
+    changes = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"__old_{n}").alias("old"), new[n].alias("new")) for n in fields))
+    judged = corrected(told)
+    if promoted:
+        judged = judged.where(F.col("tier") != F.col("__old_tier"))
+    each = judged.select("id", F.inline(changes)).where(~F.col("old").eqNullSafe(F.col("new")))
+    return each.select(F.lit(job).alias("job"), "id", "field", "old", "new")
 
 
 def filled(rows: DataFrame, kind: str, found: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -81,16 +98,16 @@ def filled(rows: DataFrame, kind: str, found: DataFrame, verdicts: DataFrame) ->
 
 
 def refetched(rows: DataFrame, found: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """New descriptions of APPLY rows that nobody decided on and whose text is thin or furniture, and their new tiers."""
+    """New descriptions of APPLY rows that nobody decided on and whose text is thin or furniture, and their new verdicts."""
     open_ = rows.where((F.col("tier") == "APPLY") & ~F.coalesce("status", F.lit("new")).isin("applied", "dismissed") & needs_refetch(F.col("description")))
     open_ = open_.join(found.select("id", or_null(F.col("description")).alias("__text")).where("__text IS NOT NULL"), "id")
     texts = _log(open_, "refetch", "description", F.col("description"), F.col("__text"))
-    return texts.union(_judged(open_.withColumn("description", F.col("__text")).drop("__text"), verdicts, "refetch"))
+    return texts.union(_judged(open_.withColumn("description", F.col("__text")).drop("__text"), verdicts, "refetch", "tier", "reason", "suggested_resume", "salary"))
 
 
 def rejected_recheck(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """New tiers of rejected rows, whatever their status."""
-    return _judged(rows.where("tier = 'INELIGIBLE'"), verdicts, "rejected")
+    """New verdicts of rejected rows that these no longer reject, whatever their status."""
+    return _judged(rows.where("tier = 'INELIGIBLE'"), verdicts, "rejected", "tier", "reason", "suggested_resume", promoted=True)
 
 
 def rejudged(rows: DataFrame, job: str = "recheck") -> DataFrame:

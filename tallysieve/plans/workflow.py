@@ -231,6 +231,14 @@ def _verdicts(rows: DataFrame) -> DataFrame:
     return rows.select("id", tier.alias("tier"), F.lit("told").alias("reason"), _every(7).alias("failed"), F.lit("Data").alias("suggested_resume"))
 
 
+def _whole_verdicts(rows: DataFrame) -> DataFrame:
+    """Verdicts with all that they may say; some fail, some postings have none."""
+    pay, resume = F.when(_every(4, 1), "$9/hr"), F.when(_every(5), "").otherwise("Data")
+    told = _verdicts(rows.where("seq % 11 != 0")).drop("reason", "suggested_resume")
+    more = rows.select("id", F.concat(F.lit("told "), "seq").alias("reason"), resume.alias("suggested_resume"), pay.alias("salary"))
+    return told.join(more, "id")
+
+
 def _bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings half of which have lost their descriptions."""
     return _postings(spark, sf_dir).withColumn("description", F.when(_every(2), F.when(_every(4), "").otherwise(None)).otherwise(F.col("description")))
@@ -255,19 +263,18 @@ def filled_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def refetched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thin descriptions of open APPLY rows fetched again and judged again."""
-    whole = _postings(spark, sf_dir)
+    """Thin descriptions of open APPLY rows fetched again, and all that their new verdicts change."""
+    whole = _postings(spark, sf_dir).withColumn("suggested_resume", F.lit("General"))
     thin = whole.withColumn("description", F.when(_every(2), "Sign in to see more").otherwise(F.col("description")))
-    told = _verdicts(whole).withColumn("tier", F.when(F.col("tier") == "MAYBE", "APPLY").otherwise(F.col("tier")))
-    return _counted(maintenance.refetched(thin, whole.select("id", "description"), told))
+    return maintenance.refetched(thin, whole.select("id", "description"), _whole_verdicts(whole)).select("job", "id", "field", "new")
 
 
 @query
 def rejected_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejected rows of any status under new verdicts, and resumes suggested anew."""
+    """Rejected rows of any status that new verdicts promote, and resumes suggested anew."""
     rows = _postings(spark, sf_dir).withColumn("suggested_resume", F.when(_every(5), "Data").otherwise("General"))
-    told = _verdicts(rows).withColumn("tier", F.when(F.col("tier") == "MAYBE", "APPLY").otherwise(F.col("tier")))
-    return _counted(maintenance.rejected_recheck(rows, told).union(maintenance.resume_recheck(rows, told)))
+    log = maintenance.rejected_recheck(rows, _whole_verdicts(rows)).union(maintenance.resume_recheck(rows, _verdicts(rows)))
+    return log.select("job", "id", "field", "new")
 
 
 @query
@@ -287,19 +294,19 @@ def audit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def processed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New listings enriched, judged, parked or stored, and notified: counts by what became of them."""
+    """New listings enriched, judged, parked or stored, and notified."""
     rows, whole = _bare(spark, sf_dir), _postings(spark, sf_dir)
     facts = whole.select("id", "description", F.lit(None).cast("string").alias("apply_url"), F.when(_every(3), "$1/hr").alias("salary"))
-    done = process.processed(rows, facts, _verdicts(whole))
-    return done.groupBy("tier", "notify", (F.coalesce("description", F.lit("")) != "").alias("has_text")).agg(F.count("*").alias("n"), F.count("salary").alias("n_salary"))
+    done = process.processed(rows, facts, _whole_verdicts(whole))
+    return done.select("seq", "tier", "reason", "suggested_resume", "salary", "notify", (F.coalesce("description", F.lit("")) != "").alias("has_text"))
 
 
 @query
 def tenant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a tenant with title gates and no rules: failures are not stored."""
     rows = _postings(spark, sf_dir)
-    done = process.tenant_processed(rows, _verdicts(rows), GATES["hourly"])
-    return done.groupBy("tier", "notify").agg(F.count("*").alias("n"), F.count("salary").alias("n_salary"))
+    done = process.tenant_processed(rows, _whole_verdicts(rows), GATES["hourly"])
+    return done.select("seq", "tier", "reason", "salary", "notify")
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallysieve import synth
-from tallysieve.operators import gates, maintenance
+from tallysieve.operators import gates, maintenance, process
 from tallysieve.plans.oracle import _BUCKETS, _FACTS, _MATCHING, _OF_RANK, _RANK, _ROUNDS, _WORDED, MATCH, PAY, SQL, _labels, define, filled, has, phrases, q
 
 _ID = "CASE WHEN seq % 3 = 1 THEN 'gh:' ELSE '' END || 'p' || seq"
@@ -99,18 +99,31 @@ define(
     *_told(),
 )
 _OPEN = "{t} = 'APPLY' AND status NOT IN ('applied', 'dismissed')"
+_ANY_VERDICT = "['APPLY', 'APPLY_CAVEAT', 'INELIGIBLE', 'APPLY_CAVEAT'][CAST(seq % 4 + 1 AS INT)]"
+_SAID = "CASE WHEN seq % 4 = 1 THEN '$9/hr' END"
+_RESUME = "CASE WHEN seq % 5 = 0 THEN 'General' ELSE 'Data' END"
+_HELD = "(seq % 7 = 0 OR seq % 11 = 0)"
+
+
+def _whole(pay: str) -> tuple[str, ...]:
+    """Tables that end in ``whole``: postings under verdicts that say ``pay``, after all rules, with what they were before."""
+    rules = [t.replace("FROM postings p", f"FROM (SELECT * EXCLUDE (id, tier, reason, salary), {_ID} AS id, {_ANY_VERDICT} AS tier, 'told ' || seq AS reason, {pay} AS salary FROM postings) p") for t in _FACTS]
+    return (*rules, f"whole AS (SELECT c.seq, {_ID.replace('seq', 'c.seq')} AS gid, c.tier AS new_tier, c.reason AS new_reason, c.salary AS new_salary, p.tier AS was, p.salary AS had, p.status, p.title, p.description FROM corrected c JOIN postings p USING (seq))")
+
+
 define(
     "refetched_rows",
-    f"""SELECT 'refetch' AS job, 'description' AS field, NULL AS new, count(*) AS n FROM thin WHERE {_OPEN.format(t='tier')} AND d IS DISTINCT FROM description
-    UNION ALL SELECT 'refetch', 'tier', new_tier, count(*) FROM ({_judged(_OPEN.format(t='was') + ' AND seq IN (SELECT seq FROM thin)')}) GROUP BY new_tier""",
-    f"thin AS (SELECT * FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'Sign in to see more' ELSE description END AS d FROM postings) WHERE {_THIN})",
-    *_told(),
+    f"""SELECT 'refetch' AS job, gid AS id, 'description' AS field, description AS new FROM open_ WHERE d IS DISTINCT FROM description
+    UNION ALL SELECT 'refetch', gid, field, new FROM (SELECT gid, unnest(['tier', 'reason', 'suggested_resume', 'salary']) AS field, unnest([was, '', 'General', had]) AS old, unnest([new_tier, new_reason, {_RESUME}, coalesce(nullif(new_salary, ''), had)]) AS new FROM open_ WHERE NOT {_HELD}) WHERE old IS DISTINCT FROM new""",
+    *_whole(_SAID),
+    f"open_ AS (SELECT * FROM (SELECT *, CASE WHEN seq % 2 = 0 THEN 'Sign in to see more' ELSE description END AS d FROM whole) WHERE {_OPEN.format(t='was')} AND {_THIN})",
 )
 define(
     "rejected_recheck",
-    f"""SELECT 'rejected' AS job, 'tier' AS field, new_tier AS new, count(*) AS n FROM ({_judged("was = 'INELIGIBLE'")}) GROUP BY new_tier
-    UNION ALL SELECT 'resumes', 'suggested_resume', NULL, count(*) FROM postings WHERE status = 'new' AND tier IN ('APPLY', 'APPLY_CAVEAT') AND seq % 5 <> 0""",
-    *_told(),
+    f"""SELECT 'rejected' AS job, gid AS id, field, new FROM (SELECT gid, unnest(['tier', 'reason', 'suggested_resume']) AS field, unnest([was, '', CASE WHEN seq % 5 = 0 THEN 'Data' ELSE 'General' END]) AS old, unnest([new_tier, new_reason, {_RESUME}]) AS new
+      FROM whole WHERE was = 'INELIGIBLE' AND new_tier <> was AND NOT {_HELD}) WHERE old IS DISTINCT FROM new
+    UNION ALL SELECT 'resumes', {_ID}, 'suggested_resume', 'Data' FROM postings WHERE status = 'new' AND tier IN ('APPLY', 'APPLY_CAVEAT') AND seq % 5 <> 0""",
+    *_whole("salary"),
 )
 define(
     "fetched_facts",
@@ -121,21 +134,19 @@ define(
     """SELECT n AS sampled, p AS promoted, n AS population, CASE WHEN n > 0 THEN CAST(floor(p / n * n) AS BIGINT) ELSE 0 END AS estimate FROM (
     SELECT count(*) AS n, count_if(seq % 4 < 2) AS p FROM postings WHERE status = 'new' AND tier = 'INELIGIBLE')""",
 )
+_FILLED = "coalesce(nullif(salary, ''), CASE WHEN seq % 3 = 0 THEN '$1/hr' END"
 define(
     "processed_rows",
-    """SELECT tier, tier IN ('APPLY', 'APPLY_CAVEAT') AS notify, true AS has_text, count(*) AS n, count(salary) AS n_salary FROM (
-    SELECT CASE WHEN seq % 7 = 0 THEN 'PENDING' ELSE new_tier END AS tier, CASE WHEN seq % 7 = 0 THEN raw ELSE salary END AS salary FROM done) GROUP BY ALL""",
-    *(
-        t.replace("FROM postings p", f"FROM (SELECT * EXCLUDE (id, tier, reason, salary), {_ID} AS id, {_VERDICT.replace(', ' + q('APPLY') + ']', ', ' + q('APPLY_CAVEAT') + ']')} AS tier, 'told' AS reason, coalesce(nullif(salary, ''), CASE WHEN seq % 3 = 0 THEN '$1/hr' END) AS salary FROM postings) p")
-        for t in _FACTS
-    ),
-    "done AS (SELECT c.seq, c.tier AS new_tier, c.salary, coalesce(nullif(p.salary, ''), CASE WHEN c.seq % 3 = 0 THEN '$1/hr' END, p.salary) AS raw FROM corrected c JOIN postings p USING (seq))",
+    f"""SELECT seq, CASE WHEN {_HELD} THEN 'PENDING' ELSE new_tier END AS tier, CASE WHEN {_HELD} THEN {q(process.PARKED)} ELSE new_reason END AS reason, CASE WHEN {_HELD} THEN 'General' ELSE {_RESUME} END AS suggested_resume,
+    CASE WHEN {_HELD} THEN {_FILLED.replace("salary", "had")}, had) ELSE new_salary END AS salary, NOT {_HELD} AND new_tier IN ('APPLY', 'APPLY_CAVEAT') AS notify, description <> '' AS has_text FROM whole""",
+    *_whole(f"{_FILLED}, {_SAID})"),
 )
 _HOURLY = f"CASE WHEN {phrases('title', gates.SENIOR_HOURLY)} THEN 'Senior-level title' WHEN {has('lower(title)', gates.INTERN_OR_STUDENT)} THEN 'Internship or student role' END"
 define(
     "tenant_rows",
-    f"""SELECT tier, tier IN ('APPLY', 'APPLY_CAVEAT') AS notify, count(*) AS n, count(salary) AS n_salary FROM (
-    SELECT CASE WHEN gate IS NOT NULL THEN 'INELIGIBLE' ELSE ['APPLY', 'APPLY_CAVEAT', 'INELIGIBLE', 'MAYBE'][CAST(seq % 4 + 1 AS INT)] END AS tier, coalesce(nullif(salary, ''), {PAY}) AS salary FROM (SELECT *, {_HOURLY} AS gate FROM postings) WHERE gate IS NOT NULL OR seq % 7 <> 0) GROUP BY ALL""",
+    f"""SELECT seq, tier, reason, salary, tier IN ('APPLY', 'APPLY_CAVEAT') AS notify FROM (
+    SELECT seq, CASE WHEN gate IS NOT NULL THEN 'INELIGIBLE' ELSE {_ANY_VERDICT} END AS tier, coalesce(gate, 'told ' || seq) AS reason, CASE WHEN gate IS NOT NULL THEN salary ELSE coalesce(nullif(salary, ''), {_SAID}, {PAY}, salary) END AS salary
+    FROM (SELECT *, {_HOURLY} AS gate FROM postings) WHERE gate IS NOT NULL OR NOT {_HELD})""",
 )
 
 
