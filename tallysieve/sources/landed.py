@@ -7,6 +7,11 @@
   fetch it: ``{"attempt": 0, "status": 200, "body": "..."}``.  A source is one input
   partition, or several are where the option ``numPartitions`` asks for fewer; its pages are opened one after the other by the executor and only as far as
   the paging rules go.  What goes wrong in a source is told in its rows and stops no other.
+  With the option ``packed`` the folder has files ``*.json`` of many sources instead, each
+  line an attempt with its ``source`` and ``page`` (of a board also the ``platform`` and
+  ``token`` that it is registered with).  A source is whole in one file and its lines are
+  in order; a file is one input partition and is read as a stream.  That takes as many
+  files as tasks, not one or more for each source and page.
 * ``commit_feeds`` reads a folder ``path`` of ``source=<name>/*``, each list's commit feed,
   as a stream.  Its offset is the newest commit of each list, so a list is delivered when
   its commit changes, once, and a restarted query goes on from the offsets it has recorded.
@@ -16,10 +21,12 @@ Folders are opened through ``pyarrow.fs``, so any shared file system that Arrow
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, groupby
 from urllib.parse import unquote
 
 from pyarrow import fs
@@ -84,6 +91,24 @@ def pages_of(system: fs.FileSystem, folder: str) -> Iterator[tuple[int, list[dic
         number += 1
 
 
+def packed_lines(system: fs.FileSystem, file: str) -> Iterator[dict]:
+    """The attempts of a packed file; a line that can't be read has no source to be told of, so it ends the task."""
+    with system.open_input_stream(file) as stream:
+        for line in io.TextIOWrapper(stream, encoding="utf-8", newline="\n"):
+            try:
+                yield json.loads(line)
+            except ValueError as e:
+                raise RuntimeError(f"{file}: no attempt: {line[:80]!r}") from e
+
+
+def packed_pages(rows: Iterator[dict]) -> Iterator[tuple[int, list[dict]]]:
+    """(number, attempts) of one source's lines, page by page, up to the first page that has not landed."""
+    for number, (page, attempts) in enumerate(groupby(rows, key=lambda r: r.get("page"))):
+        if page != number:
+            return
+        yield number, sorted(attempts, key=lambda r: r.get("attempt") or 0)
+
+
 def search_pages(pages: Iterator[tuple[int, list[dict]]], most: int) -> Iterator[tuple[int, list[dict], str | None]]:
     """(page, listings, why the search ends here or None) of the pages that a search reads."""
     for number, attempts in pages:
@@ -145,7 +170,7 @@ def board_pages(pages: Iterator[tuple[int, list[dict]]], paged: bool) -> Iterato
 
 @dataclass
 class SourceFolders(InputPartition):
-    """(name, folder) of searches or boards."""
+    """(name, folder) of searches or boards, or packed files under no name."""
 
     sources: list[tuple[str, str]]
 
@@ -154,25 +179,43 @@ class _FolderReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.options = options
+        self.packed = options.get("packed", "false").lower() == "true"
+
+    def files(self) -> list[tuple[str, str]]:
+        system, folder = opened(self.path)
+        found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        return sorted(("", i.path) for i in found if i.type == fs.FileType.File and i.size and i.base_name[:1] not in "._")
 
     def sources(self) -> list[tuple[str, str]]:
         system, folder = opened(self.path)
         return _below(system, folder, "source")
 
     def partitions(self) -> list[SourceFolders]:
-        sources = self.sources()
+        sources = self.files() if self.packed else self.sources()
         parts = max(1, min(len(sources), int(self.options.get("numpartitions", len(sources)))))
         return [SourceFolders(sources[k::parts]) for k in range(parts)]
 
     def read(self, partition: SourceFolders) -> Iterator[tuple]:
         system, _ = opened(self.path)
         for source, folder in partition.sources:
-            page = 0
-            try:
-                for page, *rest in self.pages(source, pages_of(system, folder)):
-                    yield from self.rows(source, page, *rest)
-            except (OSError, ValueError):
-                yield from self.failed(source, page)
+            if self.packed:
+                for source, rows in groupby(packed_lines(system, folder), key=lambda r: r.get("source")):
+                    if source is not None and (kept := self.registered(source, rows)) is not None:
+                        yield from self.source_rows(source, packed_pages(kept))
+            else:
+                yield from self.source_rows(source, pages_of(system, folder))
+
+    def source_rows(self, source: str, pages: Iterator[tuple[int, list[dict]]]) -> Iterator[tuple]:
+        page = 0
+        try:
+            for page, *rest in self.pages(source, pages):
+                yield from self.rows(source, page, *rest)
+        except (OSError, ValueError):
+            yield from self.failed(source, page)
+
+    def registered(self, source: str, rows: Iterator[dict]) -> Iterator[dict] | None:
+        """A packed source's lines; none if it has no fetcher."""
+        return rows
 
 
 class SearchReader(_FolderReader):
@@ -212,6 +255,14 @@ class BoardReader(_FolderReader):
         # A board that is not registered has no fetcher.
         return [(name, folder) for name, folder in super().sources() if name in self.registry]
 
+    def registered(self, source: str, rows: Iterator[dict]) -> Iterator[dict] | None:
+        first = next(rows)
+        if first.get("platform") is None:
+            return None
+        # One board's entry at a time: the registry may be as long as the boards are many.
+        self.registry = {source: {"platform": first["platform"], "token": first.get("token")}}
+        return chain((first,), rows)
+
     def pages(self, source: str, pages: Iterator) -> Iterator:
         return board_pages(pages, self.registry[source]["platform"] == "workday")
 
