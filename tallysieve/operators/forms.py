@@ -33,9 +33,12 @@ def chosen_options(wanted: DataFrame, options: DataFrame) -> DataFrame:
     An option is chosen by one of its whole names; ``option`` is null if none has the
     value's name or more than one has.
     """
-    names = options.select("form", "key", "option", F.explode(option_names(F.col("option"))).alias("__name__"))
-    met = wanted.withColumn("__name__", folded(F.col("value"))).join(names, ["form", "key", "__name__"], "left")
-    return met.groupBy("form", "key", "value").agg(F.when(F.count_distinct("option") == 1, F.min("option")).alias("option"))
+    left = wanted.select("form", "key", "value", folded(F.col("value")).alias("__name__"))
+    right = options.select(F.col("form").alias("__form__"), F.col("key").alias("__key__"), "option")
+    # Sizes are estimated before lists are exploded, so without the hint the options could be sent whole through the driver.
+    at = (F.col("form") == F.col("__form__")) & (F.col("key") == F.col("__key__")) & F.array_contains(option_names(F.col("option")), F.col("__name__"))
+    met = left.join(right.hint("merge"), at, "left")
+    return met.groupBy("form", "key", "value").agg(F.when(F.min("option") == F.max("option"), F.min("option")).alias("option"))
 
 
 def unfilled(profiles: DataFrame, key: str, profile: str) -> DataFrame:
