@@ -16,13 +16,17 @@ from tallysieve.sources.html import parse
 
 MAX_AGE_DAYS = 7
 CARRY = "↳"
-_ROWS = "array<struct<tbl:int,pos:int,company:string,title:string,location:string,apply_url:string,age:string>>"
+#: Rows that a Python worker hands on at a time, however long the texts' tables are.
+BATCH_ROWS = 2_000
+_ROW_NAMES = ["source_name", "company", "title", "location", "apply_url", "age"]
 
 
 def table_rows(text_: str | None) -> list[dict]:
     """Rows of four cells or more of all HTML tables, with table and row numbers."""
     out = []
-    for t, table in enumerate(parse(text_ or "").all("table")):
+    if "<table" not in (text_ or "").lower():
+        return out
+    for t, table in enumerate(parse(text_).all("table")):
         for r, row in enumerate((table.first("tbody") or table).all("tr")):
             cells = row.all("td")
             if len(cells) >= 4:
@@ -42,9 +46,21 @@ def carried(rows: DataFrame, *table: str) -> DataFrame:
 
 
 def html_table_rows(readmes: DataFrame) -> DataFrame:
-    read = F.pandas_udf(lambda t: t.map(table_rows), _ROWS)
-    rows = readmes.select("source_name", F.explode(read("text")).alias("r")).select("source_name", "r.*")
-    return carried(rows, "source_name", "tbl").drop("tbl", "pos")
+    """Rows of the HTML tables of README texts; a task holds one text's rows and one batch of ``BATCH_ROWS``."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for batch in batches:
+            for name, text_ in zip(batch["source_name"], batch["text"]):
+                for row in _html_rows(text_):
+                    held.append((name, *row))
+                    if len(held) >= BATCH_ROWS:
+                        yield pd.DataFrame(held, columns=_ROW_NAMES)
+                        held = []
+        if held:
+            yield pd.DataFrame(held, columns=_ROW_NAMES)
+
+    return readmes.select(F.col("source_name").cast("string").alias("source_name"), "text").mapInPandas(read, ", ".join(f"{n} string" for n in _ROW_NAMES))
 
 
 def _html_rows(text_: str) -> Iterator[tuple]:
