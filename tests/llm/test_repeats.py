@@ -112,6 +112,33 @@ def test_a_passage_that_most_texts_hold_is_counted_by_windows(spark):
         assert [got[k] for k in range(len(texts))] == plain_repeats(texts, 400)
 
 
+def test_a_fragment_has_one_row_of_marks_however_many_windows_repeat(spark):
+    """What meets the copies of a fragment is one row, so copies times windows never become rows."""
+    passage = letters(900, "abcdefgh ")
+    cuts = [(7, k, len(c) - 399, 1, False, c.encode()) for k, c in enumerate([letters(30) + passage, passage + letters(40), letters(500, "cd"), (passage[:500] + letters(9)) * 2])]
+    cut = spark.createDataFrame(cuts, "key long, print long, n int, copies long, hot boolean, cut binary")
+    gone = [spans for _, spans, _ in plain_repeats([c[5].decode() for c in cuts], 400)]
+    for marks in (repeats._sorted_shards(cut, 400, 1), repeats._counted(cut, 400)):
+        rows = marks.collect()
+        assert sorted((r.key, r.print, r.n) for r in rows) == [c[:3] for c, spans in zip(cuts, gone) if spans]
+        got = {r.print: [(m.a, m.b + 400) for m in r.marks] for r in rows}
+        covered = {k: {x for a, b in got.get(k, []) for x in range(a, b)} for k in range(4)}
+        assert covered == {k: {x for a, b in spans for x in range(a, b)} for k, spans in enumerate(gone)}
+
+
+def test_passages_of_over_50_words_are_taken_from_400_bytes_on(spark):
+    """``n_removed`` tells them; ``n_bytes`` is the length of the input, whatever repeats."""
+    word = lambda n: letters(n, "abcdefghijklmnop")
+    long, short = (" ".join(word(n) for _ in range(55)) for n in (7, 5))
+    own = lambda: " ".join(word(6) for _ in range(RNG.randint(20, 200)))
+    texts = [f"{own()} {p} {own()}" for p in [long] * 20 + [short] * 20] + [own() for _ in range(40)]
+    assert len(long) >= 400 > len(short) + 2
+    found = {r.doc_id: r for r in repeats.remove_repeats(rows_of(spark, texts)).collect()}
+    removed = [found[k].n_bytes - len(found[k].kept) for k in range(80)]
+    assert min(removed[:20]) >= len(long) and max(removed[20:]) == 0
+    assert [found[k].n_bytes for k in range(80)] == [len(t) for t in texts]
+
+
 @tables
 def test_suffix_dedup_query_on_a_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
