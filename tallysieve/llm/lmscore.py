@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallysieve.llm.textkit import Words, saved, single_threaded, stored, text_or_empty, word_chunks
+from tallysieve.llm.textkit import Words, keep_freed, saved, single_threaded, stored, text_or_empty, word_chunks
 
 HIDDEN, CLASSES, PER_CLASS = 24, 32, 64
 WINDOW, STREAMS, RATE = 16, 256, 0.15
@@ -80,14 +80,20 @@ def _scaled_softmax(logits: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _log_share(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log softmax of each row at its chosen column."""
-    np.minimum(logits, np.float32(80), out=logits)
-    picked = logits[np.arange(len(chosen)), chosen]
+def _log_share(logits: np.ndarray, chosen: np.ndarray, cap: bool) -> np.ndarray:
+    """Log softmax of each row at its chosen column; with ``cap``, logits may be beyond 80 and count as 80."""
+    if cap:
+        np.minimum(logits, np.float32(80), out=logits)
+    picked = logits.ravel().take(np.arange(len(chosen)) * logits.shape[1] + chosen)
     np.exp(logits, out=logits)
     return picked - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
 
 
+def _rows(table: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """``table[at]`` for numbers that are all in range."""
+    return np.take(table, at, axis=0, out=out, mode="clip")
+
+
 class Network:
     """A GRU over word numbers with a class-factored softmax; all parameters are float32 arrays.
 
@@ -122,19 +128,23 @@ class Network:
         self.squares = new[len(self.NAMES) :]
         return self
 
-    def negated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``x``, ``uzr`` and ``un`` with the gates' parts times -1 and the new state's times -2, as ``_sigmoid`` wants them."""
-        return self.x * np.repeat(np.array([-1, -2], dtype=np.float32), [2 * HIDDEN, HIDDEN]), -self.uzr, -2 * self.un
+    def negated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``x`` for the gates and for the new state, ``uzr`` and ``un``, the gates' times -1 and the new state's times -2, as ``_sigmoid`` wants them."""
+        return -self.x[:, : 2 * HIDDEN], -2 * self.x[:, 2 * HIDDEN :], -self.uzr, -2 * self.un
+
+    def most(self) -> float:
+        """No logit is larger, since no entry of a state is beyond 1."""
+        return max(float((np.abs(w).sum(axis=k) + b).max()) for w, k, b in ((self.wc, 0, self.bc), (self.o, 2, self.bo)))
 
     def log_p(self, h: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log probabilities of the words after the states ``h``."""
-        kind, place = word // PER_CLASS, word % PER_CLASS
-        out = _log_share(h @ self.wc + self.bc, kind)
+        kind, place, cap = word // PER_CLASS, word % PER_CLASS, not self.most() < 79
+        out = _log_share(h @ self.wc + self.bc, kind, cap)
         order = np.argsort(kind.astype(np.int16), kind="stable")
         cut = np.searchsorted(kind[order], np.arange(len(self.o) + 1))
         for c in np.flatnonzero(np.diff(cut)):
             who = order[cut[c] : cut[c + 1]]
-            out[who] += _log_share(h[who] @ self.o[c].T + self.bo[c], place[who])
+            out[who] += _log_share(_rows(h, who) @ self.o[c].T + self.bo[c], place[who], cap)
         return out
 
     def train_window(self, words: np.ndarray, weight: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
@@ -145,17 +155,17 @@ class Network:
         steps, size = len(words), HIDDEN
         read = np.concatenate([before[None], words[:-1]])
         live = (read != END).astype(np.float32)[:, :, None]
-        x, uzr, un = self.negated()
-        x = x[read]
+        xg, xn, uzr, un = self.negated()
+        xg, xn = _rows(xg, read), _rows(xn, read)
         was, gates, new, reset, states = (np.empty((steps, len(h), k), dtype=np.float32) for k in (size, 2 * size, size, size, size))
         for t in range(steps):
             w = np.multiply(h, live[t], out=was[t])
-            h = _advance(x[t], uzr, un, w, gates[t], reset[t], new[t], states[t])
+            h = _advance(xg[t], xn[t], uzr, un, w, gates[t], reset[t], new[t], states[t])
         # The output: rows sorted by class, so that each class's are a slice.
         rows, flat = np.arange(words.size), words.ravel()
         order = np.argsort((flat // PER_CLASS).astype(np.int16), kind="stable")
         kind, place, share = flat[order] // PER_CLASS, flat[order] % PER_CLASS, weight.ravel()[order]
-        hs, one = states.reshape(-1, size)[order], np.ones(words.size, dtype=np.float32)
+        hs, one = _rows(states.reshape(-1, size), order), np.ones(words.size, dtype=np.float32)
         dc = _scaled_softmax(hs @ self.wc + self.bc, share)
         dc[rows, kind] -= share
         out, go, gbo = dc @ self.wc.T, np.zeros_like(self.o), np.zeros_like(self.bo)
@@ -170,27 +180,29 @@ class Network:
         back[order] = out
         back = back.reshape(states.shape)
         # The states, from the last step to the first.
-        z, r = gates[:, :, :size], gates[:, :, size:]
-        of_n, of_z, of_r = (1 - z) * (1 - new * new), (was - new) * z * (1 - z), was * r * (1 - r)
-        dx, un, uzr = np.empty((steps, len(h), 3 * size), dtype=np.float32), self.un.T.copy(), self.uzr.T.copy()
+        z, r = gates[:, :, :size].copy(), gates[:, :, size:].copy()
+        rest = 1 - z
+        of_n, of_z, of_r = rest * (1 - new * new), (was - new) * z * rest, was * r * (1 - r)
+        dg, dn, un, uzr = np.empty_like(gates), np.empty_like(new), self.un.T.copy(), self.uzr.T.copy()
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             dh += back[t]
-            d = dx[t]
-            inner = np.multiply(dh, of_n[t], out=d[:, 2 * size :]) @ un
+            d = dg[t]
+            inner = np.multiply(dh, of_n[t], out=dn[t]) @ un
             np.multiply(dh, of_z[t], out=d[:, :size])
-            np.multiply(inner, of_r[t], out=d[:, size : 2 * size])
+            np.multiply(inner, of_r[t], out=d[:, size:])
             dh *= z[t]
             inner *= r[t]
             dh += inner
-            dh += d[:, : 2 * size] @ uzr
+            dh += d @ uzr
             dh *= live[t]
-        of = dx.reshape(-1, 3 * size)
-        guzr, gun = was.reshape(-1, size).T @ of[:, : 2 * size], reset.reshape(-1, size).T @ of[:, 2 * size :]
+        dg, dn = dg.reshape(-1, 2 * size), dn.reshape(-1, size)
+        guzr, gun = was.reshape(-1, size).T @ dg, reset.reshape(-1, size).T @ dn
         order = np.argsort(read.ravel().astype(np.int16), kind="stable")
         sorted_words = read.ravel()[order]
         first = np.flatnonzero(np.diff(sorted_words, prepend=-1))
-        return h, (sorted_words[first], np.add.reduceat(of[order], first)), [guzr, gun, hs.T @ dc, one @ dc, go, gbo]
+        gx = np.concatenate([np.add.reduceat(_rows(d, order), first) for d in (dg, dn)], axis=1)
+        return h, (sorted_words[first], gx), [guzr, gun, hs.T @ dc, one @ dc, go, gbo]
 
     def learn(self, tokens: np.ndarray) -> int:
         """Truncated backpropagation over documents' numbers on end, each with its end; gives the tokens seen."""
@@ -218,14 +230,14 @@ class Network:
         return n
 
 
-def _advance(x: np.ndarray, uzr: np.ndarray, un: np.ndarray, was: np.ndarray, gates: np.ndarray, reset: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+def _advance(xg: np.ndarray, xn: np.ndarray, uzr: np.ndarray, un: np.ndarray, was: np.ndarray, gates: np.ndarray, reset: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
     """One step of the GRU from the states ``was``; fills the gates, the reset states, the new states and ``out``, all given."""
     size = was.shape[1]
     np.matmul(was, uzr, out=gates)
-    gates += x[:, : 2 * size]
+    gates += xg
     _sigmoid(gates)
     np.matmul(np.multiply(gates[:, size:], was, out=reset), un, out=new)
-    new += x[:, 2 * size :]
+    new += xn
     _sigmoid(new)
     new *= 2
     new -= 1  # tanh(v) = 2 sigmoid(2 v) - 1
@@ -240,27 +252,30 @@ def score_documents(network: Network, flat: np.ndarray, lengths: np.ndarray) ->
     out, first = np.zeros(len(lengths)), np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
     groups = np.cumsum(lengths[order]) // GROUP_TOKENS
-    x, uzr, un = network.negated()
+    xg, xn, uzr, un = network.negated()
+    flat = flat.astype(np.int64)
     for group in np.split(order, np.flatnonzero(np.diff(groups)) + 1) if len(order) else ():
-        n, begin = lengths[group], first[group]
+        n, at = lengths[group], first[group]
         h, word = np.zeros((len(group), HIDDEN), dtype=np.float32), np.full(len(group), END)
-        gates, reset, new = (np.empty((len(group), k), dtype=np.float32) for k in (2 * HIDDEN, HIDDEN, HIDDEN))
-        states, words, who, held = [], [], [], 0
+        gates, reset, new, of_gates, of_new = (np.empty((len(group), k), dtype=np.float32) for k in (2 * HIDDEN, HIDDEN, HIDDEN, 2 * HIDDEN, HIDDEN))
+        most = FLUSH_TOKENS + len(group)
+        states, words, who, held = np.empty((most, HIDDEN), dtype=np.float32), np.empty(most, dtype=np.int64), np.empty(most, dtype=np.int64), 0
         active = len(group)
         for t in range(int(n[0])):
             while n[active - 1] <= t:
                 active -= 1
-            if t == 0 or len(h) != active:
-                h, gates, reset, new = h[:active], gates[:active], reset[:active], new[:active]
-            h = _advance(x[word[:active]], uzr, un, h, gates, reset, new, np.empty_like(h))
-            word = flat[begin[:active] + t].astype(np.int64)
-            states.append(h)
-            words.append(word)
-            who.append(group[:active])
+            if len(h) != active:
+                h, word, at = h[:active], word[:active], at[:active]
+                gates, reset, new, of_gates, of_new = (v[:active] for v in (gates, reset, new, of_gates, of_new))
+            here = slice(held, held + active)
+            h = _advance(_rows(xg, word, of_gates), _rows(xn, word, of_new), uzr, un, h, gates, reset, new, states[here])
+            word = np.take(flat, at, out=words[here], mode="clip")
+            who[here] = group[:active]
+            at += 1
             held += active
             if held >= FLUSH_TOKENS or t == n[0] - 1:
-                out += np.bincount(np.concatenate(who), weights=network.log_p(np.concatenate(states), np.concatenate(words)), minlength=len(out))
-                states, words, who, held = [], [], [], 0
+                out += np.bincount(who[:held], weights=network.log_p(states[:held], words[:held]), minlength=len(out))
+                h, word, held = h.copy(), word.copy(), 0
     return out
 
 
@@ -282,12 +297,17 @@ def corpus_counts(docs: DataFrame, trains: Column) -> tuple[DataFrame, Counts]:
 
     def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         every, own = (np.concatenate(p) for p in zip(*parts, strict=True))
-        h, at, n = np.unique(every, return_index=True, return_counts=True)
+        # Any row of a word tells its ending, so the sort needn't be stable.
+        order = np.argsort(every)
+        every = every[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+        h, n, own = every[first], np.diff(np.append(first, len(every))), own[order[first]]
         for lo in range(0, len(h), 1 << 18):
             cut = slice(lo, lo + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(own[at[cut]].astype(np.int32))], names=["h", "n", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(n[cut].astype(np.int64)), pa.array(own[cut].astype(np.int32))], names=["h", "n", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         parts, held = [], 0
         for batch in batches:
             for _, _, w in word_chunks(batch.column("text"), graph=True):
@@ -342,6 +362,7 @@ def numbered(docs: DataFrame, held_out: Column, counts: Counts) -> DataFrame:
     shared = np.log10(freq[:PER_CLASS] + kinds + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for a, b, w in word_chunks(batch.column("text"), graph=True):
@@ -394,6 +415,7 @@ def fit(rows: DataFrame, counts: Counts) -> Network:
     chunk, weights = REPLICA_TOKENS, None
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         state: dict = {"replica": None}
 
         def start(replica: int) -> None:
@@ -456,6 +478,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     tokens, distinct, documents = counts.tokens, counts.distinct, counts.documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             total = score_documents(network, *_numbers(batch.column("ids"))) / math.log(10)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total)], names=[*batch.schema.names[:-1], "total"])

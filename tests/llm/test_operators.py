@@ -3,9 +3,12 @@
 import hashlib
 import io
 import math
+import os
 import random
 import re
 import struct
+import subprocess
+import sys
 import time
 import zipfile
 import zlib
@@ -923,6 +926,41 @@ def test_every_training_document_is_learned(spark, monkeypatch, ids):
     assert not np.array_equal(network.packed(), lmscore.Network(lmscore.vocabulary(counts)[1]).packed())
 
 
+def test_logits_beyond_80_count_as_80_and_no_others_are_capped():
+    size = lmscore.CLASSES * lmscore.PER_CLASS
+    net = lmscore.Network(np.ones(size), seed=4)
+    h, words_ = np.random.default_rng(4).uniform(-1, 1, (300, lmscore.HIDDEN)).astype(np.float32), np.random.default_rng(5).integers(0, size, 300)
+    for scale in (1, 600):
+        net.wc *= scale
+        net.o *= scale
+        kind, place = words_ // lmscore.PER_CLASS, words_ % lmscore.PER_CLASS
+        share = lambda x, k: x[k] - np.log(np.exp(x).sum())
+        logits = [(np.minimum(v @ net.wc.astype(float) + net.bc, 80), np.minimum(net.o[c].astype(float) @ v + net.bo[c], 80)) for v, c in zip(h.astype(float), kind)]
+        want = [share(x, c) + share(y, k) for (x, y), c, k in zip(logits, kind, place)]
+        assert np.allclose(net.log_p(h, words_), want, rtol=1e-4, atol=1e-2)
+        assert (net.most() < 79) == (scale == 1) and net.most() >= max(max(x.max(), y.max()) for x, y in logits)
+
+
+def test_scoring_keeps_its_memory_and_reads_no_fresh_pages_each_time():
+    """A fresh process, as a Python worker is: what it frees serves the next arrays."""
+    code = """
+import resource, sys
+import numpy as np
+from tallysieve.llm import lmscore, textkit
+rng = np.random.default_rng(1)
+net = lmscore.Network(np.ones(lmscore.CLASSES * lmscore.PER_CLASS))
+lengths = rng.integers(300, 500, 1000)
+flat = rng.integers(0, lmscore.CLASSES * lmscore.PER_CLASS, lengths.sum()).astype(np.int16)
+textkit.keep_freed()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(3):
+    lmscore.score_documents(net, flat, lengths)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    env = {**os.environ, "OMP_NUM_THREADS": "1"}
+    assert int(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout) < 20_000
+
+
 def test_the_network_beats_the_counts(spark):
     """Two made-up languages: the state tells which one a text is in."""
     tongues = [["".join(RNG.choices(letters, k=6)) for _ in range(300)] for letters in ("abcdef", "uvwxyz")]
