@@ -126,6 +126,50 @@ def test_a_fragment_has_one_row_of_marks_however_many_windows_repeat(spark):
         assert covered == {k: {x for a, b in spans for x in range(a, b)} for k, spans in enumerate(gone)}
 
 
+def test_counting_makes_rows_for_bins_of_windows(spark, monkeypatch):
+    """A passage with another text around it each time has a few dozen rows for each of them, not one for each byte."""
+    passage = letters(520, "abcdefgh ")
+    cuts = [letters(RNG.randint(100, 250), "abcdefgh ") + passage + letters(RNG.randint(100, 250), "abcdefgh ") for _ in range(60)]
+    where = passage.encode()[240:272]
+    key = int(repeats.gram_hashes(np.frombuffer(where, dtype=np.uint8)).view(np.int64)[0])
+    cuts = [c.encode() for c in cuts]
+    cuts = [c[max(c.index(where) - 368, 0) :][:768] for c in cuts]
+    cut = spark.createDataFrame([(key, k, len(c) - 399, 1 + k % 2, True, c) for k, c in enumerate(cuts)], "key long, print long, n int, copies long, hot boolean, cut binary")
+    made, plain = spark.sparkContext.accumulator(0), type(cut).mapInArrow
+
+    def counted(self, run, *args, **more):
+        def count(batches):
+            for batch in run(batches):
+                made.add(len(batch))
+                yield batch
+
+        return plain(self, count, *args, **more)
+
+    monkeypatch.setattr(type(cut), "mapInArrow", counted)
+    got = {r.print: [(m.a, m.b + 400) for m in r.marks] for r in repeats._counted(cut, 400).collect()}
+    covered = {k: {x for a, b in v for x in range(a, b)} for k, v in got.items()}
+    want = [spans for _, spans, _ in plain_repeats([c.decode() for c in cuts for _ in range(2)], 400)]
+    alone = [spans for _, spans, _ in plain_repeats([c.decode() for c in cuts], 400)]
+    want = [want[2 * k] if k % 2 else alone[k] for k in range(60)]
+    assert covered == {k: {x for a, b in spans for x in range(a, b)} for k, spans in enumerate(want)}
+    assert made.value <= 60 * 60 < sum(len(c) - 399 for c in cuts) // 5
+
+
+@pytest.mark.parametrize("length", [32, 47, 95, 160])
+def test_bins_settle_what_windows_do(spark, length):
+    """Ends within bins, cut bins, periods, near copies, copies and windows that only a settled bin equals."""
+    base = letters(5 * length, "abcdef ")
+    texts = [letters(RNG.randint(0, 90)) + base[RNG.randint(0, 3 * length) :][: RNG.randint(1, 3 * length)] + letters(RNG.randint(0, 90)) for _ in range(50)]
+    for _ in range(25):
+        near = list(base[RNG.randint(0, length) :])
+        near[RNG.randrange(len(near))] = "#"
+        texts.append("".join(near))
+    texts += [letters(5) * RNG.randint(1, length) + letters(9, "cd") for _ in range(6)] + ["ab" * 3 * length, "x" * 300, "x" * 500 + "y"] + texts[:3] * 2
+    found = repeats.remove_repeats(rows_of(spark, texts), length=length, hot_bytes=0).collect()
+    got = {r.doc_id: (r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in found}
+    assert [got[k] for k in range(len(texts))] == plain_repeats(texts, length)
+
+
 def test_passages_of_over_50_words_are_taken_from_400_bytes_on(spark):
     """``n_removed`` tells them; ``n_bytes`` is the length of the input, whatever repeats."""
     word = lambda n: letters(n, "abcdefghijklmnop")
